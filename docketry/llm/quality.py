@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, by_batch
 
 RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "capitals", "separators", "exclaims")
-KEEP_AT = 0.5
+KEEP_AT, FALSE_ALARM = 0.5, 0.002
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -94,7 +94,7 @@ def votes() -> list[Column]:
         rule(n("n_words") < 10, n("n_words") >= 50),
         rule((mean < 2) | (mean > 14)),
         rule(n("n_symbols") > 0.3 * w),
-        rule(n("n_dup_lines") > 0.3 * n("n_lines")),
+        rule(n("n_dup_lines") > 0.5 * n("n_lines")),
         rule(n("n_repeat_words") > 0.2 * w, n("n_repeat_words") <= 0.05 * w),
         rule(n("n_upper") > 0.4 * n("word_chars")),
         rule(n("n_bars") > 0.1 * w),
@@ -105,7 +105,9 @@ def votes() -> list[Column]:
 def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """EM over votes: (rules x 2 x 3) vote probabilities given bad and good, the share of good, posteriors.
 
-    Starts from the majority of the votes, so that good stays good; smoothed by one pseudo-vote.
+    Starts from the majority of the votes, so that good stays good; smoothed by one pseudo-vote.  No rule is
+    believed to accuse more than FALSE_ALARM of the good documents: without that bound EM may explain a
+    kind of junk that only one rule sees as a quirk of good text.
     """
     net = patterns.sum(axis=1)
     post = np.clip(0.5 + 0.5 * net / max(1, patterns.shape[1]), 0.05, 0.95)
@@ -115,6 +117,7 @@ def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[
         weight = np.stack([(1 - post) * counts, post * counts])
         share = (weight[1].sum() + 1) / (counts.sum() + 2)
         probs = np.stack([[[((weight[y] * (patterns[:, r] == v)).sum() + 1) / (weight[y].sum() + 3) for v in (-1, 0, 1)] for y in (0, 1)] for r in range(patterns.shape[1])])
+        probs[:, 1, 0] = np.minimum(probs[:, 1, 0], FALSE_ALARM)
         log = np.log([1 - share, share])[:, None] + sum(np.log(probs[r][:, patterns[:, r] + 1]) for r in range(patterns.shape[1]))
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         done = np.abs(new - post).max(initial=0) < 1e-10
