@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, media, packing, quality, shards, simhash, toxicity
+from . import bpe, langid, linededup, media, packing, quality, shards, simhash, suffix, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -48,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_line_dedup, op3_toxicity, op4_quality, op5_sharding, op6_packing, op7_language, op9_media, op10_bpe)
+    for f in (op1_simhash, op2_line_dedup, op3_toxicity, op4_quality, op5_sharding, op6_packing, op7_language, op8_suffix, op9_media, op10_bpe)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
