@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SITES, NEAR, LG_K, MOST_LOST = 10, 0.2, 12, 0.5
+MIN_SITES, NEAR, LG_K, MOST_LOST, SALTS = 10, 0.2, 12, 0.5, 32
 #: Three words at least; shorter lines are too common to tell boilerplate from prose.
 WORTHY = r"[^\x20\x09-\x0D][\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]"
 
@@ -46,8 +46,11 @@ def clean_lines(docs: DataFrame, *, text: str = "text", site: str = "source", ke
     from .common import Scratch
 
     spread = Scratch(docs.sparkSession, "lines").put(spread_lines(docs, text=text, site=site, **options))
+    # a line may be on a third of all documents: its occurrences are dealt over SALTS tasks
+    spread = spread.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     marked = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_th"), F.explode(line_hashes(F.col(text))).alias("h"))
-    bad = marked.join(spread, "h").groupBy("_k", "_th").agg(F.collect_set("h").alias("_bad"))
+    marked = marked.withColumn("salt", F.pmod(F.xxhash64("_k", "_th"), F.lit(SALTS)).cast("int"))
+    bad = marked.join(spread, ["h", "salt"]).groupBy("_k", "_th").agg(F.collect_set("h").alias("_bad"))
     rows = docs.withColumn("_th", F.xxhash64(text))
     both = rows.join(bad.withColumnRenamed("_th", "_bth"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_bth")), "left")
     lines = _lines(F.col(text))
