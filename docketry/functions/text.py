@@ -27,7 +27,7 @@ def normalize_space(text: Column) -> Column:
 def split_sentences(text: Column) -> Column:
     """Cuts after . ! ? that follow three closing characters, before a capital, quote or parenthesis."""
     parts = F.split(text, "(?<=[a-z)\\]\"”’]{3}[.!?])\\s+(?=[A-Z\"“(])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: s != "")
 
 
 def slug(name: Column) -> Column:
@@ -58,7 +58,7 @@ def segments(text: Column) -> Column:
 
 
 def paragraphs(text: Column, longer_than: int = 80, most: int = 400) -> Column:
-    cut = F.transform(F.split(text, "\n+"), F.trim)
+    cut = F.transform(F.split(text, "\n+"), lambda x: F.trim(x))
     return F.slice(F.filter(cut, lambda p: F.length(p) > longer_than), 1, most)
 
 

@@ -92,7 +92,7 @@ def extract_result(text: Column) -> Column:
 def parse_bench(text: Column) -> Column:
     """Struct(judges, author) of "[A, B* and C, JJ.]": an asterisk marks the author."""
     inner = F.regexp_extract(text, r"\[([^\]]*?),?\s*JJ?\.\]", 1)
-    names = F.filter(F.transform(F.split(inner, r",|\band\b"), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split(inner, r",|\band\b"), lambda x: F.trim(x)), lambda n: n != "")
     starred = F.filter(names, lambda n: n.contains("*"))
     clean = lambda n: F.trim(F.regexp_replace(F.regexp_replace(n, r"\*", ""), r",?\s*(?:CJI|JJ?\.?)$", ""))
     return F.struct(F.transform(names, clean).alias("judges"), F.when(F.size(starred) > 0, clean(starred[0])).alias("author"))
