@@ -40,7 +40,7 @@ LEGAL = """SELECT o_orderkey AS doc, o_orderstatus AS st,
   concat('Section ', o_orderkey % 511 + 1, CASE o_orderstatus WHEN 'F' THEN ' IPC' WHEN 'O' THEN ' of the Code of Criminal Procedure, 1973' ELSE '' END,
          '. Result of the case: Appeal ', CASE o_orderstatus WHEN 'F' THEN 'dismissed' WHEN 'O' THEN 'allowed' ELSE 'partly allowed' END) AS text FROM orders"""
 #: Citations with treatments, one for each line item.
-CITES = """SELECT l_orderkey AS doc, l_linenumber AS pos, l_suppkey % 50 AS auth,
+CITES = """SELECT l_orderkey AS doc, l_linenumber AS pos, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, l_suppkey % 50 AS auth,
   concat('Supplier ', l_suppkey, ' v. Part ', l_partkey, ' & Ors.') AS name,
   concat('[2024] ', l_linenumber, ' SCR ', l_orderkey % 999 + 1) AS cite,
   CASE l_returnflag WHEN 'A' THEN 'relied on' WHEN 'R' THEN 'distinguished' ELSE 'referred to' END AS treatment,
