@@ -21,7 +21,7 @@ from .common import by_batch, id_remainder
 from .langid import _fold, _parts
 
 #: Bounds of the training sample and of the vocabulary; all else covers every row.
-SAMPLE, VOCABULARY, MIN_DOCS, SIGNIFICANT, LIMIT = 4000, 200_000, 5, 5.0, 0.7
+SAMPLE, VOCABULARY, MIN_DOCS, SIGNIFICANT, LIMIT = 2500, 200_000, 5, 5.0, 0.7
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = np.zeros(0x110000, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -87,10 +87,16 @@ class Model:
 
 def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, *, rounds: int = 200, rate: float = 0.1, l2: float = 1e-4) -> Model:
     """Screens words by their association with the label, then Adam on the weighted log loss of the noisy-or."""
-    x, n_t = read(texts), len(texts)
-    doc = x.text_of[x.sentence]
-    vocab, word_id = np.unique(x.word, return_inverse=True)
-    pairs = np.unique(word_id.astype(np.int64) * n_t + doc)
+    n_t, n_sent, parts = len(texts), 0, []
+    for lo, hi in _parts(texts):  # a part's characters are let go before the next is read
+        x = read(texts[lo:hi])
+        parts.append((x.word, x.sentence + n_sent, x.text_of + lo))
+        n_sent += len(x.text_of)
+    word, sentence, sent_text = (np.concatenate([np.zeros(0, t), *[p[i] for p in parts]]) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+    del parts
+    vocab, word_id = np.unique(word, return_inverse=True)
+    del word
+    pairs = np.unique(word_id.astype(np.int64) * n_t + sent_text[sentence])
     in_word, in_doc = pairs // n_t, pairs % n_t
     df = np.bincount(in_word, minlength=len(vocab))
     base = float(np.average(labels, weights=weight))
@@ -102,10 +108,10 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, *, rounds: int
     new[keep] = np.arange(len(keep))
     use = new[word_id] >= 0
     n_w = max(1, len(keep))
-    pair = np.unique(x.sentence[use] * n_w + new[word_id][use])
+    pair = np.unique(sentence[use] * n_w + new[word_id][use])
     w_id = pair % n_w
     some, s_id = np.unique(pair // n_w, return_inverse=True)  # sentences with a weighted word
-    text_of, n_s = x.text_of[some], len(some)
+    text_of, n_s = sent_text[some], len(some)
     theta = np.append(np.full(len(keep), 2.0), [-1.0, np.log(base / (1 - base))])  # weights, bias, leak
     m, v = np.zeros(len(theta)), np.zeros(len(theta))
     weight = weight / weight.sum()
