@@ -54,8 +54,8 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType, strict: boo
 def damaged_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The lines that are no record."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
-    return rows.select("*").where(F.col("_corrupt_record").isNotNull()).select(F.col("_corrupt_record").alias("line"))
+    parsed = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return parsed.where("r._corrupt_record IS NOT NULL").select(F.col("r._corrupt_record").alias("line"))
 
 
 def write_records(df: DataFrame, path: str, *, form: str = "parquet", order: str | None = None, by: list[str] | None = None) -> None:
