@@ -73,13 +73,13 @@ class Scratch:
             _remove(self.spark, path)
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``f`` over each Arrow batch.  Batches end at spark.sql.execution.arrow.maxBytesPerBatch."""
+def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int = 1000) -> DataFrame:
+    """``f`` over ``rows`` rows at a time.  Batches end at spark.sql.execution.arrow.maxBytesPerBatch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                if (out := f(b.slice(at, 1000))) is not None:
+            for at in range(0, b.num_rows, rows):
+                if (out := f(b.slice(at, rows))) is not None:
                     yield out
 
     return df.mapInArrow(run, schema)

@@ -75,11 +75,9 @@ def _types(t: np.ndarray) -> np.ndarray:
     """True for S: smaller than the suffix one further on.  Separators (0) and the end are S."""
     n = len(t)
     changes = np.flatnonzero(t[1:] != t[:-1])
-    nxt = np.searchsorted(changes, np.arange(n))
     s = np.ones(n, bool)
-    inner = nxt < len(changes)
-    at = changes[nxt[inner]]
-    s[inner] = t[at] < t[at + 1]
+    if len(changes):  # a run of one character has the type of its last
+        s[: changes[-1] + 1] = np.repeat(t[changes] < t[changes + 1], np.diff(changes, prepend=-1))
     s[t == 0] = True
     return s
 

@@ -23,13 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_batch
 from .induced import suffix_array
 
-LENGTH, K, SHARD_BYTES, SLICE_BYTES = 50, 20, 16 << 20, 4 << 20
+#: SHARD_BYTES: text for each shard on average; a shard is sorted at once, a task sorts its shards one after the other.
+#: LOOK_BYTES: the same for each part in which hashes are looked up, which takes about a byte for each byte of text.
+LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS = 50, 20, 1 << 20, 64 << 20, 1 << 20, 2000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = (1 << 24) - 1
 
@@ -90,7 +94,7 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _whole(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
     """Pieces of a very long text that overlap by all but one byte of a window."""
-    step = 8 << 20
+    step = 1 << 20
     for at in range(0, max(1, len(text) - length + 1), step):
         yield at, text[at : at + step + length - 1]
 
@@ -116,6 +120,17 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(x)))
 
 
+_PRESS, _OPEN = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def _press(data: bytes) -> bytes:
+    return _PRESS.compress(data)
+
+
+def _open(data: bytes) -> bytes:
+    return _OPEN.decompress(data)
+
+
 _ROWS = "part long, keys binary, counts binary, codes binary"
 
 
@@ -147,7 +162,8 @@ def _repeats(parts: int, length: int, k: int):
 
         def add(part: int, key: np.ndarray, codes: bytes) -> None:
             at, n = _runs(key)
-            for name, v in zip(out, (part, key[at].tobytes(), n.astype(np.uint32).tobytes(), codes), strict=True):
+            first = np.diff(key[at], prepend=0)  # ascending keys as differences
+            for name, v in zip(out, (part, _press(first.tobytes()), _press(n.astype(np.uint32).tobytes()), codes), strict=True):
                 out[name].append(v)
 
         mine, none = np.flatnonzero(once), np.zeros(0, np.int64)
@@ -170,46 +186,68 @@ def _repeats(parts: int, length: int, k: int):
     return run
 
 
-def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes of a partition that occur in more than one row, or are known to repeat, by key; settled ones pass."""
-    code, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    sure_code, sure_key, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for b in batches:
-        for part, ks, ns, cs in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-            ks = np.repeat(np.frombuffer(ks, np.int64), np.frombuffer(ns, np.uint32))
-            if part < 0:
-                sure_key.append(ks)
-                sure_code.append(np.frombuffer(cs, np.uint64))
-                continue
-            cs = np.frombuffer(cs, np.uint32).astype(np.uint64) | np.uint64(part << 32)
-            if len(ks):
-                key.append(ks)
-                code.append(cs)
-            else:
-                known.append(cs)
-    code, key, known = np.concatenate(code), np.concatenate(key), np.concatenate(known)
-    order = np.argsort(code, kind="stable")
-    same = code[order][1:] == code[order][:-1]
-    twice = np.append(False, same) | np.append(same, False) if len(code) else np.zeros(0, bool)
-    hit = np.isin(code, known)
-    hit[order] |= twice
-    key, code = np.concatenate([key[hit], *sure_key]), np.concatenate([code[hit], *sure_code])
+def _by_part(settle):
+    """Runs ``settle`` over the rows of one part after the other (rows come sorted by part)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[0] != part and held:
+                    yield from settle(held)
+                    held = []
+                part = row[0]
+                held.append(row)
+        if held:
+            yield from settle(held)
+
+    return run
+
+
+def _rows_by_key(key: np.ndarray, value: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    """Rows (k, bytes of its values) from pairs, in any order."""
     order = np.argsort(key, kind="stable")
-    key, code = key[order], code[order]
+    key, value = key[order], value[order]
     at, n = _runs(key)
     for lo in range(0, len(at), 5000):
         some = slice(lo, lo + 5000)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(key[at[some]]), "codes": pa.array([code[x : x + m].tobytes() for x, m in zip(at[some].tolist(), n[some].tolist(), strict=True)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"k": pa.array(key[at[some]]), name: pa.array([value[x : x + m].tobytes() for x, m in zip(at[some].tolist(), n[some].tolist(), strict=True)], pa.binary())})
+
+
+def _look_up(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Codes of a part that occur in more than one row, or are known to repeat, by key; settled ones pass."""
+    code, key, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for part, ks, ns, cs in rows:
+        ks = np.repeat(np.cumsum(np.frombuffer(_open(ks), np.int64)), np.frombuffer(_open(ns), np.uint32))
+        if part < 0:
+            yield from _rows_by_key(ks, np.frombuffer(cs, np.uint64), "codes")
+            continue
+        cs = np.frombuffer(cs, np.uint32).astype(np.uint64) | np.uint64(part << 32)
+        if len(ks):
+            key.append(ks)
+            code.append(cs)
+        else:
+            known.append(cs)
+    code, key = np.concatenate(code), np.concatenate(key)
+    order = np.argsort(code, kind="stable")
+    same = code[order][1:] == code[order][:-1]
+    hit = np.isin(code, np.concatenate(known))
+    if len(code):
+        hit[order] |= np.append(False, same) | np.append(same, False)
+        yield from _rows_by_key(key[hit], code[hit], "codes")
 
 
-def _cut(parts: int, length: int, k: int):
-    """Texts and their repeating codes to rows (part, keys, starts, sizes, data): runs of windows, by minimizer."""
+def _cut(looks: int, parts: int, length: int, k: int):
+    """Texts and their repeating codes to rows (part, runs): runs of windows, by minimizer.
+
+    A row's runs are compressed: their number, keys, starts, sizes, and the distinct strings with each run's own.
+    """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         keys = b.column(0).to_numpy(zero_copy_only=False)
-        texts, owner, base = _pieces([(t or "").encode() for t in b.column(1).to_pylist()], length)
+        texts, owner, base = _pieces([_open(t) for t in b.column(1).to_pylist()], length)
         wanted = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in b.column(2).to_pylist()]
-        part, key, start, size, data = [], [], [], [], []
+        part, key, start, data = [], [], [], []
         for lo, hi in _slices(texts):
             raw = b"".join(texts[lo:hi])
             a = np.frombuffer(raw, np.uint8)
@@ -219,7 +257,8 @@ def _cut(parts: int, length: int, k: int):
                 continue
             begin = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)))
             end = np.append(begin[1:], len(at)) - 1
-            code = _short(h[place[begin]], parts)
+            full = h[place[begin]]
+            code = _short(full, looks)
             doc = np.searchsorted(stops, at[begin], side="right")
             edges = np.searchsorted(doc, np.arange(hi - lo + 1))
             for i in range(hi - lo):
@@ -227,30 +266,39 @@ def _cut(parts: int, length: int, k: int):
                 mine = np.flatnonzero(np.isin(code[x:y], wanted[owner[lo + i]])) + x
                 if len(mine):
                     f, t = at[begin[mine]], at[end[mine]] + length
-                    part.append((code[mine] >> np.uint64(32)).astype(np.int64))
+                    part.append((full[mine] % np.uint64(parts)).astype(np.int64))
                     key.append(np.full(len(mine), keys[owner[lo + i]]))
                     start.append(f - (stops[i] - len(texts[lo + i])) + base[lo + i])
-                    size.append(t - f)
                     data += [raw[p:q] for p, q in zip(f.tolist(), t.tolist(), strict=True)]
         if not part:
             return None
-        part, key, start, size = np.concatenate(part), np.concatenate(key), np.concatenate(start), np.concatenate(size)
-        out: dict[str, list] = {"part": [], "keys": [], "starts": [], "sizes": [], "data": []}
+        part, key, start = np.concatenate(part), np.concatenate(key), np.concatenate(start)
+        out: dict[str, list] = {"part": [], "runs": []}
         order = np.argsort(part, kind="stable")
-        cut = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
-        for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
-            at = order[x:y]
+        for x, n in zip(*[v.tolist() for v in _runs(part[order])], strict=True):
+            at = order[x : x + n]
+            own: dict[bytes, int] = {}
+            which = np.array([own.setdefault(data[i], len(own)) for i in at.tolist()], np.uint32)
+            sizes = np.array([len(s) for s in own], np.uint32)
+            head = np.array([n, len(own)], np.uint32)
             out["part"].append(int(part[at[0]]))
-            out["keys"].append(key[at].astype(np.int64).tobytes())
-            out["starts"].append(start[at].astype(np.int64).tobytes())
-            out["sizes"].append(size[at].astype(np.int32).tobytes())
-            out["data"].append(b"".join([data[i] for i in at.tolist()]))
-        return pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int64())} | {n: pa.array(out[n], pa.binary()) for n in ("keys", "starts", "sizes", "data")})
+            out["runs"].append(_press(b"".join([v.tobytes() for v in (head, key[at].astype(np.int64), start[at].astype(np.int64), which, sizes)] + [*own])))
+        return pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int64()), "runs": pa.array(out["runs"], pa.binary())})
 
     return run
 
 
-def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENGTH, budget: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """keys, starts, each run's string number, the distinct strings."""
+    raw = _open(blob)
+    n, m = np.frombuffer(raw, np.uint32, 2).tolist()
+    key, start = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n)
+    which, sizes = np.frombuffer(raw, np.uint32, n, 8 + 16 * n), np.frombuffer(raw, np.uint32, m, 8 + 20 * n)
+    stop = (np.cumsum(sizes) + 8 + 20 * n + 4 * m).tolist()
+    return key, start, which, [raw[a:b] for a, b in zip([8 + 20 * n + 4 * m, *stop], stop, strict=False)]
+
+
+def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENGTH, budget: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
     """For strings with a least key each: per window (string by string, in order) the least key of all equal windows.
 
     Returns the keys and where each string's windows begin.
@@ -261,7 +309,7 @@ def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENG
     end = np.cumsum(size + 1) - 1
     t[end] = 0
     begin = end - size
-    owner = np.repeat(np.arange(len(strings)), size + 1)
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), size + 1)
     words = np.ndarray(len(raw) - 7, "<u8", raw.tobytes(), strides=(1,))
     steps = [*range(0, length - 7, 8), length - 8] if length >= 8 else None
     windows = np.maximum(size - length + 1, 0)
@@ -300,31 +348,23 @@ def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENG
 def _sort_shard(length: int, budget: int):
     """Rows of one shard to rows (k, spans): (begin, end) pairs of bytes to remove."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, starts, ids, names, least = [], [], [], {}, []
-        for b in batches:
-            for ks, ss, zs, data in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True):
-                k, s, z = np.frombuffer(ks, np.int64), np.frombuffer(ss, np.int64), np.frombuffer(zs, np.int32)
-                keys.append(k)
-                starts.append(s)
-                stop = np.cumsum(z).tolist()
-                mine = np.empty(len(k), np.int64)
-                for i, (x, y, key) in enumerate(zip([0, *stop], stop, k.tolist(), strict=False)):
-                    j = names.setdefault(data[x:y], len(names))  # copies of a string are kept once
-                    if j == len(least):
-                        least.append(key)
-                    elif key < least[j]:
-                        least[j] = key
-                    mine[i] = j
-                ids.append(mine)
-        if not keys:
-            return
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, starts, ids, names, least = [], [], [], {}, np.zeros(0, np.int64)
+        for _, blob in rows:
+            k, s, which, strings = _unpack(blob)
+            mine = np.array([names.setdefault(x, len(names)) for x in strings], np.int64)  # copies of a string are kept once
+            if len(names) > len(least):
+                least = np.append(least, np.full(len(names) - len(least), np.iinfo(np.int64).max))
+            np.minimum.at(least, mine[which], k)
+            keys.append(k)
+            starts.append(s)
+            ids.append(mine[which])
         key, start, sid = np.concatenate(keys), np.concatenate(starts), np.concatenate(ids)
-        low, offset = repeated_windows(list(names), np.array(least, np.int64), length, budget)
+        low, offset = repeated_windows(list(names), least, length, budget)
         n = np.diff(offset)
         out_k, out_a, out_b = [], [], []
-        for at in range(0, len(key), 1 << 16):
-            k, s, i = key[at : at + (1 << 16)], start[at : at + (1 << 16)], sid[at : at + (1 << 16)]
+        for at in range(0, len(key), 1 << 14):
+            k, s, i = key[at : at + (1 << 14)], start[at : at + (1 << 14)], sid[at : at + (1 << 14)]
             size = n[i]
             row = np.repeat(np.arange(len(k)), size)
             where = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
@@ -338,22 +378,21 @@ def _sort_shard(length: int, budget: int):
             out_b.append(s[row[hit[end]]] + where[hit[end]] + length)
         if not out_k:
             return
-        k, a, z = np.concatenate(out_k), np.concatenate(out_a), np.concatenate(out_b)
-        order = np.argsort(k, kind="stable")
-        k, spans = k[order], np.stack([a, z], axis=1)[order]
-        cut = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        ends = np.append(cut[1:], len(k))
-        for at in range(0, len(cut), 5000):
-            yield pa.RecordBatch.from_pydict({"k": pa.array(k[cut[at : at + 5000]]), "spans": pa.array([spans[x:y].tobytes() for x, y in zip(cut[at : at + 5000], ends[at : at + 5000], strict=True)], pa.binary())})
+        yield from _rows_by_key(np.concatenate(out_k), np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1).astype(np.uint32), "spans")
 
-    return run
+    return settle
+
+
+def _pack_text(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts compressed before they move; a null text as an empty one."""
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array([_press((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["k", "z"])
 
 
 def merged(blobs: list[bytes] | None) -> np.ndarray:
     """Maximal runs from (begin, end) pairs."""
     if not blobs:
         return np.zeros((0, 2), np.int64)
-    s = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+    s = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64).reshape(-1, 2)
     s = s[np.argsort(s[:, 0], kind="stable")]
     reach = np.maximum.accumulate(s[:, 1])
     new = np.flatnonzero(np.append(True, s[1:, 0] > reach[:-1]))
@@ -365,16 +404,19 @@ def cut_out(raw: bytes, runs: np.ndarray) -> bytes:
     return b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
-def spans(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, k: int = K, budget: int = 64 << 20) -> DataFrame:
+def spans(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, k: int = K, budget: int = 16 << 20) -> DataFrame:
     """``k`` (an integer key), ``blobs``: encoded spans to remove, for the keys that lose something."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     total = rows.select(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = int(max(8, min(20_000, total // SHARD_BYTES + 1)))
-    sent = by_batch(rows, _repeats(shards, length, k), _ROWS)
-    settled = sent.repartition(shards, "part").mapInArrow(_look_up, "k long, codes binary")
+    shards = int(max(8, total // SHARD_BYTES + 1))
+    looks = int(max(8, total // LOOK_BYTES + 1))
+    tasks = int(max(8, min(20_000, shards // 4)))
+    sent = by_batch(rows, _repeats(looks, length, k), _ROWS, BLOCK_ROWS)
+    settled = sent.repartition(min(20_000, looks), "part").sortWithinPartitions("part").mapInArrow(_by_part(_look_up), "k long, codes binary")
     wanted = settled.groupBy("k").agg(F.collect_list("codes").alias("codes"))
-    runs = by_batch(rows.join(wanted, "k").select("k", "t", "codes"), _cut(shards, length, k), "part long, keys binary, starts binary, sizes binary, data binary")
-    found = runs.repartition(shards, "part").mapInArrow(_sort_shard(length, budget), "k long, spans binary")
+    packed = by_batch(rows, _pack_text, "k long, z binary")
+    runs = by_batch(packed.join(wanted, "k").select("k", "z", "codes"), _cut(looks, shards, length, k), "part long, runs binary", BLOCK_ROWS)
+    found = runs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_by_part(_sort_shard(length, budget)), "k long, spans binary")
     return found.groupBy("k").agg(F.collect_list("spans").alias("blobs"))
 
 
@@ -384,28 +426,33 @@ def report(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **option
     Null texts count as empty; texts shorter than a window lose nothing; rows that repeat a key do not remove
     each other's strings.
     """
-    both = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(spans(docs, text=text, key=key, **options), F.col("_k").cast("long") == F.col("k"), "left")
+    kind = docs.schema[key].dataType.simpleString()
+    packed = by_batch(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), _pack_text, f"k {kind}, z binary").withColumnRenamed("k", "own")
+    both = packed.join(spans(docs, text=text, key=key, **options), F.col("own").cast("long") == F.col("k"), "left").select("own", "z", "blobs")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], []]
         for t, blobs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            raw, runs = (t or "").encode(), merged(blobs)
+            raw, runs = _open(t), merged(blobs)
             for c, v in zip(cols, (len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(cut_out(raw, runs)).hexdigest()), strict=True):
                 c.append(v)
         return pa.RecordBatch.from_pydict({key: b.column(0), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, "kept_sha256": pa.array(cols[3], pa.string())})
 
-    return by_batch(both.select("_k", "_t", "blobs"), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_batch(both, run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the repeated strings cut out of ``text``; bytes that no longer form UTF-8 at a cut go too."""
-    found = spans(docs, text=text, key=key, **options).withColumnsRenamed({"k": "_span_key", "blobs": "_blobs"})
-    both = docs.join(found, docs[key].cast("long") == F.col("_span_key"), "left").drop("_span_key")
-    names, at, n = docs.columns, docs.columns.index(text), len(docs.columns)
+    """``row`` (a struct of the columns of ``docs``, whatever their names) and ``kept``, the text without the repeated strings.
+
+    Bytes that no longer form UTF-8 at a cut go too.
+    """
+    found = spans(docs, text=text, key=key, **options)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    both = rows.join(found, F.col("row")[key].cast("long") == F.col("k"), "left").select("row", "blobs")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t if not blobs else cut_out(t.encode(), merged(blobs)).decode("utf-8", "ignore") for t, blobs in zip(b.column(at).to_pylist(), b.column(n).to_pylist(), strict=True)]
-        cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(n)]
-        return pa.RecordBatch.from_arrays(cols, names=names)
+        texts = b.column(0).field(text).to_pylist()
+        kept = [t if not blobs else cut_out(t.encode(), merged(blobs)).decode("utf-8", "ignore") for t, blobs in zip(texts, b.column(1).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
 
-    return by_batch(both, run, docs.schema)
+    return by_batch(both, run, T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType())]))
