@@ -13,13 +13,11 @@ from docketry.llm.common import Scratch, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The columns of documents with a new text; n_chars follows where the text changed."""
-    changed = ~F.col(text).eqNullSafe(F.col("text"))
-    out = {"text": F.col(text)}
-    if "n_chars" in columns:
-        out["n_chars"] = F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return df.select(*[out.get(c, F.col(c)).alias(c) for c in columns])
+def _with_text(cleaned: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents from (row, kept); n_chars follows where the text changed."""
+    changed = ~F.col("kept").eqNullSafe(F.col("row.text"))
+    out = {"text": F.col("kept"), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in columns else None}
+    return cleaned.select(*[(out[c] if c in out else F.col("row")[c]).alias(c) for c in columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: cross-site boilerplate lines go."""
-    return _with_text(linededup.clean_lines(docs), docs.columns, "_text")
+    return _with_text(linededup.clean_lines(docs), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: byte strings of 50 or more that a document of smaller id holds too are cut out."""
-    out = suffix.clean(docs.withColumn("_before", F.col("text")))
-    return _with_text(out.withColumnsRenamed({"text": "_text", "_before": "text"}), docs.columns, "_text")
+    return _with_text(suffix.clean(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 MIN_SITES, NEAR, LG_K, MOST_LOST, SALTS = 10, 0.2, 12, 0.5, 32
 #: Three words at least; shorter lines are too common to tell boilerplate from prose.
 WORTHY = r"[^\x20\x09-\x0D][\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]"
@@ -37,38 +39,34 @@ def spread_lines(docs: DataFrame, *, text: str = "text", site: str = "source", m
 
 
 def clean_lines(docs: DataFrame, *, text: str = "text", site: str = "source", key: str = "doc_id", most_lost: float = MOST_LOST, **options) -> DataFrame:
-    """``docs`` with ``_text`` (what is left), ``_n_lines`` and ``_n_removed``.
+    """``row`` (a struct of the columns of ``docs``, whatever their names), ``kept`` (what is left of the text), n_lines, n_removed.
 
     Lines are split at U+000A.  Null and empty texts, and lines of fewer than three words, stay as they are.
-    Repeated rows are treated alike; other columns pass through (names with a leading underscore are
-    reserved).
+    Repeated rows are treated alike.
     """
-    from .common import Scratch
-
     spread = Scratch(docs.sparkSession, "lines").put(spread_lines(docs, text=text, site=site, **options))
     # a line may be on a third of all documents: its occurrences are dealt over SALTS tasks
     spread = spread.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    marked = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_th"), F.explode(line_hashes(F.col(text))).alias("h"))
-    marked = marked.withColumn("salt", F.pmod(F.xxhash64("_k", "_th"), F.lit(SALTS)).cast("int"))
-    bad = marked.join(spread, ["h", "salt"]).groupBy("_k", "_th").agg(F.collect_set("h").alias("_bad"))
-    rows = docs.withColumn("_th", F.xxhash64(text))
-    both = rows.join(bad.withColumnRenamed("_th", "_bth"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_bth")), "left")
-    lines = _lines(F.col(text))
-    left = F.filter(lines, lambda x: ~(x.rlike(WORTHY) & F.array_contains("_bad", F.xxhash64(x))))
-    both = both.withColumn("_left", F.when(F.col("_bad").isNotNull(), left))
-    joined = F.array_join("_left", "\n")
-    lost = F.length(text) - F.length(joined)
-    both = both.withColumn("_text", F.when(F.col("_bad").isNotNull() & (lost <= most_lost * F.length(text)), joined).otherwise(F.col(text)))
-    n = F.size(lines)
-    removed = F.when(F.col("_bad").isNotNull() & (lost <= most_lost * F.length(text)), n - F.size("_left")).otherwise(0)
-    return both.select(*[docs[c] for c in docs.columns], "_text", n.cast("long").alias("_n_lines"), removed.cast("long").alias("_n_removed"))
+    marked = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.explode(line_hashes(F.col(text))).alias("h"))
+    marked = marked.withColumn("salt", F.pmod(F.xxhash64("k", "th"), F.lit(SALTS)).cast("int"))
+    bad = marked.join(spread, ["h", "salt"]).groupBy("k", "th").agg(F.collect_set("h").alias("bad"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64(text).alias("rh"))
+    body = F.col("row")[text]
+    both = rows.join(bad, F.col("row")[key].eqNullSafe(F.col("k")) & (F.col("rh") == F.col("th")), "left")
+    left = F.filter(_lines(body), lambda x: ~(x.rlike(WORTHY) & F.array_contains("bad", F.xxhash64(x))))
+    both = both.withColumn("left", F.when(F.col("bad").isNotNull(), left)).withColumn("joined", F.array_join("left", "\n"))
+    cut = F.col("bad").isNotNull() & (F.length(body) - F.length("joined") <= most_lost * F.length(body))
+    n = F.size(_lines(body))
+    return both.select(
+        "row", F.when(cut, F.col("joined")).otherwise(body).alias("kept"), n.cast("long").alias("n_lines"),
+        F.when(cut, n - F.size("left")).otherwise(0).cast("long").alias("n_removed"),
+    )
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """key, n_lines, n_removed, kept_chars, kept_sha256 for every row (a null text counts as empty)."""
-    out = clean_lines(docs, key=key, **options)
-    kept = F.coalesce(F.col("_text"), F.lit(""))
-    return out.select(key, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    kept = F.coalesce(F.col("kept"), F.lit(""))
+    return clean_lines(docs, key=key, **options).select(F.col("row")[key].alias(key), "n_lines", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 #: The same rows by exact counts.
