@@ -31,13 +31,17 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n
 
 
+#: The temporary folder of a driver whose session names no shared one.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where the session names none."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="docketry-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+    if there := spark.conf.get("spark.checkpoint.dir", None):
+        return there.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="docketry-"))
+    return _OWN[0]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
