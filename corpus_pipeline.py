@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import linededup, packing, simhash, suffix, toxicity
+from docketry.llm import linededup, nearcopies, packing, suffix, toxicity
 from docketry.llm.common import Scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,8 +31,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: one document of each near-duplicate component stays, that of the smallest id."""
-    return simhash.one_of_each(docs)
+    """Operator 1: one document of each near-duplicate component (five-word shingles, similarity 0.8) stays, that of the smallest id."""
+    return nearcopies.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
