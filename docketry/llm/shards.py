@@ -8,6 +8,9 @@ so one more shard takes rows only into itself.  A bucket never spans shards.
 The shuffle's generator is seeded with the seed and the partition's number.  Buckets are therefore dealt to
 a fixed number of partitions and sorted there, bucket contents too, so that a task that runs
 again, or another run over the same rows, gives the same order.
+
+Each shard has buckets for its own bytes and rows.  Many equal rows are counted instead of moved one by one, and
+their copies are numbered and dealt to all buckets of their shard.
 """
 
 from __future__ import annotations
@@ -16,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bytes of text that a bucket holds on average; pass two needs a small multiple of it at once.
+from .common import Scratch
+
+#: Bytes of text, and rows, that a bucket holds on average; pass two needs a small multiple of it at once.
 BUCKET_BYTES = 32 << 20
-#: The same for the light rows of ``assign``: a bucket's rows are an id, a size and a checksum.
 BUCKET_ROWS = 20_000
+#: Equal rows beyond this number, or beyond a quarter of a bucket's bytes, are dealt to several buckets.
+EQUAL_ROWS = 1000
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -28,55 +34,61 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return best["s"]
 
 
-def _shuffled(rows: DataFrame, payload: list[str], shards: int, per_shard: int, seed: int) -> DataFrame:
-    """Rows with ``shard`` get ``slot``, gapless from 0 in each shard.
+def scatter(docs: DataFrame, shards: int, *, seed: int, text: str, key: str, bucket_bytes: int, bucket_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Pass one: the rows with ``shard`` and ``_bucket``; ``_bucket`` and ``_before`` (rows of its shard in earlier buckets); the number of buckets."""
+    kept = docs.columns
+    rows = docs.select(*kept, shard_of(F.col(key), shards, seed).cast("int").alias("shard"), F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in kept]).alias("_h"))
+    light = scratch.put(rows.select("shard", "_h", (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("size")))
+    totals = {r["shard"]: (r["bytes"], r["n"]) for r in light.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
+    per = [max(1, -(-b // bucket_bytes), -(-n // bucket_rows)) for b, n in (totals.get(s, (0, 0)) for s in range(shards))]
+    first = [sum(per[:s]) for s in range(shards)]
+    # the tables are joined, as thousands of shards would make long expressions
+    plan = docs.sparkSession.createDataFrame(list(zip(range(shards), first, per, strict=True)), "shard int, _first int, _per int")
+    dealt = lambda df: df.join(F.broadcast(plan), "shard").withColumn("_bucket", (F.col("_first") + F.pmod(F.xxhash64(F.lit(seed + 2), "_h", "_copy"), F.col("_per"))).cast("int")).drop("_first", "_per", "_copy")
+    same = light.groupBy("shard", "_h").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    same = scratch.put(same.withColumn("many", (F.col("n") > EQUAL_ROWS) | ((F.col("n") > 1) & (F.col("n") * F.col("size") > bucket_bytes / 4))))
+    copies = same.select("shard", "_h", F.when(F.col("many"), 1).otherwise(F.col("n")).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("many"), F.col("n") - 1).otherwise(0))).alias("_copy"))
+    counts = dealt(copies).groupBy("_bucket").agg(F.first("shard").alias("_shard"), F.sum("n").alias("_n"))
+    before = counts.select("_bucket", (F.sum("_n").over(Window.partitionBy("_shard").orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    many = same.where("many").select("_h")
+    plain = rows.join(F.broadcast(many), "_h", "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    equal = rows.join(F.broadcast(many), "_h", "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    equal = equal.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+    return dealt(plain.unionByName(equal)).drop("_h"), before, sum(per)
+
+
+def write_shards(docs: DataFrame, to: str, shards: int = 16, *, seed: int = 17, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> None:
+    """Writes whole rows, shuffled, as one folder for each shard, with ``slot``, gapless from 0 in each shard; rows lie in slot order in each file.
 
-    Rows of one bucket: those of a shard with one hash of all payload columns but the text."""
-    spread = F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in payload if c != "text"]), F.lit(per_shard)).cast("int")
-    buckets = shards * per_shard
-    at = rows.withColumn("_bucket", F.col("shard") * per_shard + spread)
+    Columns ``shard``, ``slot`` and names with a leading underscore are replaced if the table has them.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot") and not c.startswith("_")]
+    at, before, buckets = scatter(docs.select(*kept), shards, seed=seed, text=text, key=key, bucket_bytes=bucket_bytes, bucket_rows=bucket_rows, scratch=Scratch(docs.sparkSession, "shards"))
     packed = (
         at.repartition(min(buckets, 20_000), "_bucket")
         .groupBy("_bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("shard", *payload))).alias("_rows"))
+        .agg(F.sort_array(F.collect_list(F.struct("shard", *kept))).alias("_rows"))
         .sortWithinPartitions("_bucket")
         .select("_bucket", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_pos", "_row"))
     )
-    counts = at.groupBy("_bucket").agg(F.first("shard").alias("_shard"), F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_bucket", (F.sum("_n").over(Window.partitionBy("_shard").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    return packed.join(before, "_bucket").select("_row.*", (F.col("_before") + F.col("_pos")).cast("long").alias("slot"))
+    out = packed.join(F.broadcast(before), "_bucket").select("_row.*", (F.col("_before") + F.col("_pos")).cast("long").alias("slot"))
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(to)
 
 
-def assign(docs: DataFrame, shards: int = 16, *, seed: int = 17, text: str = "text", key: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Where each row goes: key, size, text_crc32, law, shard, slot, grown_shard (with one more shard).
+def assign(docs: DataFrame, shards: int = 16, *, seed: int = 17, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Where each row went: key, size, text_crc32, law, shard, slot, grown_shard (with one more shard).
 
-    Only ids, sizes and checksums move.  Size is the text's UTF-8 bytes plus 1; a null text has size 1 and
-    checksum 0, as an empty one.  Rows without an id are keyed as one id (they share a shard and are dealt to
-    its buckets by size and checksum).  Repeated rows get slots of their own.  Bucket
-    counts (one row for each ``bucket_rows`` input rows) are joined on the bucket, by which the rows already lie.
+    The rows are written by ``write_shards`` to the shared folder; all columns come from the rows read back.  Size
+    is the text's UTF-8 bytes plus 1; a null text has size 1 and checksum 0, as an empty one.  Rows without an id are
+    keyed as one id (they share a shard).  Repeated rows get slots of their own.
     """
+    spark = docs.sparkSession
+    to = f"{Scratch(spark, 'sharded').root}/0"
+    write_shards(docs, to, shards, seed=seed, text=text, key=key, bucket_bytes=bucket_bytes, bucket_rows=bucket_rows)
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (key, text)}
+    back = spark.read.schema(", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", slot long, shard int").parquet(to)
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(key),
-        (F.octet_length(raw) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"),
-        shard_of(F.col(key), shards, seed).cast("int").alias("shard"),
-        shard_of(F.col(key), shards + 1, seed).cast("int").alias("grown_shard"),
-    )
-    n = docs.select(F.count(F.lit(1))).first()[0]
-    per_shard = max(1, -(-n // (shards * bucket_rows)))
-    out = _shuffled(rows, [key, "size", "text_crc32", "grown_shard"], shards, per_shard, seed)
-    return out.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
-
-
-def write_shards(docs: DataFrame, to: str, shards: int = 16, *, seed: int = 17, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Writes whole rows, shuffled, as one folder for each shard; rows lie in slot order in each file.
-
-    Columns ``shard``, ``slot`` and names with a leading underscore are replaced if the table has them.
-    """
-    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot") and not c.startswith("_")]
-    total = docs.select(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1)).first()[0] or 0
-    per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    rows = docs.select(*kept, shard_of(F.col(key), shards, seed).cast("int").alias("shard"))
-    out = _shuffled(rows, kept, shards, per_shard, seed)
-    out.write.partitionBy("shard").parquet(to)
+    return back.select(
+        F.col(key), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"),
+        F.lit("key").alias("law"), "shard", "slot", shard_of(F.col(key), shards + 1, seed).cast("int").alias("grown_shard"),
+    )
