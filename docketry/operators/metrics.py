@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,20 +80,36 @@ def paired_differences(metrics: DataFrame, a: str, b: str, metric: str = "ndcg5"
     return x.join(y, "qid").select("qid", (F.col("x") - F.col("y")).alias("d"))
 
 
-def paired_bootstrap(diffs: DataFrame, n: int = 10_000, seed: int = SEED) -> DataFrame:
+def paired_bootstrap(diffs: DataFrame, n: int = 10_000, seed: int = SEED, block: int = 1 << 14, share: int = 500) -> DataFrame:
     """Mean difference, 95 % interval, sign-flip p-value, wins, losses, ties; no row for fewer than two queries.
 
-    Draws come from hashes of (seed, draw, place), so each draw is the same on any cluster.
+    Queries are dealt by hash to blocks of about ``block``.  A draw first deals its picks to the blocks (multinomial), then
+    picks within each, so that it is one of n from n; ``share`` draws of a block are one unit of work.  Generators are
+    seeded with (seed, draw, block), so each draw is the same on any cluster.
     """
     spark = diffs.sparkSession
-    q = diffs.withColumn("i", F.row_number().over(Window.orderBy("qid")) - 1)
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.sum((F.col("d") > 0).cast("int")).alias("wins"), F.sum((F.col("d") < 0).cast("int")).alias("losses"), F.sum((F.col("d") == 0).cast("int")).alias("ties"), F.sort_array(F.collect_list(F.struct("i", "d"))).alias("all")).where("n >= 2")
-    draws = spark.range(n).crossJoin(stats)
-    value = lambda x: x["d"]
-    pick = F.transform(F.col("all"), lambda x: F.element_at(F.col("all"), (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), x["i"]), F.col("n")) + 1).cast("int"))["d"])
-    flip = F.transform(F.col("all"), lambda x: F.when(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id"), x["i"]), F.lit(2)) == 0, value(x)).otherwise(-value(x)))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
-    means = draws.select("n", "mean", "wins", "losses", "ties", (total(pick) / F.col("n")).alias("boot"), F.abs(total(flip) / F.col("n")).alias("perm"))
+    dealt = lambda k: diffs.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "qid"), F.lit(k)).cast("int"))
+    sizes = {r["b"]: r["count"] for r in dealt(max(1, -(-diffs.count() // block))).groupBy("b").count().collect()}
+    total, names = sum(sizes.values()), sorted(sizes)
+    odds = [sizes[b] / total for b in names]
+    packed = dealt(max(1, -(-total // block))).groupBy("b").agg(F.transform(F.sort_array(F.collect_list(F.struct("qid", "d"))), lambda x: x["d"]).alias("d"))
+
+    def run(batches):
+        for batch in batches:
+            for b, d, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                d, draws = np.array(d, float), np.arange(start, min(n, start + share))
+                boot, perm, mine = [], [], names.index(b)
+                for draw in draws.tolist():
+                    picks = np.random.default_rng([seed, draw]).multinomial(total, odds)[mine]
+                    rng = np.random.default_rng([seed, draw, b + 1])
+                    boot.append(d[rng.integers(0, len(d), picks)].sum())
+                    perm.append(d.sum() - 2 * d[rng.integers(0, 2, len(d), np.int8) == 1].sum())
+                yield pa.RecordBatch.from_pydict({"id": pa.array(draws), "boot": pa.array(boot, pa.float64()), "perm": pa.array(perm, pa.float64())})
+
+    units = packed.crossJoin(F.broadcast(spark.range(0, n, share))).repartition(max(1, min(2000, len(names) * -(-n // share))), "b", "id")
+    sums = units.select("b", "d", "id").mapInArrow(run, "id long, boot double, perm double").groupBy("id").agg(F.sum("boot").alias("boot"), F.sum("perm").alias("perm"))
+    stats = diffs.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.sum((F.col("d") > 0).cast("int")).alias("wins"), F.sum((F.col("d") < 0).cast("int")).alias("losses"), F.sum((F.col("d") == 0).cast("int")).alias("ties")).where("n >= 2")
+    means = sums.crossJoin(F.broadcast(stats)).withColumn("boot", F.col("boot") / F.col("n")).withColumn("perm", F.abs(F.col("perm") / F.col("n")))
     out = (
         means.withColumn("ge", (F.col("perm") >= F.abs("mean") - 1e-12).cast("int"))
         .groupBy("n", "mean", "wins", "losses", "ties")

@@ -127,7 +127,7 @@ def h21(s, d):
 @query("H22_document_vectors")
 def h22(s, d):
     docs = table(s, d, "documents")
-    v = I.document_vectors(I.train_vectors(docs, rounds=1), docs, "doc_id")
+    v = I.document_vectors(I.train_vectors(docs), docs, "doc_id")
     return v.select("doc_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
