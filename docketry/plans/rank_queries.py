@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from docketry.functions import legal as L
 from docketry.functions import vectors as V
 from docketry.operators import corpus, metrics
+from docketry.operators import entities as E
 from docketry.operators import labels as LB
 from docketry.operators import retrieval as R
 from docketry.operators import scoring as S
@@ -346,11 +347,13 @@ def f16(s, d):
 
 @query("F18_best_passage")
 def f18(s, d):
-    docs = table(s, d, "documents").select((F.col("doc_id") % 7).alias("qid"), F.col("doc_id").alias("doc"), "text")
-    p = R.term_frequencies(table(s, d, "documents"), "doc_id")
-    idf = R.bm25_idf(p, table(s, d, "documents").agg(F.count(F.lit(1)).alias("n")))
-    terms = R.term_frequencies(table(s, d, "benchmark").where("item_id < 7"), "item_id").join(idf, "term").select(F.col("item_id").alias("qid"), "term", "idf")
-    return LB.best_passage(docs, terms).withColumn("score", F.round("score", 6))
+    asked, held = table(s, d, "benchmark"), table(s, d, "documents")
+    top = R.top_k(_bm25(s, d).withColumn("score", F.round("score", 6)), 10, by="item_id", tie="doc_id", positive=True)
+    docs = top.join(held, "doc_id").select(F.col("item_id").alias("qid"), F.col("doc_id").alias("doc"), "text")
+    idf = R.bm25_idf(R.term_frequencies(held, "doc_id"), held.agg(F.count(F.lit(1)).alias("n")))
+    terms = R.term_frequencies(asked, "item_id").join(idf, "term").select(F.col("item_id").alias("qid"), "term", "idf")
+    numbers = E.extract(asked, "item_id").where("kind = 'provision'").select(F.col("item_id").alias("qid"), F.regexp_replace("ref", "^(?:art|r|s)", "").alias("number"))
+    return LB.best_passage(docs, terms, numbers=numbers.distinct()).withColumn("score", F.round("score", 6))
 
 
 @query("G01_I03_pool", f"SELECT DISTINCT qid, doc FROM ({RUN}) x WHERE rank <= CASE system WHEN 'a' THEN 10 ELSE 5 END")

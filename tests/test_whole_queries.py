@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from docketry.operators import intents, metrics
+from docketry.operators import intents, labels, metrics
 from docketry.plans import rank_queries, registry
 
 DATA = "/root/testdata/sf0.001"
@@ -37,3 +37,25 @@ def test_vectors_take_the_production_rounds(spark, monkeypatch):
     monkeypatch.setattr(intents, "train_vectors", lambda docs, text="text", rounds=5: seen.append(rounds) or train(docs, text, rounds))
     registry.QUERIES["H22_document_vectors"](spark, DATA)
     assert seen == [5]
+
+
+@tables
+def test_passages_of_every_item(spark):
+    got = registry.QUERIES["F18_best_passage"](spark, DATA).select("qid", "doc").collect()
+    top = registry.QUERIES["E03_bm25_topk"](spark, DATA).select("item_id", "doc_id").collect()
+    assert len(got) == len(set(got)) and {tuple(x) for x in got} <= {tuple(x) for x in top}
+    assert max(x.qid for x in got) >= 7 and len({x.qid for x in got}) > 0.9 * len({x.item_id for x in top})
+
+
+def test_passage_expands_round_the_match(spark):
+    filler = " ".join(f"Some words of no import stand here in line {i} of it all." for i in range(20))
+    docs = [(1, 1, f"{filler} The needle lies hidden in this place. {filler}"), (1, 2, "A first paragraph about the needle of some eighty characters or more, so it counts.\n" + "Another paragraph under Section 302 of the Code, with the grave offence of house breaking named in it."), (2, 3, "short")]
+    df = spark.createDataFrame(docs, "qid long, doc long, text string")
+    terms = spark.createDataFrame([(1, "needle", 2.0)], "qid long, term string, idf double")
+    plain = {r.doc: r for r in labels.best_passage(df, terms).collect()}
+    assert set(plain) == {1, 2} and "needle lies hidden" in plain[1].paragraph and len(plain[1].paragraph) < 700
+    assert plain[1].paragraph.startswith("… ") and plain[1].paragraph.endswith(" …") and plain[2].pos == 0
+    more = labels.best_passage(df, terms, spark.createDataFrame([(1, "house breaking")], "qid long, phrase string"), spark.createDataFrame([(1, "302"), (1, "30")], "qid long, number string"))
+    r = {r.doc: r for r in more.collect()}[2]
+    words = 18
+    assert r.pos == 1 and abs(r.score - 7.0 / (1 + 0.15 * np.log(1 + words))) < 1e-9
