@@ -36,9 +36,15 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary one serves a local master; on a cluster that is an error, as executors
+    would not see the driver's folder.
+    """
     if there := spark.conf.get("spark.checkpoint.dir", None):
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="docketry-"))
     return _OWN[0]
@@ -77,6 +83,27 @@ class Scratch:
             _remove(self.spark, path)
 
 
+def spread_join(rows: DataFrame, one: DataFrame, on: str, most: int = 50_000, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``one`` (a row for each value of ``on`` at most), with no value's rows all in one task.
+
+    Values on more than ``most`` rows are counted first; their row of ``one`` is repeated for so many tasks and
+    their rows are dealt to these.  There are at most count / most such values, and never over 100,000, as ``most`` grows
+    with the count from there; so they can be broadcast.  A null matches nothing.
+    """
+    total = rows.count()
+    most = max(most, total // 100_000)
+    if total <= most:
+        return rows.join(one, on, how)
+    hot = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    found = hot.select(on, F.ceil(F.col("_n") / most).cast("int").alias("_tasks")).collect()  # at most 100,000 rows
+    if not found:
+        return rows.join(one, on, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, f"`{on}` {rows.schema[on].dataType.simpleString()}, _tasks int"))
+    left = rows.join(hot, on, "left").withColumn("_task", F.when(F.col("_tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_tasks")).cast("int"))).drop("_tasks")
+    right = one.join(hot, on, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1))).drop("_tasks")
+    return left.join(right, [on, "_task"], how).drop("_task")
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int = 1000) -> DataFrame:
     """``f`` over ``rows`` rows at a time.  Batches end at spark.sql.execution.arrow.maxBytesPerBatch."""
 

@@ -1,30 +1,42 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, exact sets decide.
-
-A 64-bit SimHash cannot serve similarity 0.8: about 10 bits differ there, and files that leave no pair of 16
-differing bits out hold 3 or 4 exact bits.  A pair at 0.8 shares one of 32 bands of 6 minima with probability
-1 - (1 - 0.8^6)^32 = 0.99994, one at 0.9 in all but 1 of 10^10 cases.
-
-Equal shingle sets are one node.  Of bands of up to ``PAIRS_UP_TO`` nodes all pairs of fitting sizes are compared.
-Larger ones are worked off in rounds: some members are compared with all members that are not yet in their
-component.  Pairs that are apart after the last round are all compared, so none is left out.
+"""SimHash near copies at a Jaccard similarity of word shingles.
+
+At similarity 0.8 a SimHash differs in about 15 % of its bits, so fingerprints have 256 bits and the budget is
+``MOST`` of them: at 0.8 a pair differs in 39 on average, with a deviation of 6, at 0.5 in 69, unlike texts in 128.
+The bits lie on a ring of four segments; a pair is dropped unless from some segment on every chain of l segments differs
+in at most l / 4 of the budget (pigeonring filter), before its full distance is taken.  What passes is decided by the
+exact shingle sets.  Files of exact bits, as ``simhash`` has for 3 bits, cannot find pairs at this distance: those that leave no pair
+out would hold 3 or 4 bits.  Pairs that are put to the filter share a MinHash band instead: one of 32 bands of
+6 minima is shared at 0.8 with probability 1 - (1 - 0.8^6)^32 = 0.99994, at 0.9 in all but 1 of 10^10 cases.
+
+Equal shingle sets are one node.  In bands of up to ``PAIRS_UP_TO`` nodes all meet.  In larger ones, which hold large groups
+of near copies, all meet one leader, the node that is in most large bands, as the original of a group is; then those that
+did not join the band's largest component meet a leader of theirs.  The links between what is still apart are found by an
+exact prefix filter: of two sets of similarity s, ordered by one global order, the first n - ceil(s n) + 1 shingles have one in
+common.  With the rarest first, members with many shingles of their own meet no one by them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_batch
+from .common import Scratch, by_batch, spread_join
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
-PAIRS_UP_TO, LEADERS, ROUNDS = 24, 4, 4
-_ODD = np.random.default_rng(42).integers(0, 1 << 63, 64 + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+LONGS, MOST = 4, 68
+PAIRS_UP_TO, ROUNDS = 24, 2
+#: Shingle counts by which the prefix filter orders; a chance agreement only costs work.
+COUNTERS = 1 << 18
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, 64 + BANDS * ROWS + LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+_FP = [f"f{i}" for i in range(LONGS)]
 
 
 def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -46,88 +58,175 @@ def band_hashes(g: np.ndarray) -> np.ndarray:
     """One hash for each band of minima."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(g), 512):
-        np.minimum(low, (g[at : at + 512, None] * _ODD[64:]).min(axis=0), out=low)
+        np.minimum(low, (g[at : at + 512, None] * _ODD[64 : 64 + BANDS * ROWS]).min(axis=0), out=low)
     rows = low.reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
 
 
+def wide_fingerprint(g: np.ndarray) -> np.ndarray:
+    """The 256-bit SimHash of a shingle set, as four longs."""
+    total = np.zeros(64 * LONGS, np.int64)
+    for at in range(0, len(g), 4096):
+        h = g[at : at + 4096, None] * _ODD[64 + BANDS * ROWS :]
+        h ^= h >> _SHIFT
+        h *= _MIX
+        total += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * total > len(g), bitorder="little").view("<i8")
+
+
+def near(most: int = MOST) -> Column:
+    """Whether fingerprints f0.. and g0.. differ in at most ``most`` bits: pigeonring chains, then the whole distance."""
+    d = [F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(LONGS)]
+    chains = lambda at: [sum(d[(at + k) % LONGS] for k in range(size)) <= size * most // LONGS for size in range(1, LONGS)]
+    some = reduce(Column.__or__, [reduce(Column.__and__, chains(at)) for at in range(LONGS)])
+    return some & (sum(d) <= most)
+
+
 def _node(g: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(g.tobytes(), 7)
 
 
 def sketches(docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
-    """key, th (hash of the text), node (of the shingle set), n, bands."""
+    """key, th (hash of the text), node (of the shingle set), n, bands, the fingerprint's longs."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [grams(t, shingle) for t in b.column(2).to_pylist()]
-        nodes = np.array([_node(g) for g in sets], np.uint64).view(np.int64)
-        bands = pa.array([band_hashes(g) if len(g) else np.zeros(0, np.int64) for g in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_pydict({key: b.column(0), "th": b.column(1), "node": pa.array(nodes), "n": pa.array([len(g) for g in sets], pa.int64()), "bands": bands})
+        done: dict[str | None, tuple] = {}
+        rows = []
+        for t in b.column(2).to_pylist():
+            if t not in done:
+                g = grams(t, shingle)
+                done[t] = (_node(g), len(g), band_hashes(g) if len(g) else np.zeros(0, np.int64), wide_fingerprint(g))
+            rows.append(done[t])
+        fps = np.array([r[3] for r in rows], np.int64).reshape(-1, LONGS)
+        cols = [b.column(0), b.column(1), pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(LONGS)]], names=["k", "th", "node", "n", "bands", *_FP])
 
     kind = docs.schema[key].dataType.simpleString()
-    return by_batch(docs.select(key, F.xxhash64(text).alias("th"), text), run, f"`{key}` {kind}, th long, node long, n long, bands array<long>")
+    named = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    return by_batch(named, run, f"k {kind}, th long, node long, n long, bands array<long>, " + ", ".join(f"{f} long" for f in _FP))
 
 
-def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Of pairs ``a, b`` those whose exact similarity is reached; only texts that are in a pair are read out."""
+def _sets(docs: DataFrame, nodes: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
+    """``node``, ``grams`` of the given nodes, read from the row of the least key that has the text."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [grams(t, shingle) for t in b.column(1).to_pylist()]
-        return pa.RecordBatch.from_pydict({"node": b.column(0), "grams": pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))})
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))], names=["node", "grams"])
+
+    named = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    wanted = nodes.select("node", F.col("least").alias("k"), "th")
+    found = named.where("k IS NOT NULL").join(wanted.where("k IS NOT NULL"), ["k", "th"]).select("node", "t")
+    unnamed = named.where("k IS NULL").select("th", "t").dropDuplicates(["th"]).join(wanted.where("k IS NULL").drop("k"), "th").select("node", "t")
+    return by_batch(found.union(unnamed).dropDuplicates(["node"]), run, "node long, grams array<long>")
 
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(met, "node").select("node", "th")
-    texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(wanted, "th").select("node", "text").dropDuplicates(["node"])
-    sets = scratch.put(by_batch(texts, run, "node long, grams array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Of pairs ``a, b`` those whose exact similarity is reached."""
+    x, y = (sets.select(F.col("node").alias(end), F.col("grams").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    pairs = scratch.put(pairs)
+    both = spread_join(pairs, x, "a").join(y, "b")  # a is the leader's end wherever many rows share one
     shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    out = scratch.put(shared.where(F.col("shared") + 1e-9 >= similarity * (F.col("total") - F.col("shared"))).select("a", "b"))
-    scratch.drop(sets)
-    return out
+    return scratch.put(shared.where(F.col("shared") + 1e-9 >= similarity * (F.col("total") - F.col("shared"))).select("a", "b"))
+
 
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``node``, ``token``: of each set the shingles of which two similar sets must share one, the rarest first."""
 
-def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, pairs_up_to: int = PAIRS_UP_TO, rounds: int = ROUNDS) -> DataFrame:
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            g = b.column(0).flatten().to_numpy().view(np.uint64)
+            total += np.bincount((g % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["c", "n"])
+
+    counted = sets.select("grams").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted.c.to_numpy(int)] = counted.n.to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def first(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for g in b.column(1).to_pylist():
+            g = np.array(g, np.int64).view(np.uint64)
+            order = np.lexsort((g, shared.value[(g % np.uint64(COUNTERS)).astype(np.int64)]))
+            out.append(g[order[: len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1]].view(np.int64))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    return by_batch(sets.select("node", "grams"), first, "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
+
+
+def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST, pairs_up_to: int = PAIRS_UP_TO, rounds: int = ROUNDS) -> DataFrame:
     """key, component_id (the smallest key reachable over pairs of at least ``similarity``) for every row.
 
-    Word-less texts are one set, equal to each other.  A null key counts as no key.
+    Null, empty and word-less texts are one set, equal to each other; a text of fewer words than a shingle is one shingle.
+    Repeated rows stay.  A null key counts as no key.  An empty table gives an empty one; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "nearcopies")
     rows = scratch.put(sketches(docs, text, key, shingle))
-    nodes = scratch.put(rows.groupBy("node").agg(F.min("th").alias("th"), F.min(key).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    filed = nodes.select("node", "n", F.explode("bands").alias("band"))
+    first = [F.first(c).alias(c) for c in ("n", "bands", *_FP)]
+    named = F.min(F.when(F.col("k").isNotNull(), F.struct("k", "th")))  # the row that the text is read from
+    nodes = rows.groupBy("node").agg(named.alias("m"), F.min("th").alias("th"), *first)
+    nodes = scratch.put(nodes.select("node", F.col("m.k").alias("least"), F.coalesce("m.th", "th").alias("th"), "n", "bands", *_FP))
+    filed = nodes.select("node", "n", *_FP, F.explode("bands").alias("band"))
     sizes = filed.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    filed = scratch.put(filed.join(sizes, "band").select("band", "node", "n", "many"))
-    fits = F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")
-
-    def meet(left: DataFrame, right: DataFrame, extra=F.lit(True)) -> DataFrame:
-        both = left.join(right, "band").where(fits & (F.col("node") != F.col("other")) & extra)
-        return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-    other = lambda df: df.withColumnsRenamed({"node": "other", "n": "m", "root": "side"})
-    few, crowd = filed.where(f"many <= {pairs_up_to}").select("band", "node", "n"), filed.where(f"many > {pairs_up_to}").select("band", "node", "n")
-    tried = scratch.put(meet(few, other(few), F.col("node") < F.col("other")))
-    edges = _similar(docs, nodes, tried, scratch, text, shingle, similarity)
+    filed = scratch.put(filed.join(sizes, "band"))
+    one = ["node", "n", *_FP]
+    as_other = dict(zip(["band", "root", "token", *one], ["_band", "side", "_token", "other", "m", *[f"g{i}" for i in range(LONGS)]], strict=True))
+    other = lambda df: df.withColumnsRenamed({k: v for k, v in as_other.items() if k in df.columns})
+    may = (F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")) & near(most)
+
+    def to_leaders(members: DataFrame, candidates: DataFrame, extra=F.lit(True)) -> DataFrame:
+        """Pairs of a leader (``a``) for each band and the members of the band."""
+        lead = candidates.groupBy("band").agg(F.max_by(F.struct(*[c for c in candidates.columns if c not in ("band", "deg")]), F.struct("deg", F.xxhash64("node"))).alias("l")).select("band", "l.*")
+        lead = other(lead).withColumnRenamed("_band", "band")
+        met = spread_join(members, lead, "band").where((F.col("node") != F.col("other")) & may & extra)
+        return met.select(F.col("other").alias("a"), F.col("node").alias("b")).distinct()
+
+    few = filed.where(f"many <= {pairs_up_to}").select("band", *one)
+    met = few.join(other(few), (F.col("band") == F.col("_band")) & (F.col("node") < F.col("other")) & may)
+    pairs = scratch.put(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
+    crowd = filed.where(f"many > {pairs_up_to}").select("band", *one)
+    crowd = scratch.put(crowd.join(crowd.groupBy("node").agg(F.count(F.lit(1)).alias("deg")), "node"))
+    crowded = not crowd.isEmpty()
+    if crowded:
+        pairs = scratch.put(pairs.union(to_leaders(crowd, crowd)))
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
+    sets = scratch.put(_sets(docs, nodes.join(met, "node").select("node", "least", "th"), text, key, shingle))
+    edges = _similar(pairs, sets, similarity, scratch)
     comp = components(edges, scratch)
-    if not crowd.isEmpty():
-        for turn in range(rounds + 1):
-            named = crowd.join(comp, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-            open_bands = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-            named = scratch.put(named.join(open_bands, "band"))
-            if named.isEmpty():
+
+    def still_open() -> tuple[DataFrame, DataFrame]:
+        """Members of bands with more than one component; those of them outside the band's largest."""
+        rooted = scratch.put(crowd.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        by_root = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+        major = by_root.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+        members = scratch.put(spread_join(rooted, major, "band"))
+        return members.drop("major"), members.where("root <> major").drop("major")
+
+    if crowded:
+        for _ in range(rounds - 1):
+            members, strays = still_open()
+            if strays.isEmpty():
                 break
-            if turn < rounds:
-                picks = [F.min_by(F.struct("node", "n", "root"), F.xxhash64(F.lit(turn * LEADERS + i), "node")) for i in range(LEADERS)]
-                front = named.groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("p")).select("band", F.explode("p").alias("p")).select("band", "p.*")
-            else:
-                front = named
-            fresh = scratch.put(meet(named, other(front), F.col("root") != F.col("side")).join(tried, ["a", "b"], "left_anti"))
-            found = _similar(docs, nodes, fresh, scratch, text, shingle, similarity)
-            tried, edges = tried.union(fresh), scratch.put(edges.union(found))
+            found = _similar(to_leaders(members, strays, F.col("root") != F.col("side")), sets, similarity, scratch)
             if not found.isEmpty():
+                edges = scratch.put(edges.union(found))
                 comp = components(edges, scratch)
+        members, strays = still_open()
+        if not strays.isEmpty():
+            members, strays = (x.select("root", *one).distinct() for x in (members, strays))
+            tokens = scratch.put(_prefixes(sets.join(members.select("node"), "node", "left_semi"), similarity).join(members, "node"))
+            shared = tokens.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+            tokens = tokens.join(shared, "token")
+            left = tokens.join(strays.select("node"), "node", "left_semi")
+            met = left.join(other(tokens), (F.col("token") == F.col("_token")) & (F.col("root") != F.col("side")) & may)
+            found = _similar(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), sets, similarity, scratch)
+            if not found.isEmpty():
+                comp = components(edges.union(found), scratch)
     rooted = scratch.put(nodes.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"))
-    least = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return rows.select(key, "node").join(least, "node").select(key, "component_id")
+    least = spread_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return spread_join(rows.select("k", "node"), least, "node").select(F.col("k").alias(key), "component_id")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
