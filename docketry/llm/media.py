@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_batch
+from .common import Scratch, by_batch, spread_join
 
 WIDTH, BLOCK, FILL = 24, 576, 255
+#: References to one payload that one task reads.
+MOST_REFS = 1000
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 
@@ -78,84 +80,142 @@ def features(rows: np.ndarray) -> str:
 
 
 class _Reader(HTMLParser):
-    """Ordered text and media of a page.  A caption is a figcaption's text, else the alt text."""
+    """Ordered text and media of a page, by the rules of HTML where end tags are left out.
 
-    MEDIA, SILENT = {"img", "audio", "video", "source", "embed"}, {"script", "style", "head"}
-    BREAKS = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "figure", "section", "article", "ul", "ol", "table", "body"}
+    A caption is a figcaption's text, else the alt text; it goes to the media of its own figure alone.  A figure that
+    is left open ends with the page.  A figcaption left open ends with its figure, or, if that stays open too, before the
+    first block in it: what follows is the page again.
+    """
+
+    MEDIA, SILENT = {"img", "audio", "video", "source", "embed", "object"}, {"script", "style", "title", "template", "noscript"}
+    BREAKS = {"p", "div", "br", "hr", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "pre", "figure", "section", "article", "aside", "nav", "header", "footer", "main", "ul", "ol", "dl", "table", "blockquote", "body"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.words, self.quiet, self.caption, self.figure = [], [], 0, None, []
+        self.items, self.words, self.silent = [], [], None
+        self.figures: list[dict] = []  # open figures, the innermost last
 
     def flush(self) -> None:
         if text := " ".join("".join(self.words).split()):
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
         self.words = []
 
+    @property
+    def caption(self) -> dict | None:
+        """The open caption of the innermost figure."""
+        return self.figures[-1]["caption"] if self.figures else None
+
     def handle_starttag(self, tag, attrs):
+        if self.silent:
+            if self.silent == "title" and tag == "body":  # a title left open
+                self.silent = None
+            else:
+                return
         if tag in self.SILENT:
-            self.quiet += 1
+            self.silent = tag
         elif tag == "figure":
             self.flush()
-            self.figure = []
+            self.figures.append({"media": [], "caption": None, "said": None})
         elif tag == "figcaption":
-            self.flush()
-            self.caption = []
+            if self.figures:
+                self.flush()
+                self.end_caption()
+                self.figures[-1]["caption"] = {"from": len(self.items), "first": None}
+            else:
+                self.flush()
         elif tag in self.MEDIA:
             at = dict(attrs)
-            if src := at.get("src"):
+            if src := at.get("data" if tag == "object" else "src"):
                 self.flush()
-                digest = src.removeprefix("sha256:").lower() if src.startswith("sha256:") else hashlib.sha256(src.encode()).hexdigest()
+                digest = src.removeprefix("sha256:").lower() if src.startswith("sha256:") else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest()
                 self.items.append({"kind": "media", "text": None, "digest": digest, "caption": at.get("alt") or None})
-                self.figure.append(self.items[-1])
+                if self.figures:
+                    self.figures[-1]["media"].append(self.items[-1])
         elif tag in self.BREAKS:
             self.flush()
+            if self.caption and self.caption["first"] is None:
+                self.caption["first"] = len(self.items)
+
+    def end_caption(self, open_to_the_end: bool = False) -> None:
+        """The text items since the caption's start (or before its first block) leave the page for its figure."""
+        frame = self.figures[-1]
+        if (cap := frame["caption"]) is None:
+            return
+        self.flush()
+        end = cap["first"] if open_to_the_end and cap["first"] is not None else len(self.items)
+        mine = [x for x in self.items[cap["from"] : end] if x["kind"] == "text"]
+        drop = set(map(id, mine))
+        self.items = [x for x in self.items if id(x) not in drop]
+        if mine:
+            frame["said"] = " ".join(([frame["said"]] if frame["said"] else []) + [x["text"] for x in mine])
+        frame["caption"] = None
+
+    def end_figure(self, open_to_the_end: bool = False) -> None:
+        self.flush()
+        self.end_caption(open_to_the_end)
+        frame = self.figures.pop()
+        for item in frame["media"]:
+            item["caption"] = frame["said"] or item["caption"]
 
     def handle_endtag(self, tag):
-        if tag in self.SILENT:
-            self.quiet = max(0, self.quiet - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split()) or None
-            for item in self.figure:
-                item["caption"] = said or item["caption"]
-            self.caption = None
+        if self.silent:
+            if tag == self.silent:
+                self.silent = None
+        elif tag == "figcaption":
+            if self.figures:
+                self.end_caption()
         elif tag == "figure":
-            self.flush()
-            self.figure = []
+            if self.figures:
+                self.end_figure()
         elif tag in self.BREAKS:
             self.flush()
 
     def handle_data(self, data):
-        if not self.quiet:
-            (self.words if self.caption is None else self.caption).append(data)
+        if not self.silent:
+            self.words.append(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self.end_figure(open_to_the_end=True)
+        self.flush()
+        return self.items
 
 
 def parse(html: str | None) -> list[dict]:
-    """Items of one page in order; a null or empty page has none, broken markup is read as far as it goes."""
+    """Items of one page in order; a null or empty page has none.  Comments, scripts, styles and titles are no text."""
     reader = _Reader()
     reader.feed(html or "")
-    reader.close()
-    reader.flush()
-    return [{"position": i} | item for i, item in enumerate(reader.items)]
+    return [{"position": i} | item for i, item in enumerate(reader.finish())]
 
 
 def interleave(pages: DataFrame, *, html: str = "html", key: str = "page_id") -> DataFrame:
-    """key, ``sequence``: position, kind (text or media), text, digest, caption.  Repeated rows stay."""
+    """key, ``sequence``: position, kind (text or media), text, digest, caption.
+
+    Null and empty pages have an empty sequence; repeated rows and null keys stay; an empty table gives an empty one.
+    """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-        return pa.RecordBatch.from_pydict({key: b.column(0), "sequence": pa.array([parse(x) for x in b.column(1).to_pylist()], kind)})
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([parse(x) for x in b.column(1).to_pylist()], kind)], names=["k", "sequence"])
+
+    sequences = by_batch(pages.select(F.col(key).alias("k"), F.col(html).alias("h")), run, f"k {pages.schema[key].dataType.simpleString()}, sequence {SEQUENCE}")
+    return sequences.withColumnRenamed("k", key)
+
 
-    return by_batch(pages.select(key, html), run, f"`{key}` {pages.schema[key].dataType.simpleString()}, sequence {SEQUENCE}")
+def items(pages: DataFrame, *, html: str = "html", key: str = "page_id") -> DataFrame:
+    """One row for each item of each page: key, position, kind, text, digest, caption.  Pages without items have none."""
+    return interleave(pages, html=html, key=key).select(key, F.explode("sequence").alias("_i")).select(key, "_i.*")
 
 
 def resolve(sequences: DataFrame, media: DataFrame, *, key: str = "page_id") -> DataFrame:
     """One row for each media reference: key, position, caption, and what ``media`` has for its digest.
 
-    ``media`` has one row for a ``digest``; references without one keep nulls.
+    ``media`` has one row for a ``digest``; references without one keep nulls.  The references to a payload that many share
+    are dealt to several tasks.
     """
     refs = sequences.select(key, F.explode("sequence").alias("_i")).where("_i.kind = 'media'").select(key, "_i.position", "_i.caption", "_i.digest")
-    return refs.join(media, "digest", "left")
+    return spread_join(refs, media, "digest", MOST_REFS, "left")
 
 
 def payload_report(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -182,7 +242,7 @@ def payload_report(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
             n, digest = done[t]
             lengths.append(n)
             pages.append(f'<article><p>Document of {n} bytes.</p><figure><img src="sha256:{digest}"><figcaption>Payload, {n} bytes</figcaption></figure></article>')
-        return pa.RecordBatch.from_pydict({key: b.column(0), "html": pa.array(pages, pa.string()), "n_bytes": pa.array(lengths, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(pages, pa.string()), pa.array(lengths, pa.int64()), pa.array(blobs, pa.binary())], names=["k", "html", "n_bytes", "blob"])
 
     def read(b: pa.RecordBatch) -> pa.RecordBatch:
         cols = {k: [] for k in ("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature")}
@@ -194,11 +254,11 @@ def payload_report(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
         kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
         return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(cols.items(), kinds, strict=True)})
 
-    stored = scratch.put(by_batch(docs.select(key, text), store, f"`{key}` {kind}, html string, n_bytes long, blob binary"))
+    stored = scratch.put(by_batch(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), store, f"k {kind}, html string, n_bytes long, blob binary"))
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
     media = by_batch(stored.where("blob IS NOT NULL").select("blob"), read, schema).dropDuplicates(["digest"])
-    pages = stored.select(F.struct(F.col(key).alias("k"), "n_bytes").alias("page"), "html")
-    resolved = resolve(interleave(pages, key="page"), media, key="page")
+    pages = stored.select(F.struct("k", "n_bytes").alias("page"), "html")
+    resolved = resolve(scratch.put(interleave(pages, key="page")), scratch.put(media), key="page")
     return resolved.select(
         F.col("page.k").alias(key), "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes",
         F.col("digest").alias("media_sha256"), "feature", "caption",

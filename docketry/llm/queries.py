@@ -46,13 +46,18 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 on real pages: their texts and media references in order."""
+    return media.items(table(spark, sf_dir, "pages", "page_id", "html"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_line_dedup, op3_toxicity, op4_quality, op5_sharding, op6_packing, op7_language, op8_suffix, op9_media, op10_bpe)
+    for f in (op1_simhash, op2_line_dedup, op3_toxicity, op4_quality, op5_sharding, op6_packing, op7_language, op8_suffix, op9_media, op10_bpe, media_pages)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
