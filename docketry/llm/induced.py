@@ -82,47 +82,59 @@ def _types(t: np.ndarray) -> np.ndarray:
     return s
 
 
+def _refine(rank: np.ndarray, at: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
+    """Splits groups of equal ``rank`` (the number of smaller elements) by ``key`` (below 2 ** width).
+
+    ``at``: all elements of the groups to split.  Returns those that are still tied with another.
+    """
+    both = rank[at].astype(np.uint64) << np.uint64(width) | key.astype(np.uint64)
+    order = np.argsort(both)
+    at, both = at[order], both[order]
+    new = np.append(True, both[1:] != both[:-1])
+    first = np.flatnonzero(new)
+    group = np.append(True, (both[1:] >> np.uint64(width)) != (both[:-1] >> np.uint64(width))) if width < 64 else np.append(True, np.zeros(len(at) - 1, bool))
+    heads = np.flatnonzero(group)
+    within = first - heads[np.searchsorted(heads, first, side="right") - 1]
+    size = np.diff(np.append(first, len(at)))
+    rank[at] += np.repeat(within, size)
+    return at[np.repeat(size > 1, size)]
+
+
 def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Ranks of the substrings from each LMS position to the next, by characters and types."""
+    """Ranks of the substrings from each LMS position to the next, by characters and types: how many are smaller."""
     symbol = (t.astype(np.int64) << 1 | s) + 1
     size = np.append(np.diff(lms), 0) + 1
     size[t[lms] == 0] = 1  # a separator's name is itself
-    rank = np.zeros(len(lms), np.int64)
-    at, going = 0, np.arange(len(lms))
-    per, width = 6, 10
-    while len(going):
-        word = np.zeros(len(going), np.int64)
-        for k in range(per):
-            ok = at + k < size[going]
-            word <<= width
-            word[ok] |= symbol[lms[going[ok]] + at + k]
-        key = np.zeros(len(lms), np.int64)
-        key[going] = word
-        order = np.lexsort((key, rank))
-        step = (rank[order[1:]] != rank[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
-        new = np.empty(len(lms), np.int64)
-        new[order] = np.append(0, np.cumsum(step))
-        rank, at = new, at + per
-        going = going[size[going] > at]
+    rank, tied, done = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    bits = max(1, int(len(lms)).bit_length())
+    while len(tied) and done < size[tied].max():
+        per = 6 if not done else min(6, (64 - bits) // 10)
+        word = np.zeros(len(tied), np.int64)
+        for k in range(done, done + per):
+            ok = k < size[tied]
+            word <<= 10
+            word[ok] |= symbol[lms[tied[ok]] + k]
+        tied, done = _refine(rank, tied, word, 10 * per), done + per
     return rank
 
 
 def _order_reduced(names: np.ndarray, is_end: np.ndarray) -> np.ndarray:
-    """Positions of the reduced string in suffix order; suffixes end at separators."""
+    """Positions of the reduced string in suffix order, by doubling; suffixes end at separators.
+
+    Only names that are still tied are looked at again.
+    """
     n, rank, step = len(names), names.copy(), 1
     ends = np.flatnonzero(is_end)
     left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the separator
-    while step <= left.max(initial=0):
-        ahead = np.zeros(n, np.int64)
-        ok = left >= step
-        ahead[ok] = rank[np.flatnonzero(ok) + step] + 1
-        order = np.lexsort((ahead, rank))
-        new = np.empty(n, np.int64)
-        changed = (rank[order[1:]] != rank[order[:-1]]) | (ahead[order[1:]] != ahead[order[:-1]])
-        new[order] = np.append(0, np.cumsum(changed))
-        if new.max() == rank.max():
+    many = np.bincount(rank, minlength=n)
+    tied, bits = np.flatnonzero(many[rank] > 1), max(1, int(n + 1).bit_length())
+    while len(tied):
+        ahead = np.zeros(len(tied), np.int64)
+        ok = left[tied] >= step
+        if not ok.any():
             break
-        rank, step = new, step * 2
+        ahead[ok] = rank[tied[ok] + step] + 1
+        tied, step = _refine(rank, tied, ahead, bits), step * 2
     return np.argsort(rank, kind="stable")
 
 

@@ -2,24 +2,29 @@
 
 A string of ``length`` bytes that starts in a document with a smaller key is removed wherever it occurs later.
 
-1. Every such window has a minimizer, the k bytes in it of least hash; equal windows have the same one.
+1. A text that a smaller key has too goes as a whole; such copies are found by their SHA-256 and take no part in what follows.
+2. Every window has a minimizer, the k bytes in it of least hash; equal windows have the same one.
    Only minimizers that occur in two documents or more can matter.  Their hashes are sent in blobs by
    hash range; those that repeat within a block of documents are settled there, so a hash held by a
    third of all documents is sent once for each block.
-2. Runs of windows that share such a minimizer are cut out of the texts and dealt by it, so all equal windows
-   meet in one shard.
-3. Each shard sorts the suffixes of its distinct strings by external induced sorting (``induced``), whose queues
-   lie on disk beyond a budget.  Neighbours in suffix order with a common prefix of ``length`` or more form
-   a group, whose least key is known; windows of later documents become spans.
-4. Spans are joined to their documents, merged and cut.
-
-Rows with a null key have no order: they are left alone and remove nothing.
+3. Runs of windows that share such a minimizer are cut out of the texts and dealt by it, so all equal windows
+   meet in one shard.  Runs of a minimizer that very many documents share are cut in two and dealt by it and the bytes before
+   or after it, of which each window holds one side whole: equal windows still meet, others no longer do.
+4. Each shard sorts the suffixes of its distinct strings by external induced sorting (``induced``), whose queues
+   lie on disk beyond a budget, as the occurrences of the strings do.  Neighbours in suffix order with a common prefix of ``length``
+   or more form a group, whose least key is known; windows of later documents become spans.
+5. Spans are joined to their documents, merged and cut.
+
+Keys that are no integers are numbered in their order first.  Rows with a null key have no order: they are left alone
+and remove nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_batch
+from .common import Scratch, by_batch, spread_join
 from .induced import suffix_array
 
 #: SHARD_BYTES: text for each shard on average; a shard is sorted at once, a task sorts its shards one after the other.
-#: LOOK_BYTES: the same for each part in which hashes are looked up, which takes about a byte for each byte of text.
-LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS = 50, 20, 1 << 20, 64 << 20, 1 << 20, 2000
+#: LOOK_BYTES: the same for each part in which hashes are looked up, which takes about two bytes for each byte of text.
+#: HOT: documents that share a minimizer from which on its runs are cut in two.
+LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS, HOT = 50, 20, 1 << 20, 24 << 20, 1 << 20, 2000, 50_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = (1 << 24) - 1
 
@@ -137,7 +143,7 @@ _ROWS = "part long, keys binary, counts binary, codes binary"
 def _repeats(parts: int, length: int, k: int):
     """Texts to rows (part, keys, counts, codes): for each key its count of codes, to be looked up in that part.
 
-    Without keys: codes that are known to repeat.  Part under 0: settled codes of their keys.
+    Without keys: codes that repeat in this block, and how often.  Part under 0: settled codes of their keys.
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,17 +172,19 @@ def _repeats(parts: int, length: int, k: int):
             for name, v in zip(out, (part, _press(first.tobytes()), _press(n.astype(np.uint32).tobytes()), codes), strict=True):
                 out[name].append(v)
 
-        mine, none = np.flatnonzero(once), np.zeros(0, np.int64)
+        mine = np.flatnonzero(once)
         part = (code[mine] >> np.uint64(32)).astype(np.int64)
         at, n = _runs(part)
         for x, size in zip(at.tolist(), n.tolist(), strict=True):
             i = mine[x : x + size]
             i = i[np.argsort(doc[i], kind="stable")]
             add(int(part[x]), doc[i], code[i].astype(np.uint32).tobytes())
-        known = code[new & ~once]
+        head = np.flatnonzero(new & ~once)
+        known, times = code[head], np.diff(np.append(np.flatnonzero(new), len(code)))[~once[new]].astype(np.uint32)
         at, n = _runs(known >> np.uint64(32))
         for x, size in zip(at.tolist(), n.tolist(), strict=True):
-            add(int(known[x] >> np.uint64(32)), none, known[x : x + size].astype(np.uint32).tobytes())
+            for name, v in zip(out, (int(known[x] >> np.uint64(32)), _press(b""), _press(times[x : x + size].tobytes()), known[x : x + size].astype(np.uint32).tobytes()), strict=True):
+                out[name].append(v)
         rest = np.flatnonzero(~once)
         rest = rest[np.argsort(doc[rest], kind="stable")]
         if len(rest):
@@ -187,19 +195,12 @@ def _repeats(parts: int, length: int, k: int):
 
 
 def _by_part(settle):
-    """Runs ``settle`` over the rows of one part after the other (rows come sorted by part)."""
+    """Runs ``settle`` over the rows of one part after the other (rows come sorted by part, and are read as they are needed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = [], None
-        for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if row[0] != part and held:
-                    yield from settle(held)
-                    held = []
-                part = row[0]
-                held.append(row)
-        if held:
-            yield from settle(held)
+        rows = (row for b in batches for at in range(0, b.num_rows, 100) for row in zip(*[c.to_pylist() for c in b.slice(at, 100).columns], strict=True))
+        for _, mine in itertools.groupby(rows, lambda row: row[0]):
+            yield from settle(mine)
 
     return run
 
@@ -214,39 +215,76 @@ def _rows_by_key(key: np.ndarray, value: np.ndarray, name: str) -> Iterator[pa.R
         yield pa.RecordBatch.from_pydict({"k": pa.array(key[at[some]]), name: pa.array([value[x : x + m].tobytes() for x, m in zip(at[some].tolist(), n[some].tolist(), strict=True)], pa.binary())})
 
 
-def _look_up(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Codes of a part that occur in more than one row, or are known to repeat, by key; settled ones pass."""
-    code, key, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for part, ks, ns, cs in rows:
-        ks = np.repeat(np.cumsum(np.frombuffer(_open(ks), np.int64)), np.frombuffer(_open(ns), np.uint32))
-        if part < 0:
-            yield from _rows_by_key(ks, np.frombuffer(cs, np.uint64), "codes")
-            continue
-        cs = np.frombuffer(cs, np.uint32).astype(np.uint64) | np.uint64(part << 32)
-        if len(ks):
-            key.append(ks)
-            code.append(cs)
-        else:
-            known.append(cs)
-    code, key = np.concatenate(code), np.concatenate(key)
-    order = np.argsort(code, kind="stable")
-    same = code[order][1:] == code[order][:-1]
-    hit = np.isin(code, np.concatenate(known))
-    if len(code):
-        hit[order] |= np.append(False, same) | np.append(same, False)
-        yield from _rows_by_key(key[hit], code[hit], "codes")
+def _look_up(hot: int):
+    """Rows of a part to rows (k, codes): codes that occur in two documents or more, by key; settled ones pass.
 
+    Without k: codes of more than ``hot`` documents.
+    """
 
-def _cut(looks: int, parts: int, length: int, k: int):
-    """Texts and their repeating codes to rows (part, runs): runs of windows, by minimizer.
+    def settle(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+        code, key, known, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for part, ks, ns, cs in rows:
+            first, n = np.frombuffer(_open(ks), np.int64), np.frombuffer(_open(ns), np.uint32)
+            if part < 0:
+                yield from _rows_by_key(np.repeat(np.cumsum(first), n), np.frombuffer(cs, np.uint64), "codes")
+                continue
+            cs = np.frombuffer(cs, np.uint32).astype(np.uint64) | np.uint64(part << 32)
+            if len(first):
+                key.append(np.repeat(np.cumsum(first), n))
+                code.append(cs)
+            else:
+                known.append(cs)
+                times.append(n.astype(np.int64))
+        code, key, known, times = (np.concatenate(x) for x in (code, key, known, times))
+        order = np.argsort(code)
+        same = code[order][1:] == code[order][:-1]
+        some, which = np.unique(known, return_inverse=True)
+        total = np.bincount(which, times, minlength=len(some))
+        place = np.searchsorted(some, code)
+        hit = np.append(some, np.uint64(0))[place] == code if len(some) else np.zeros(len(code), bool)
+        hit &= place < len(some)
+        np.add.at(total, place[hit], 1)
+        if len(code):
+            hit[order] |= np.append(False, same) | np.append(same, False)
+            yield from _rows_by_key(key[hit], code[hit], "codes")
+        alone, n = np.unique(code, return_counts=True)
+        crowd = np.concatenate([some[total > hot], alone[n > hot]])
+        if len(crowd):
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([crowd.tobytes()], pa.binary())], names=["k", "codes"])
+
+    return settle
+
+
+def _halves(begin: np.ndarray, end: np.ndarray, code: np.ndarray, place: np.ndarray, at: np.ndarray, a: np.ndarray, crowd: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Runs (first and last window, code, place of the minimizer) with those of crowded codes cut in two: first, last, what to deal by."""
+    hot = np.isin(code, crowd)
+    if not hot.any():
+        return begin, end, None
+    half = (length - k) // 2
+    side = _kmer_hashes(a, half)
+    b, e, p = begin[hot], end[hot], place[begin[hot]]
+    mid = b + np.clip(p - half - at[b] + 1, 0, e - b + 1)  # windows before it hold the bytes before the minimizer
+    left, right = mid > b, mid <= e
+    last = len(a) - 1
+    parts = [(begin[~hot], end[~hot], np.zeros((~hot).sum(), np.uint64)), (b[left], mid[left] - 1, side[np.maximum(p[left] - half, 0)] * _M1 | np.uint64(1)), (mid[right], e[right], side[np.minimum(p[right] + k, last)] * _M2 | np.uint64(1))]
+    begin, end, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(begin, kind="stable")
+    return begin[order], end[order], more[order]
+
+
+def _cut(looks: int, parts: int, length: int, k: int, crowd: np.ndarray | None = None):
+    """Texts, their repeating codes and the hashes of texts that are copies, to rows (part, runs): runs of windows, by minimizer.
 
     A row's runs are compressed: their number, keys, starts, sizes, and the distinct strings with each run's own.
     """
+    crowd = np.zeros(0, np.uint64) if crowd is None else crowd
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        own = [i for i, (th, copies) in enumerate(zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True)) if th not in (copies or ())]
+        b = b.take(pa.array(own, pa.int64()))
         keys = b.column(0).to_numpy(zero_copy_only=False)
-        texts, owner, base = _pieces([_open(t) for t in b.column(1).to_pylist()], length)
-        wanted = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in b.column(2).to_pylist()]
+        texts, owner, base = _pieces([_open(t) for t in b.column(2).to_pylist()], length)
+        wanted = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in b.column(3).to_pylist()]
         part, key, start, data = [], [], [], []
         for lo, hi in _slices(texts):
             raw = b"".join(texts[lo:hi])
@@ -257,8 +295,12 @@ def _cut(looks: int, parts: int, length: int, k: int):
                 continue
             begin = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)))
             end = np.append(begin[1:], len(at)) - 1
+            begin, end, more = _halves(begin, end, _short(h[place[begin]], looks), place, at, a, crowd, length, k)
             full = h[place[begin]]
             code = _short(full, looks)
+            if more is not None:
+                full = np.where(more > 0, (full ^ more) * _M2, full)
+                full ^= full >> np.uint64(31)
             doc = np.searchsorted(stops, at[begin], side="right")
             edges = np.searchsorted(doc, np.arange(hi - lo + 1))
             for i in range(hi - lo):
@@ -345,26 +387,40 @@ def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENG
     return out, offset
 
 
+class _Occurrences:
+    """Keys, starts and string numbers of a shard's runs; in a file beyond ``budget`` bytes."""
+
+    def __init__(self, budget: int):
+        self.file = tempfile.SpooledTemporaryFile(max_size=budget)  # noqa: SIM115
+
+    def add(self, key: np.ndarray, start: np.ndarray, string: np.ndarray) -> None:
+        self.file.write(np.stack([key, start, string], axis=1).astype(np.int64).tobytes())
+
+    def blocks(self, rows: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        self.file.seek(0)
+        while raw := self.file.read(24 * rows):
+            yield tuple(np.frombuffer(raw, np.int64).reshape(-1, 3).T)
+
+    def close(self) -> None:
+        self.file.close()
+
+
 def _sort_shard(length: int, budget: int):
     """Rows of one shard to rows (k, spans): (begin, end) pairs of bytes to remove."""
 
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, starts, ids, names, least = [], [], [], {}, np.zeros(0, np.int64)
+    def settle(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+        names, least, found = {}, np.zeros(0, np.int64), _Occurrences(budget)
         for _, blob in rows:
             k, s, which, strings = _unpack(blob)
             mine = np.array([names.setdefault(x, len(names)) for x in strings], np.int64)  # copies of a string are kept once
             if len(names) > len(least):
-                least = np.append(least, np.full(len(names) - len(least), np.iinfo(np.int64).max))
+                least = np.append(least, np.full(max(len(names), 2 * len(least)) - len(least), np.iinfo(np.int64).max))
             np.minimum.at(least, mine[which], k)
-            keys.append(k)
-            starts.append(s)
-            ids.append(mine[which])
-        key, start, sid = np.concatenate(keys), np.concatenate(starts), np.concatenate(ids)
-        low, offset = repeated_windows(list(names), least, length, budget)
+            found.add(k, s, mine[which])
+        low, offset = repeated_windows(list(names), least[: len(names)], length, budget)
+        del names, least
         n = np.diff(offset)
-        out_k, out_a, out_b = [], [], []
-        for at in range(0, len(key), 1 << 14):
-            k, s, i = key[at : at + (1 << 14)], start[at : at + (1 << 14)], sid[at : at + (1 << 14)]
+        for k, s, i in found.blocks():
             size = n[i]
             row = np.repeat(np.arange(len(k)), size)
             where = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
@@ -373,19 +429,16 @@ def _sort_shard(length: int, budget: int):
                 continue
             new = np.flatnonzero(np.append(True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)))
             end = np.append(new[1:], len(hit)) - 1
-            out_k.append(k[row[hit[new]]])
-            out_a.append(s[row[hit[new]]] + where[hit[new]])
-            out_b.append(s[row[hit[end]]] + where[hit[end]] + length)
-        if not out_k:
-            return
-        yield from _rows_by_key(np.concatenate(out_k), np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1).astype(np.uint32), "spans")
+            out = np.stack([s[row[hit[new]]] + where[hit[new]], s[row[hit[end]]] + where[hit[end]] + length], axis=1).astype(np.uint32)
+            yield from _rows_by_key(k[row[hit[new]]], out, "spans")
+        found.close()
 
     return settle
 
 
 def _pack_text(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Texts compressed before they move; a null text as an empty one."""
-    return pa.RecordBatch.from_arrays([b.column(0), pa.array([_press((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["k", "z"])
+    """Key, hash and compressed text, which is smaller to move; a null text as an empty one."""
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_press((t or "").encode()) for t in b.column(2).to_pylist()], pa.binary())], names=["k", "th", "z"])
 
 
 def merged(blobs: list[bytes] | None) -> np.ndarray:
@@ -404,55 +457,93 @@ def cut_out(raw: bytes, runs: np.ndarray) -> bytes:
     return b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
-def spans(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, k: int = K, budget: int = 16 << 20) -> DataFrame:
-    """``k`` (an integer key), ``blobs``: encoded spans to remove, for the keys that lose something."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def numbered(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """``key`` and ``_no``, a long in the order of the key; an integer is its own number."""
+    if isinstance(docs.schema[key].dataType, _WHOLE):
+        return docs.withColumn("_no", F.col(key).cast("long"))
+    order = scratch.put(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct().orderBy("_key").select("_key", F.monotonically_increasing_id().alias("_no")))
+    return docs.join(order, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def spans(rows: DataFrame, scratch: Scratch, *, length: int = LENGTH, k: int = K, budget: int = 16 << 20, hot: int = HOT) -> DataFrame:
+    """Of rows (k: an integer key, t: text): ``k``, ``blobs``: encoded spans to remove, ``copies``: hashes of its texts that go as a whole."""
+    rows = rows.where("k IS NOT NULL").select("k", F.xxhash64("t").alias("th"), "t")
     total = rows.select(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(max(8, total // SHARD_BYTES + 1))
     looks = int(max(8, total // LOOK_BYTES + 1))
     tasks = int(max(8, min(20_000, shards // 4)))
-    sent = by_batch(rows, _repeats(looks, length, k), _ROWS, BLOCK_ROWS)
-    settled = sent.repartition(min(20_000, looks), "part").sortWithinPartitions("part").mapInArrow(_by_part(_look_up), "k long, codes binary")
-    wanted = settled.groupBy("k").agg(F.collect_list("codes").alias("codes"))
-    packed = by_batch(rows, _pack_text, "k long, z binary")
-    runs = by_batch(packed.join(wanted, "k").select("k", "z", "codes"), _cut(looks, shards, length, k), "part long, runs binary", BLOCK_ROWS)
+    hot = max(hot, total // (16 * 100_000))  # so that at most 100,000 minimizers can be crowded
+    named = scratch.put(rows.where(F.octet_length("t") >= length).select("k", "th", F.unhex(F.sha2("t", 256)).alias("h")))
+    least = named.groupBy("h").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most")
+    copies = scratch.put(spread_join(named, least, "h").where("k > least").select("k", "th").distinct())
+    sent = by_batch(rows.select("k", "t"), _repeats(looks, length, k), _ROWS, BLOCK_ROWS)
+    settled = scratch.put(sent.repartition(min(20_000, looks), "part").sortWithinPartitions("part").mapInArrow(_by_part(_look_up(hot)), "k long, codes binary"))
+    crowd = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.codes, np.uint64) for r in settled.where("k IS NULL").select("codes").collect()]])  # at most 100,000 codes
+    told = settled.where("k IS NOT NULL").select("k", "codes", F.lit(None).cast("long").alias("th")).union(copies.select("k", F.lit(None).cast("binary"), "th"))
+    wanted = told.groupBy("k").agg(F.collect_list("codes").alias("codes"), F.collect_list("th").alias("copies"))
+    packed = by_batch(rows, _pack_text, "k long, th long, z binary")
+    runs = by_batch(packed.join(wanted, "k").select("k", "th", "z", "codes", "copies"), _cut(looks, shards, length, k, np.sort(crowd)), "part long, runs binary", BLOCK_ROWS)
     found = runs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_by_part(_sort_shard(length, budget)), "k long, spans binary")
-    return found.groupBy("k").agg(F.collect_list("spans").alias("blobs"))
+    both = found.select("k", "spans", F.lit(None).cast("long").alias("th")).union(copies.select("k", F.lit(None).cast("binary"), "th"))
+    return both.groupBy("k").agg(F.collect_list("spans").alias("blobs"), F.collect_list("th").alias("copies"))
+
 
+def _gone(raw: bytes, th: int, blobs: list[bytes] | None, copies: list[int] | None, length: int) -> np.ndarray:
+    """Maximal runs to remove from a text."""
+    if copies and th in copies and len(raw) >= length:
+        return np.array([[0, len(raw)]], np.int64)
+    return merged(blobs)
 
-def report(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 for every row.
+
+def report(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, **options) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 for every row; keys may be of any type that has an order.
 
     Null texts count as empty; texts shorter than a window lose nothing; rows that repeat a key do not remove
-    each other's strings.
+    each other's strings.  An empty table gives an empty one; other columns are not read.
     """
+    scratch = Scratch(docs.sparkSession, "suffix")
     kind = docs.schema[key].dataType.simpleString()
-    packed = by_batch(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), _pack_text, f"k {kind}, z binary").withColumnRenamed("k", "own")
-    both = packed.join(spans(docs, text=text, key=key, **options), F.col("own").cast("long") == F.col("k"), "left").select("own", "z", "blobs")
+    rows = numbered(docs.select(F.col(key).alias("own"), F.col(text).alias("t")), "own", scratch)
+    found = spans(rows.select(F.col("_no").alias("k"), "t"), scratch, length=length, **options)
+
+    def pack(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), *_pack_text(b.select([1, 2, 3])).columns], names=["own", "no", "th", "z"])
+
+    packed = by_batch(rows.select("own", "_no", F.xxhash64("t").alias("th"), "t"), pack, f"own {kind}, no long, th long, z binary")
+    both = packed.join(found, F.col("no") == F.col("k"), "left").select("own", "th", "z", "blobs", "copies")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], []]
-        for t, blobs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            raw, runs = _open(t), merged(blobs)
+        for th, t, blobs, copies in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True):
+            raw = _open(t)
+            runs = _gone(raw, th, blobs, copies, length)
             for c, v in zip(cols, (len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(cut_out(raw, runs)).hexdigest()), strict=True):
                 c.append(v)
-        return pa.RecordBatch.from_pydict({key: b.column(0), **{n: pa.array(c, pa.int64()) for n, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, "kept_sha256": pa.array(cols[3], pa.string())})
+        return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["own", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return by_batch(both, run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_batch(both, run, f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("own", key)
 
 
-def clean(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+def clean(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, **options) -> DataFrame:
     """``row`` (a struct of the columns of ``docs``, whatever their names) and ``kept``, the text without the repeated strings.
 
-    Bytes that no longer form UTF-8 at a cut go too.
+    Bytes that no longer form UTF-8 at a cut go too.  Nulls, repeats and keys as in ``report``.
     """
-    found = spans(docs, text=text, key=key, **options)
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    both = rows.join(found, F.col("row")[key].cast("long") == F.col("k"), "left").select("row", "blobs")
+    scratch = Scratch(docs.sparkSession, "suffix")
+    rows = numbered(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("own")), "own", scratch)
+    found = spans(rows.select(F.col("_no").alias("k"), F.col("row")[text].alias("t")), scratch, length=length, **options)
+    both = rows.select("row", "_no", F.xxhash64(F.col("row")[text]).alias("th")).join(found, F.col("_no") == F.col("k"), "left").select("row", "th", "blobs", "copies")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = b.column(0).field(text).to_pylist()
-        kept = [t if not blobs else cut_out(t.encode(), merged(blobs)).decode("utf-8", "ignore") for t, blobs in zip(texts, b.column(1).to_pylist(), strict=True)]
+        kept = []
+        for t, th, blobs, copies in zip(b.column(0).field(text).to_pylist(), *[b.column(i).to_pylist() for i in range(1, 4)], strict=True):
+            if t and (blobs or copies):
+                raw = t.encode()
+                t = cut_out(raw, _gone(raw, th, blobs, copies, length)).decode("utf-8", "ignore")
+            kept.append(t)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
 
     return by_batch(both, run, T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType())]))
