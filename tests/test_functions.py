@@ -1,5 +1,7 @@
 """Literal cases of the column functions and operators."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,12 +72,59 @@ def test_outcomes(spark):
     assert one(spark, L.outcome_requirements(F.lit("refused to quash but bail was granted"))) == ["bail_granted"]
 
 
-def test_entities():
-    got = entities.find_entities("Penal Code, 1860 – ss. 302/34. Article 21 of the Constitution. Section 438 Cr.P.C. and Order 7 Rule 11. Rule 5 applies; section 0.")
-    found = {(x["act_id"], x["ref"]) for x in got if x["kind"] == "provision"}
-    assert found == {("penal_code", "s302"), ("penal_code", "s34"), ("constitution_of_india", "art21"), ("code_of_criminal_procedure", "s438"), ("code_of_civil_procedure", "o7r11"), ("?", "r11"), ("?", "r5")}
-    assert {x["act_id"] for x in got if x["kind"] == "act"} >= {"penal_code", "constitution_of_india", "code_of_criminal_procedure"}
-    assert entities.find_entities("") == []
+def _found(spark, text, defaults=None):
+    rows = entities.extract(spark.createDataFrame([(1, text)], "doc int, text string"), "doc", defaults=defaults).collect()
+    return Counter((x.act_id, x.ref) for x in rows if x.kind == "provision"), Counter(x.act_id for x in rows if x.kind == "act")
+
+
+def test_entities(spark):
+    found, acts = _found(spark, "Penal Code, 1860 – ss. 302/34. Article 21 of the Constitution. Section 438 Cr.P.C. and Order 7 Rule 11. Rule 5 applies; section 0.")
+    assert set(found) == {("penal_code", "s302"), ("penal_code", "s34"), ("constitution_of_india", "art21"), ("code_of_criminal_procedure", "s438"), ("code_of_civil_procedure", "o7r11"), ("?", "r11"), ("?", "r5")}
+    assert acts == {"penal_code": 1, "constitution_of_india": 1, "code_of_criminal_procedure": 1}
+    assert _found(spark, "") == (Counter(), Counter()) and _found(spark, None) == (Counter(), Counter())
+
+
+@pytest.mark.parametrize(
+    ("text", "provisions", "acts"),
+    [
+        ("u/s. 120-B, 420 and 468 of the Indian Penal Code", ["penal_code:s120B", "penal_code:s420", "penal_code:s468"], ["penal_code"]),
+        ("u/s 34 I.P.C.", ["penal_code:s34"], ["penal_code"]),
+        ("Secs. 7 and 13 of the P.C. Act; ss. 3 to 5 PMLA", ["prevention_of_corruption_act:s7", "prevention_of_corruption_act:s13", "prevention_of_money_laundering_act:s3", "prevention_of_money_laundering_act:s5"], ["prevention_of_corruption_act", "prevention_of_money_laundering_act"]),
+        ("Section 30(2)(b) read with 120(B) of the Arms Act, 1959", ["arms_act:s30", "arms_act:s120B"], ["arms_act"]),
+        ("Unlawful Activities (Prevention) Act, 1967 – Bail – s. 43D(5)", ["unlawful_activities_prevention_act:s43D"], ["unlawful_activities_prevention_act"]),
+        ("Constitution of India – Arts. 14, 19(1)(a) and 21", ["constitution_of_india:art14", "constitution_of_india:art19", "constitution_of_india:art21"], ["constitution_of_india"]),
+        ("Section 7 of the Blue (Red and Green) Lake Rules, 2001 and regulation 4", ["blue_red_and_green_lake_rules:s7"], ["blue_red_and_green_lake_rules"]),
+        ("Rule 4 of the Local Shops Act applies", ["local_shops_act:r4"], []),
+        ("Order XXI, r. 90A and O. 39 Rule 2 of the Constitution", ["code_of_civil_procedure:oXXIr90A", "constitution_of_india:o39r2", "?:r90A", "constitution_of_india:r2"], ["constitution_of_india"]),
+        ("Section 3 of the Code. Section 4 of the Act. Section 12345. Sections alone. 302 IPC", ["?:s3", "?:s4"], ["penal_code"]),
+        ("the Code of Criminal Procedure, 1898 and s. 5", ["?:s5"], ["code_of_criminal_procedure_1898"]),
+        ("SC/ST Act and NDPS s. 50; Arbitration Act, 1940; the new Act, 2020; Bank Act", ["?:s50"], ["scheduled_castes_and_scheduled_tribes_prevention_of_atrocities_act", "narcotic_drugs_and_psychotropic_substances_act", "arbitration_act"]),
+        ("Article 5 of the Local Treaty Act, 1999", ["local_treaty_act:art5"], ["local_treaty_act"]),
+    ],
+)
+def test_entity_forms(spark, text, provisions, acts):
+    found, seen = _found(spark, text)
+    assert found == Counter(tuple(p.split(":")) for p in provisions) and seen == Counter(acts)
+
+
+def test_default_acts(spark):
+    """"The Code" stands for the one Code that the document's own list names; other documents have none."""
+    listed = spark.createDataFrame([(1, "penal_code", "Penal Code"), (1, "arms_act", "Arms Act"), (2, "x_act", "X Act"), (2, "y_act", "Y Act")], "doc int, act_id string, name string")
+    text = "Section 3 of the Code and s. 4 of the said Act."
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc int, text string")
+    got = {(r.doc, r.act_id, r.ref) for r in entities.extract(docs, "doc", defaults=entities.default_act_map(listed)).where("kind = 'provision'").collect()}
+    assert got == {(1, "penal_code", "s3"), (1, "arms_act", "s4"), (2, "?", "s3"), (2, "?", "s4")}
+
+
+def test_act_dictionary(spark):
+    names = spark.createDataFrame([(n,) for n in ("Indian Penal Code", "Cr.P.C.", "Civil Procedure Code, 1908", "Bhartiya Nyaya Sanhita", "N.I. Act", "Income-tax Act", "Indian Succession Act", "Arbitration Act, 1940", "Blue Sky", "A&C Act", "Constitution")], "n string")
+    got = {r.n: (r.act_id, r.year) for r in entities.canonical_act(names, "n", entities.act_table(spark)).collect()}
+    assert got == {
+        "Indian Penal Code": ("penal_code", 1860), "Cr.P.C.": ("code_of_criminal_procedure", 1973), "Civil Procedure Code, 1908": ("code_of_civil_procedure", 1908),
+        "Bhartiya Nyaya Sanhita": ("bharatiya_nyaya_sanhita", 2023), "N.I. Act": ("negotiable_instruments_act", 1881), "Income-tax Act": ("income_tax_act", 1961),
+        "Indian Succession Act": ("indian_succession_act", 1925), "Arbitration Act, 1940": ("arbitration_act", 1940), "Blue Sky": (None, None),
+        "A&C Act": ("arbitration_and_conciliation_act", 1996), "Constitution": ("constitution_of_india", None),
+    }
 
 
 def test_unattributed(spark):
