@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,8 @@ from .induced import suffix_array
 
 #: SHARD_BYTES: text for each shard on average; a shard is sorted at once, a task sorts its shards one after the other.
 #: LOOK_BYTES: the same for each part in which hashes are looked up, which takes about two bytes for each byte of text.
-#: HOT: documents that share a minimizer from which on its runs are cut in two.
-LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS, HOT = 50, 20, 1 << 20, 24 << 20, 1 << 20, 2000, 50_000
+#: HOT: documents that share a minimizer from which on its runs are cut in two.  COPIES: equal texts that one task compares.
+LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS, HOT, COPIES = 50, 20, 1 << 20, 24 << 20, 1 << 20, 2000, 50_000, 1000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = (1 << 24) - 1
 
@@ -205,20 +205,105 @@ def _by_part(settle):
     return run
 
 
-def _rows_by_key(key: np.ndarray, value: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
-    """Rows (k, bytes of its values) from pairs, in any order."""
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], value[order]
-    at, n = _runs(key)
-    for lo in range(0, len(at), 5000):
-        some = slice(lo, lo + 5000)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(key[at[some]]), name: pa.array([value[x : x + m].tobytes() for x, m in zip(at[some].tolist(), n[some].tolist(), strict=True)], pa.binary())})
+def _prime(n: int) -> int:
+    """The least prime of at least n."""
+    n = max(2, n)
+    while any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
-def _look_up(hot: int):
-    """Rows of a part to rows (k, codes): codes that occur in two documents or more, by key; settled ones pass.
+def _bucket(k: np.ndarray, buckets: int) -> np.ndarray:
+    """A key's bucket; ``_bucket_column`` gives the same."""
+    u = k.view(np.uint64)
+    return (u ^ (u >> np.uint64(20)) ^ (u >> np.uint64(41))).view(np.int64) % buckets
 
-    Without k: codes of more than ``hot`` documents.
+
+def _bucket_column(k: Column, buckets: int) -> Column:
+    mixed = k.bitwiseXOR(F.shiftrightunsigned(k, 20)).bitwiseXOR(F.shiftrightunsigned(k, 41))
+    return F.coalesce(F.pmod(mixed, F.lit(buckets)), F.lit(0)).cast("int")
+
+
+_FACTS = "bucket int, keys binary, vals binary"
+
+
+def _facts(key: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, keys, values) from pairs in any order: one for each bucket, however many keys it has."""
+    where = _bucket(key, buckets)
+    order = np.lexsort((key, where))
+    key, value, where = key[order], value[order], where[order]
+    at, n = _runs(where)
+    if len(at):
+        cut = lambda x: pa.array([_press(x[a : a + m].tobytes()) for a, m in zip(at.tolist(), n.tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(where[at].astype(np.int32)), cut(key), cut(value)], names=["bucket", "keys", "vals"])
+
+
+class _Known:
+    """What is known of the keys of one bucket: values of ``dtype``, and hashes of texts that are copies."""
+
+    def __init__(self, dtype, width: int):
+        self.dtype, self.width = dtype, width
+        self.reset(None)
+
+    def reset(self, bucket: int | None) -> None:
+        self.bucket, self.keys, self.vals, self.ready = bucket, [np.zeros(0, np.int64)], [np.zeros((0, self.width), self.dtype)], False
+        self.copies: set[tuple[int, int]] = set()
+
+    def add(self, b: pa.RecordBatch) -> None:
+        for k, th, keys, vals in zip(*[b.column(c).to_pylist() for c in ("k", "th", "keys", "vals")], strict=True):
+            if keys is None:
+                self.copies.add((k, th))
+            else:
+                self.keys.append(np.frombuffer(_open(keys), np.int64))
+                self.vals.append(np.frombuffer(_open(vals), self.dtype).reshape(-1, self.width))
+
+    def of(self, keys: list[int | None]) -> list[np.ndarray]:
+        """The values of each key; none for null."""
+        if not self.ready:
+            k, v = np.concatenate(self.keys), np.concatenate(self.vals)
+            order = np.argsort(k, kind="stable")
+            self.keys, self.vals, self.ready = [k[order]], [v[order]], True
+        k, v = self.keys[0], self.vals[0]
+        wanted = np.array([0 if x is None else x for x in keys], np.int64)
+        lo, hi = np.searchsorted(k, wanted), np.searchsorted(k, wanted, side="right")
+        return [v[a : a if x is None else b] for x, a, b in zip(keys, lo.tolist(), hi.tolist(), strict=True)]
+
+
+def _meet(docs: DataFrame, facts: DataFrame, copies: DataFrame, settle, schema, dtype, width: int, buckets: int) -> DataFrame:
+    """Rows of ``docs`` (k, th, and others) with what is known of their keys, bucket by bucket.
+
+    Each task reads the facts of a bucket first, then streams its documents: only a bucket's facts are held.
+    """
+    rest = [c for c in docs.columns if c not in ("k", "th")]
+    null = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    none = [null(docs, c) for c in rest]
+    told = facts.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("th"), *none, "keys", "vals")
+    gone = copies.select(_bucket_column(F.col("k"), buckets).alias("bucket"), F.lit(0).alias("kind"), "k", "th", *none, null(facts, "keys"), null(facts, "vals"))
+    rows = docs.select(_bucket_column(F.col("k"), buckets).alias("bucket"), F.lit(1).alias("kind"), "k", "th", *rest, null(facts, "keys"), null(facts, "vals"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(dtype, width)
+        for b in batches:
+            where = b.column("bucket").to_numpy().astype(np.int64) * 2 + b.column("kind").to_numpy()
+            for lo, n in zip(*[x.tolist() for x in _runs(where)], strict=True):
+                bucket, kind = divmod(int(where[lo]), 2)
+                if bucket != known.bucket:
+                    known.reset(bucket)
+                part = b.slice(lo, n)
+                if not kind:
+                    known.add(part)
+                    continue
+                for at in range(0, n, BLOCK_ROWS):
+                    if (out := settle(part.slice(at, BLOCK_ROWS), known)) is not None:
+                        yield out
+
+    return told.union(gone).union(rows).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
+
+
+def _look_up(hot: int, buckets: int):
+    """Rows of a part to facts: codes that occur in two documents or more, by key; settled ones pass.
+
+    Bucket -1: codes of more than ``hot`` documents.
     """
 
     def settle(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +311,7 @@ def _look_up(hot: int):
         for part, ks, ns, cs in rows:
             first, n = np.frombuffer(_open(ks), np.int64), np.frombuffer(_open(ns), np.uint32)
             if part < 0:
-                yield from _rows_by_key(np.repeat(np.cumsum(first), n), np.frombuffer(cs, np.uint64), "codes")
+                yield from _facts(np.repeat(np.cumsum(first), n), np.frombuffer(cs, np.uint64), buckets)
                 continue
             cs = np.frombuffer(cs, np.uint32).astype(np.uint64) | np.uint64(part << 32)
             if len(first):
@@ -246,11 +331,11 @@ def _look_up(hot: int):
         np.add.at(total, place[hit], 1)
         if len(code):
             hit[order] |= np.append(False, same) | np.append(same, False)
-            yield from _rows_by_key(key[hit], code[hit], "codes")
+            yield from _facts(key[hit], code[hit], buckets)
         alone, n = np.unique(code, return_counts=True)
         crowd = np.concatenate([some[total > hot], alone[n > hot]])
         if len(crowd):
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([crowd.tobytes()], pa.binary())], names=["k", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([crowd.tobytes()], pa.binary())], names=["bucket", "keys", "vals"])
 
     return settle
 
@@ -273,18 +358,19 @@ def _halves(begin: np.ndarray, end: np.ndarray, code: np.ndarray, place: np.ndar
 
 
 def _cut(looks: int, parts: int, length: int, k: int, crowd: np.ndarray | None = None):
-    """Texts, their repeating codes and the hashes of texts that are copies, to rows (part, runs): runs of windows, by minimizer.
+    """Texts and what is known of them (repeating codes, copies) to rows (part, runs): runs of windows, by minimizer.
 
     A row's runs are compressed: their number, keys, starts, sizes, and the distinct strings with each run's own.
     """
     crowd = np.zeros(0, np.uint64) if crowd is None else crowd
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        own = [i for i, (th, copies) in enumerate(zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True)) if th not in (copies or ())]
+    def settle(b: pa.RecordBatch, known: _Known) -> pa.RecordBatch | None:
+        codes = known.of(b.column("k").to_pylist())
+        own = [i for i, x in enumerate(zip(b.column("k").to_pylist(), b.column("th").to_pylist(), strict=True)) if len(codes[i]) and x not in known.copies]
         b = b.take(pa.array(own, pa.int64()))
-        keys = b.column(0).to_numpy(zero_copy_only=False)
-        texts, owner, base = _pieces([_open(t) for t in b.column(2).to_pylist()], length)
-        wanted = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in b.column(3).to_pylist()]
+        keys = b.column("k").to_numpy(zero_copy_only=False)
+        texts, owner, base = _pieces([_open(t) for t in b.column("z").to_pylist()], length)
+        wanted = [np.unique(codes[i]) for i in own]
         part, key, start, data = [], [], [], []
         for lo, hi in _slices(texts):
             raw = b"".join(texts[lo:hi])
@@ -327,7 +413,7 @@ def _cut(looks: int, parts: int, length: int, k: int, crowd: np.ndarray | None =
             out["runs"].append(_press(b"".join([v.tobytes() for v in (head, key[at].astype(np.int64), start[at].astype(np.int64), which, sizes)] + [*own])))
         return pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int64()), "runs": pa.array(out["runs"], pa.binary())})
 
-    return run
+    return settle
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -405,8 +491,8 @@ class _Occurrences:
         self.file.close()
 
 
-def _sort_shard(length: int, budget: int):
-    """Rows of one shard to rows (k, spans): (begin, end) pairs of bytes to remove."""
+def _sort_shard(length: int, budget: int, buckets: int):
+    """Rows of one shard to facts: (begin, end) pairs of bytes to remove, by key."""
 
     def settle(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         names, least, found = {}, np.zeros(0, np.int64), _Occurrences(budget)
@@ -420,6 +506,7 @@ def _sort_shard(length: int, budget: int):
         low, offset = repeated_windows(list(names), least[: len(names)], length, budget)
         del names, least
         n = np.diff(offset)
+        held, spans, size_held = [], [], 0
         for k, s, i in found.blocks():
             size = n[i]
             row = np.repeat(np.arange(len(k)), size)
@@ -429,9 +516,15 @@ def _sort_shard(length: int, budget: int):
                 continue
             new = np.flatnonzero(np.append(True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)))
             end = np.append(new[1:], len(hit)) - 1
-            out = np.stack([s[row[hit[new]]] + where[hit[new]], s[row[hit[end]]] + where[hit[end]] + length], axis=1).astype(np.uint32)
-            yield from _rows_by_key(k[row[hit[new]]], out, "spans")
+            held.append(k[row[hit[new]]])
+            spans.append(np.stack([s[row[hit[new]]] + where[hit[new]], s[row[hit[end]]] + where[hit[end]] + length], axis=1).astype(np.uint32))
+            size_held += len(new)
+            if size_held > 1 << 19:
+                yield from _facts(np.concatenate(held), np.concatenate(spans), buckets)
+                held, spans, size_held = [], [], 0
         found.close()
+        if held:
+            yield from _facts(np.concatenate(held), np.concatenate(spans), buckets)
 
     return settle
 
@@ -441,11 +534,11 @@ def _pack_text(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_press((t or "").encode()) for t in b.column(2).to_pylist()], pa.binary())], names=["k", "th", "z"])
 
 
-def merged(blobs: list[bytes] | None) -> np.ndarray:
+def merged(s: np.ndarray) -> np.ndarray:
     """Maximal runs from (begin, end) pairs."""
-    if not blobs:
+    if not len(s):
         return np.zeros((0, 2), np.int64)
-    s = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64).reshape(-1, 2)
+    s = s.astype(np.int64)
     s = s[np.argsort(s[:, 0], kind="stable")]
     reach = np.maximum.accumulate(s[:, 1])
     new = np.flatnonzero(np.append(True, s[1:, 0] > reach[:-1]))
@@ -468,34 +561,34 @@ def numbered(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     return docs.join(order, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
-def spans(rows: DataFrame, scratch: Scratch, *, length: int = LENGTH, k: int = K, budget: int = 16 << 20, hot: int = HOT) -> DataFrame:
-    """Of rows (k: an integer key, t: text): ``k``, ``blobs``: encoded spans to remove, ``copies``: hashes of its texts that go as a whole."""
+def spans(rows: DataFrame, scratch: Scratch, *, length: int = LENGTH, k: int = K, budget: int = 16 << 20, hot: int = HOT) -> tuple[DataFrame, DataFrame, int]:
+    """Of rows (k: an integer key, t: text): facts of spans to remove, ``copies`` (k, th: hashes of texts that go as a whole), the number of buckets."""
     rows = rows.where("k IS NOT NULL").select("k", F.xxhash64("t").alias("th"), "t")
-    total = rows.select(F.sum(F.octet_length("t"))).first()[0] or 0
+    total, n = rows.select(F.sum(F.octet_length("t")), F.count(F.lit(1))).first()
+    total = total or 0
     shards = int(max(8, total // SHARD_BYTES + 1))
     looks = int(max(8, total // LOOK_BYTES + 1))
     tasks = int(max(8, min(20_000, shards // 4)))
+    buckets = _prime(max(7, n // BLOCK_ROWS))
     hot = max(hot, total // (16 * 100_000))  # so that at most 100,000 minimizers can be crowded
     named = scratch.put(rows.where(F.octet_length("t") >= length).select("k", "th", F.unhex(F.sha2("t", 256)).alias("h")))
     least = named.groupBy("h").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most")
-    copies = scratch.put(spread_join(named, least, "h").where("k > least").select("k", "th").distinct())
+    copies = scratch.put(spread_join(named, least, "h", COPIES).where("k > least").select("k", "th").distinct())
     sent = by_batch(rows.select("k", "t"), _repeats(looks, length, k), _ROWS, BLOCK_ROWS)
-    settled = scratch.put(sent.repartition(min(20_000, looks), "part").sortWithinPartitions("part").mapInArrow(_by_part(_look_up(hot)), "k long, codes binary"))
-    crowd = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.codes, np.uint64) for r in settled.where("k IS NULL").select("codes").collect()]])  # at most 100,000 codes
-    told = settled.where("k IS NOT NULL").select("k", "codes", F.lit(None).cast("long").alias("th")).union(copies.select("k", F.lit(None).cast("binary"), "th"))
-    wanted = told.groupBy("k").agg(F.collect_list("codes").alias("codes"), F.collect_list("th").alias("copies"))
+    settled = scratch.put(sent.repartition(min(20_000, looks), "part").sortWithinPartitions("part").mapInArrow(_by_part(_look_up(hot, buckets)), _FACTS))
+    crowd = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.vals, np.uint64) for r in settled.where("bucket < 0").select("vals").collect()]])  # at most 100,000 codes
     packed = by_batch(rows, _pack_text, "k long, th long, z binary")
-    runs = by_batch(packed.join(wanted, "k").select("k", "th", "z", "codes", "copies"), _cut(looks, shards, length, k, np.sort(crowd)), "part long, runs binary", BLOCK_ROWS)
-    found = runs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_by_part(_sort_shard(length, budget)), "k long, spans binary")
-    both = found.select("k", "spans", F.lit(None).cast("long").alias("th")).union(copies.select("k", F.lit(None).cast("binary"), "th"))
-    return both.groupBy("k").agg(F.collect_list("spans").alias("blobs"), F.collect_list("th").alias("copies"))
+    cut = _cut(looks, shards, length, k, np.sort(crowd))
+    runs = _meet(packed, settled.where("bucket >= 0"), copies, cut, "part long, runs binary", np.uint64, 1, buckets)
+    found = runs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_by_part(_sort_shard(length, budget, buckets)), _FACTS)
+    return found, copies, buckets
 
 
-def _gone(raw: bytes, th: int, blobs: list[bytes] | None, copies: list[int] | None, length: int) -> np.ndarray:
+def _gone(raw: bytes, spans: np.ndarray, copy: bool, length: int) -> np.ndarray:
     """Maximal runs to remove from a text."""
-    if copies and th in copies and len(raw) >= length:
+    if copy and len(raw) >= length:
         return np.array([[0, len(raw)]], np.int64)
-    return merged(blobs)
+    return merged(spans)
 
 
 def report(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, **options) -> DataFrame:
@@ -507,24 +600,25 @@ def report(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length:
     scratch = Scratch(docs.sparkSession, "suffix")
     kind = docs.schema[key].dataType.simpleString()
     rows = numbered(docs.select(F.col(key).alias("own"), F.col(text).alias("t")), "own", scratch)
-    found = spans(rows.select(F.col("_no").alias("k"), "t"), scratch, length=length, **options)
+    found, copies, buckets = spans(rows.select(F.col("_no").alias("k"), "t"), scratch, length=length, **options)
 
     def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), *_pack_text(b.select([1, 2, 3])).columns], names=["own", "no", "th", "z"])
+        return pa.RecordBatch.from_arrays([b.column(0), *_pack_text(b.select([1, 2, 3])).columns], names=["own", "k", "th", "z"])
 
-    packed = by_batch(rows.select("own", "_no", F.xxhash64("t").alias("th"), "t"), pack, f"own {kind}, no long, th long, z binary")
-    both = packed.join(found, F.col("no") == F.col("k"), "left").select("own", "th", "z", "blobs", "copies")
+    packed = by_batch(rows.select("own", "_no", F.xxhash64("t").alias("th"), "t"), pack, f"own {kind}, k long, th long, z binary")
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def settle(b: pa.RecordBatch, known: _Known) -> pa.RecordBatch:
         cols: list[list] = [[], [], [], []]
-        for th, t, blobs, copies in zip(*[b.column(i).to_pylist() for i in range(1, 5)], strict=True):
+        ks = b.column("k").to_pylist()
+        for k, th, t, s in zip(ks, b.column("th").to_pylist(), b.column("z").to_pylist(), known.of(ks), strict=True):
             raw = _open(t)
-            runs = _gone(raw, th, blobs, copies, length)
+            runs = _gone(raw, s, (k, th) in known.copies, length)
             for c, v in zip(cols, (len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(cut_out(raw, runs)).hexdigest()), strict=True):
                 c.append(v)
-        return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["own", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pa.RecordBatch.from_arrays([b.column("own"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["own", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return by_batch(both, run, f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("own", key)
+    out = _meet(packed, found, copies, settle, f"own {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", np.uint32, 2, buckets)
+    return out.withColumnRenamed("own", key)
 
 
 def clean(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, **options) -> DataFrame:
@@ -534,16 +628,17 @@ def clean(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: i
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = numbered(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("own")), "own", scratch)
-    found = spans(rows.select(F.col("_no").alias("k"), F.col("row")[text].alias("t")), scratch, length=length, **options)
-    both = rows.select("row", "_no", F.xxhash64(F.col("row")[text]).alias("th")).join(found, F.col("_no") == F.col("k"), "left").select("row", "th", "blobs", "copies")
+    found, copies, buckets = spans(rows.select(F.col("_no").alias("k"), F.col("row")[text].alias("t")), scratch, length=length, **options)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        kept = []
-        for t, th, blobs, copies in zip(b.column(0).field(text).to_pylist(), *[b.column(i).to_pylist() for i in range(1, 4)], strict=True):
-            if t and (blobs or copies):
+    def settle(b: pa.RecordBatch, known: _Known) -> pa.RecordBatch:
+        kept, ks = [], b.column("k").to_pylist()
+        for t, k, th, s in zip(b.column("row").field(text).to_pylist(), ks, b.column("th").to_pylist(), known.of(ks), strict=True):
+            copy = (k, th) in known.copies
+            if t and (len(s) or copy):
                 raw = t.encode()
-                t = cut_out(raw, _gone(raw, th, blobs, copies, length)).decode("utf-8", "ignore")
+                t = cut_out(raw, _gone(raw, s, copy, length)).decode("utf-8", "ignore")
             kept.append(t)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
+        return pa.RecordBatch.from_arrays([b.column("row"), pa.array(kept, pa.string())], names=["row", "kept"])
 
-    return by_batch(both, run, T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType())]))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType())])
+    return _meet(rows.select("row", F.col("_no").alias("k"), F.xxhash64(F.col("row")[text]).alias("th")), found, copies, settle, schema, np.uint32, 2, buckets)
