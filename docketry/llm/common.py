@@ -83,27 +83,38 @@ class Scratch:
             _remove(self.spark, path)
 
 
-def spread_join(rows: DataFrame, one: DataFrame, on: str, most: int = 50_000, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``one`` (a row for each value of ``on`` at most), with no value's rows all in one task.
+def hot_keys(rows: DataFrame, on: str, most: int) -> list[tuple]:
+    """(value, number of tasks to deal its rows to) of the values of ``on`` on more than ``most`` rows.
 
-    Values on more than ``most`` rows are counted first; their row of ``one`` is repeated for so many tasks and
-    their rows are dealt to these.  There are at most count / most such values, and never over 100,000, as ``most`` grows
-    with the count from there; so they can be broadcast.  A null matches nothing.
+    There are at most count / most such values, and never over 100,000, as ``most`` grows with the count from there.
     """
     total = rows.count()
     most = max(most, total // 100_000)
     if total <= most:
-        return rows.join(one, on, how)
+        return []
     hot = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
-    found = hot.select(on, F.ceil(F.col("_n") / most).cast("int").alias("_tasks")).collect()  # at most 100,000 rows
-    if not found:
+    return [tuple(r) for r in hot.select(on, F.ceil(F.col("_n") / most).cast("int")).collect()]  # at most 100,000 rows
+
+
+def dealt_join(rows: DataFrame, one: DataFrame, on: str, hot: list[tuple], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``one`` (a row for each value of ``on`` at most); the rows of ``hot`` values are dealt to so many tasks each."""
+    if not hot:
         return rows.join(one, on, how)
-    hot = F.broadcast(rows.sparkSession.createDataFrame(found, f"`{on}` {rows.schema[on].dataType.simpleString()}, _tasks int"))
-    left = rows.join(hot, on, "left").withColumn("_task", F.when(F.col("_tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_tasks")).cast("int"))).drop("_tasks")
-    right = one.join(hot, on, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1))).drop("_tasks")
+    table = F.broadcast(rows.sparkSession.createDataFrame(hot, f"`{on}` {rows.schema[on].dataType.simpleString()}, _tasks int"))
+    left = rows.join(table, on, "left").withColumn("_task", F.when(F.col("_tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_tasks")).cast("int"))).drop("_tasks")
+    right = one.join(table, on, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1))).drop("_tasks")
     return left.join(right, [on, "_task"], how).drop("_task")
 
 
+def spread_join(rows: DataFrame, one: DataFrame, on: str, most: int = 50_000, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``one`` (a row for each value of ``on`` at most), with no value's rows all in one task.
+
+    Values on more than ``most`` rows are counted first; their row of ``one`` is repeated for so many tasks and
+    their rows are dealt to these.  A null matches nothing.
+    """
+    return dealt_join(rows, one, on, hot_keys(rows, on, most), how)
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int = 1000) -> DataFrame:
     """``f`` over ``rows`` rows at a time.  Batches end at spark.sql.execution.arrow.maxBytesPerBatch."""
 
