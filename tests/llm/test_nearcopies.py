@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from docketry.llm import nearcopies
 
@@ -24,6 +25,32 @@ def brute(texts):
     return {i: find(i) for i in sets}
 
 
+def brute_any(rows):
+    """Smallest key reachable for rows (key, text) of any kind: word-less texts are one set, short ones one shingle."""
+    sets = {}
+    for _, t in rows:
+        ws = (t or "").encode().lower().split()
+        sets[t] = frozenset(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
+    root = {x: x for x in sets.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    distinct = list(root)
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if a and b and len(a & b) >= 0.8 * len(a | b):
+                root[find(a)] = find(b)
+    least = {}
+    for k, t in rows:
+        if k is not None:
+            r = find(sets[t])
+            least[r] = min(least.get(r, k), k)
+    return {(k, t): least.get(find(sets[t])) for k, t in rows}
+
+
 def planted(r, pairs):
     """Pairs of 120 to 250 words; 1 to 5 words of the second are changed (similarity 0.6 to 0.95)."""
     out = []
@@ -59,3 +86,41 @@ def test_crowded_bands(spark, rounds):
     root = brute(texts)
     out = nearcopies.near_copies(spark.createDataFrame(texts, "doc_id long, text string"), pairs_up_to=4, rounds=rounds).collect()
     assert {x.doc_id: x.component_id for x in out} == root
+
+
+def test_groups_with_few_and_many_changes(spark):
+    """A base with members of 1 to 12 changed words, some linked to each other only, in crowded bands; and a second group near the first."""
+    r = random.Random(11)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(140)]
+    other = [f"o{i}" if i % 9 == 0 else w for i, w in enumerate(base)]
+    texts = [(None, " ".join(base)), (500, ""), (501, None), (502, "few words"), (503, "Few  words")]
+    for i in range(90):
+        ws = list(other if i % 3 == 0 else base)
+        for at in r.sample(range(140), r.randint(1, 12)):
+            ws[at] = f"x{i}"
+        texts.append((i, " ".join(ws)))
+        if i % 10 == 0:
+            ws[r.randrange(140)] = "again"
+            texts.append((100 + i, " ".join(ws)))
+    root = brute_any(texts)
+    for limit in (4, 24):
+        out = nearcopies.near_copies(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), pairs_up_to=limit).collect()
+        assert sorted((str(x.doc_id), str(x.component_id)) for x in out) == sorted((str(k), str(root[k, t])) for k, t in texts)
+
+
+def test_pigeonring_lets_similar_sets_pass():
+    """The chains drop no pair within the budget, and the budget holds for sets at 0.8, small ones too."""
+    r = np.random.default_rng(4)
+    held = passed = 0
+    for n in (5, 9, 20, 60, 200, 800):
+        for _ in range(60):
+            shared = int(np.ceil(8 * n / 9))  # of two sets of n: similarity of 0.8
+            both, x, y = (np.sort(r.integers(0, 1 << 63, k).astype(np.uint64)) for k in (shared, n - shared, n - shared))
+            a, b = (nearcopies.wide_fingerprint(np.sort(np.concatenate([both, z]))).view(np.uint64) for z in (x, y))
+            d = np.bitwise_count(a ^ b).astype(int)
+            ring = np.concatenate([d, d])
+            chain = any(all(ring[i : i + size].sum() <= size * nearcopies.MOST // 4 for size in range(1, 4)) for i in range(4))
+            assert chain or d.sum() > nearcopies.MOST
+            held += 1
+            passed += d.sum() <= nearcopies.MOST
+    assert passed >= 0.995 * held

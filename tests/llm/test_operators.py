@@ -87,21 +87,51 @@ def test_one_of_each(docs, texts):
     assert {1, 40, 41, 80, 81} <= set(kept) and 2 not in kept
 
 
-def test_line_dedup(docs, texts):
-    got = {(r.doc_id, r.kept_sha256): r for r in linededup.report(docs).collect()}
-    assert len(linededup.report(docs).collect()) == len(texts)
-    line = "All rights reserved by this very site."
-    for i, t in texts:
+def brute_lines(rows, min_sites=10, min_words=1):
+    """(key, n_lines, n_spread, what is left) of rows (key, text, site)."""
+    sites, first = defaultdict(set), {}
+    for k, t, site in rows:
+        for x in (t or "").split("\n"):
+            if len(WORD.findall(x)) >= min_words:
+                sites[x].add(site or "")
+                first[x] = min(first.get(x, k), k, key=lambda v: (v is None, v))
+    out = Counter()
+    for k, t, _ in rows:
         lines = (t or "").split("\n")
-        kept = "\n".join(x for x in lines if x != line) if line in lines else (t or "")
-        r = got[i, hashlib.sha256(kept.encode()).hexdigest()]
-        assert (r.n_lines, r.n_removed, r.kept_chars) == (len(lines), lines.count(line), len(kept))
+        gone = [x in first and len(sites[x]) >= min_sites and first[x] is not None and (k is None or k > first[x]) for x in lines]
+        out[k, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)] += 1
+    return out
 
 
-def test_line_dedup_leaves_copies_to_others(spark):
+def test_line_dedup(docs, texts):
+    got = Counter((r.doc_id, r.n_lines, r.n_spread, r.n_removed, r.kept_chars, r.kept_sha256) for r in linededup.report(docs).collect())
+    want = Counter()
+    for (k, n, s, rest), c in brute_lines([(i, t, f"site{n % 13}") for n, (i, t) in enumerate(texts)]).items():
+        want[k, n, s, s, len(rest), hashlib.sha256(rest.encode()).hexdigest()] += c
+    assert got == want and sum(r[2] for r in want) > 20
+
+
+@pytest.mark.parametrize("most", [3, 50_000])
+@pytest.mark.parametrize("near", [0.2, 0.9])
+def test_line_dedup_near_the_limit(spark, most, near):
+    """Lines on 7 to 13 sites, of which the sketch settles none (near = 0.9) or few; hot lines dealt to several tasks."""
+    r = random.Random(8)
+    rows = []
+    for n in range(7, 14):
+        for i in range(4 * n):
+            rows.append((len(rows), f"own {r.random()}\nLine of {n} sites\n\n x{n} \nlast {i}", f"s{i % n}"))
+    rows += [(None, "Line of 12 sites\nLine of 9 sites", "s1"), (3, "Line of 12 sites", None), (0, "Line of 11 sites\nLine of 11 sites", "s0")]
+    out = linededup.clean_lines(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), most=most, near=near).collect()
+    assert Counter((x.row.doc_id, x.n_lines, x.n_spread, x.kept) for x in out) == brute_lines(rows)
+
+
+def test_line_dedup_leaves_copies_if_asked(spark):
     rows = [(i, "the same few words\nagain the same words", f"s{i}") for i in range(15)] + [(99, "the same few words\n" + "unlike all others here " * 5, "s99")]
-    out = {r.doc_id: r.n_removed for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert out == {i: 0 for i in range(15)} | {99: 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.row.doc_id: (r.n_spread, r.n_removed) for r in linededup.clean_lines(df, leave=0.5).collect()}
+    assert out == {0: (0, 0)} | {i: (2, 0) for i in range(1, 15)} | {99: (1, 1)}
+    out = {r.row.doc_id: (r.n_removed, r.kept) for r in linededup.clean_lines(df, min_words=4).collect()}
+    assert out[0] == (0, rows[0][1]) and out[5] == (2, "") and out[99][0] == 1
 
 
 def test_toxicity(spark):
