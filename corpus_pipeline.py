@@ -26,12 +26,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: cross-site boilerplate lines go."""
-    return _with_text(linededup.clean_lines(docs), docs.columns)
+    """Operator 2: cross-site boilerplate lines go, but for the one document that keeps them.
+
+    Documents that lines on ten sites or more make up by over half are left whole: such a one is most often a copy of a page that
+    went to many sites, and the next stage keeps one of each; cut here, its near copies would leave their odd lines behind.
+    """
+    return _with_text(linededup.clean_lines(docs, leave=0.5), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: one document of each near-duplicate component (five-word shingles, similarity 0.8) stays, that of the smallest id."""
+    """Operator 1: one document of each near-duplicate component (five-word shingles, similarity 0.8) stays, that of the smallest id.
+
+    SimHash of 256 bits with pigeonring filtering, and the exact similarity of what passes (see ``nearcopies``).
+    """
     return nearcopies.one_of_each(docs)
 
 
@@ -53,7 +60,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: Learned scores, fingerprints and token ids have no SQL; tests compare each stage with brute force.
+#: Learned scores, fingerprints and token ids have no SQL; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
 
 
