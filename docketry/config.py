@@ -4,6 +4,7 @@ from __future__ import annotations
 
 # Signals, intents, weights, polarity weights and thresholds of the scoring model.
 SIGNALS = ("bm25", "semantic", "legal", "citation", "outcome")
+SEMANTIC_VARIANTS = ("whole", "chunked_max", "chunked_mean3")
 NOMINATING = ("bm25", "semantic", "legal", "citation")
 INTENTS = ("FACTUAL_SIMILARITY", "LEGAL_ISSUE", "STATUTE_BASED", "SUPPORTING_PRECEDENT", "CONTRASTING_PRECEDENT")
 LEGAL_PARTS = {"act": 0.30, "section": 0.40, "issue": 0.30}
@@ -36,6 +37,8 @@ POLARITY_WEIGHTS = {
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 CHUNK_SIZE, CHUNK_OVERLAP = 400, 100
 CANDIDATES, SEEDS, TOP_K, RUN_DEPTH, LISTED_K = 100, 10, 10, 20, 40
+# First parties that name no one.
+GENERIC_PARTIES = ("state", "union of india", "union", "the state", "state of", "commissioner", "government")
 SEED = 42
 VECTOR_SIZE, WINDOW_SIZE, MIN_COUNT = 100, 8, 2
 

@@ -30,6 +30,16 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: s != "")
 
 
+def round_even(x: Column, places: int) -> Column:
+    """Rounded to ``places``; a tie goes to the even digit."""
+    return F.bround(x.cast("decimal(38, 12)"), places).cast("double")
+
+
+def slices(text: Column, body: int = 60_000, tail: int = 3000, issue: int = 600) -> dict[str, Column]:
+    """body, tail, issue: the first, last and first characters that features, outcomes and listings read."""
+    return {"body": F.substring(text, 1, body), "tail": F.right(text, F.lit(tail)), "issue": F.substring(text, 1, issue)}
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), " ", "_")
 
@@ -67,12 +77,21 @@ def chunk_count(n: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
     return F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1).cast("int")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def chunks(tokens: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of structs (start, tokens): windows of ``size`` that advance by ``size - overlap``; none for no tokens."""
-    n, step = F.size(tokens), size - overlap
-    count = chunk_count(n, size, overlap)
-    starts = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, size).alias("tokens")))
+    step = size - overlap
+
+    def cut(t: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), F.greatest(chunk_count(F.size(t), size, overlap) - 1, F.lit(0))), lambda i: i * step)
+        pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(t, s + 1, size).alias("tokens")))
+        return F.filter(pieces, lambda _: F.size(t) > 0)
+
+    return once(tokens, cut)
 
 
 def distinct_in_order(values: Column) -> Column:

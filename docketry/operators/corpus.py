@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketry.operators.evaluate import ordered
+
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, pos (from 0), line, trimmed."""
@@ -115,7 +117,7 @@ def neutral_order(rows: DataFrame, neutral: str, path: str) -> DataFrame:
     """doc_ord from 0 by (year, number) of the neutral citation, (9999, 0) without one, then path."""
     y, n = F.regexp_extract(neutral, r"(\d{4})\s*INSC\s*(\d+)", 1), F.regexp_extract(neutral, r"(\d{4})\s*INSC\s*(\d+)", 2)
     keyed = rows.withColumn("_y", F.when(y != "", y.cast("int")).otherwise(9999)).withColumn("_n", F.when(n != "", n.cast("int")).otherwise(0))
-    return keyed.withColumn("doc_ord", F.row_number().over(Window.orderBy("_y", "_n", path)) - 1).drop("_y", "_n")
+    return ordered(keyed, "_y", "_n", path, name="doc_ord").drop("_y", "_n")
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

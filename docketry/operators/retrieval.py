@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,35 +16,67 @@ def term_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     return docs.select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return docs.select(key, F.size(tokenize(F.col(text))).alias("len"))
+def vocabulary(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """term, df, tokens; the sum of ``tokens`` over all terms is the number of tokens of all documents (each counts at its first term)."""
+    t = docs.select(tokenize(F.col(text)).alias("_t")).select(F.size("_t").alias("_len"), F.posexplode(F.array_distinct("_t")).alias("_at", "term"))
+    return t.groupBy("term").agg(F.count_if(F.col("_at") >= 0).alias("df"), F.sum(F.when(F.col("_at") == 0, F.col("_len")).otherwise(0)).alias("tokens"))
 
 
-def bm25_idf(postings: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """term, df, idf: ln(N - df + 0.5) - ln(df + 0.5); negative ones become epsilon times the mean over the vocabulary."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(n_docs).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def bm25_idf(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """terms(term, df), n_docs(n): term, df, idf: ln(N - df + 0.5) - ln(df + 0.5); negative ones become epsilon times the mean over the vocabulary."""
+    raw = terms.crossJoin(n_docs).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, doc: str = "doc_id", query: str = "item_id", text: str = "text") -> DataFrame:
-    """query, doc, score for every pair that shares a term.  Repeated query words count again."""
-    postings = term_frequencies(docs, doc, text)
-    lengths = document_lengths(docs, doc, text)
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    idf = bm25_idf(postings, totals.select("n"))
+    """query, doc, score for every pair that shares a term.  Repeated query words count again.
+
+    Texts are tokenised twice: for the vocabulary, which is aggregated where the texts lie, and for the postings of the
+    queries' own terms, which alone are counted and moved.
+    """
+    terms = vocabulary(docs, doc, text)
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    average = terms.agg(F.sum("tokens").alias("tokens")).crossJoin(n).select((F.col("tokens") / F.col("n")).alias("avgdl"))
+    idf = bm25_idf(terms.select("term", "df"), n)
     asked = term_frequencies(queries, query, text).withColumnRenamed("tf", "qtf")
+    held = docs.select(doc, tokenize(F.col(text)).alias("_t")).select(doc, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    postings = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _bm25_sum(asked.join(idf.select("term", "idf"), "term"), postings, average, doc, query)
+
+
+def _bm25_sum(asked: DataFrame, postings: DataFrame, average: DataFrame, doc: str, query: str) -> DataFrame:
     saturated = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avgdl")))
-    hits = asked.join(idf.select("term", "idf"), "term").join(postings, "term").join(lengths, doc).crossJoin(totals.select("avgdl"))
-    return hits.groupBy(query, doc).agg(F.sum(F.col("qtf") * F.col("idf") * saturated).alias("score"))
+    return asked.join(postings, "term").crossJoin(average).groupBy(query, doc).agg(F.sum(F.col("qtf") * F.col("idf") * saturated).alias("score"))
+
 
+def write_index(docs: DataFrame, to: str, *, doc: str = "doc_id", text: str = "text", buckets: int = 64) -> None:
+    """Writes an index under ``to``: postings in folders by bucket of the term, terms with idf, and the average length."""
+    held = docs.select(F.col(doc).alias("doc"), tokenize(F.col(text)).alias("_t")).select("doc", F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    postings = held.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    # a term of most documents is dealt over several files of its bucket
+    postings.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{to}/postings")
+    spark = docs.sparkSession
+    terms = spark.read.parquet(f"{to}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tokens"))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    bm25_idf(terms.select("term", "df"), n).write.mode("overwrite").parquet(f"{to}/terms")
+    spark.read.parquet(f"{to}/postings").agg(F.sum("tf").alias("tokens")).crossJoin(n).select((F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avgdl"), "n").write.mode("overwrite").parquet(f"{to}/stats")
+
+
+def search_index(spark: SparkSession, at: str, queries: DataFrame, *, query: str = "item_id", text: str = "text", buckets: int = 64) -> DataFrame:
+    """query, doc, score by BM25 from a written index; only the buckets of the queries' terms are read."""
+    asked = term_frequencies(queries, query, text).withColumnRenamed("tf", "qtf").join(spark.read.parquet(f"{at}/terms").select("term", "idf"), "term")
+    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    postings = spark.read.parquet(f"{at}/postings").join(F.broadcast(asked.select("bucket").distinct()), "bucket", "left_semi").drop("bucket")  # at most ``buckets`` rows
+    return _bm25_sum(asked.drop("bucket"), postings, spark.read.parquet(f"{at}/stats").select("avgdl"), "doc", query)
 
-def top_k(scores: DataFrame, k: int, *, by: str, tie: str, score: str = "score", positive: bool = False) -> DataFrame:
-    """Rank 1 to k for each ``by``, highest score first, ties by the smaller ``tie``."""
+
+def top_k(scores: DataFrame, k: int | None, *, by: str, tie: str, score: str = "score", positive: bool = False) -> DataFrame:
+    """Rank 1 to k (None: all) for each ``by``, highest score first, ties by the smaller ``tie``."""
     rows = scores.where(F.col(score) > 0) if positive else scores
     w = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie))
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def ngrams(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -54,26 +86,42 @@ def ngrams(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return t.select(key, F.explode(F.concat("t", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(docs: DataFrame, key: str = "doc_id", *, text: str = "text", min_df: int = 2, max_df: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Weights (key, term, weight; rows of unit length) and the vocabulary (term, idf): 1 + ln(tf) times ln((1+n)/(1+df)) + 1."""
-    tf = ngrams(docs, key, text)
+def tfidf_vocabulary(tf: DataFrame, docs: DataFrame, *, min_df: int = 2, max_df: float = 0.5) -> DataFrame:
+    """term, idf = ln((1+n)/(1+df)) + 1 of the terms on ``min_df`` documents to ``max_df`` of all."""
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    vocab = vocab.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return _weighted(tf, vocab, key), vocab
+    # a count of tf keeps the shuffle equal to the one that the weights read, so that it runs once
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).where(F.col("df") >= min_df).crossJoin(n).where(F.col("df") <= max_df * F.col("n"))
+    return df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def _raw_weights(tf: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    return tf.join(vocab, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+
 
+def _lengths(raw: DataFrame, key: str) -> DataFrame:
+    return raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
 
-def _weighted(tf: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    raw = tf.join(vocab, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / size).alias("weight"))
+
+def tfidf(docs: DataFrame, key: str = "doc_id", *, text: str = "text", min_df: int = 2, max_df: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Weights (key, term, weight; rows of unit length) and the vocabulary (term, idf): 1 + ln(tf) times ln((1+n)/(1+df)) + 1."""
+    tf = ngrams(docs, key, text)
+    vocab = tfidf_vocabulary(tf, docs, min_df=min_df, max_df=max_df)
+    raw = _raw_weights(tf, vocab, key)
+    return raw.join(_lengths(raw, key), key).select(key, "term", (F.col("w") / F.col("size")).alias("weight")), vocab
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, *, doc: str = "doc_id", query: str = "item_id", text: str = "text") -> DataFrame:
-    """query, doc, score: the cosine of their TF-IDF rows, for pairs that share a term."""
-    weights, vocab = tfidf(docs, doc, text=text)
-    asked = _weighted(ngrams(queries, query, text), vocab, query).withColumnRenamed("weight", "q")
-    return asked.join(weights, "term").groupBy(query, doc).agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+    """query, doc, score: the cosine of their TF-IDF rows, for pairs that share a term.
+
+    Only the queries' terms are matched; the lengths of all documents are summed beside.
+    """
+    tf = ngrams(docs, doc, text)
+    vocab = tfidf_vocabulary(tf, docs)
+    raw = _raw_weights(tf, vocab, doc)
+    asked = _raw_weights(ngrams(queries, query, text), vocab, query)
+    asked = asked.join(_lengths(asked, query), query).select(query, "term", (F.col("w") / F.col("size")).alias("q"))
+    hits = raw.join(asked, "term").groupBy(query, doc).agg(F.sum(F.col("q") * F.col("w")).alias("s"))
+    return hits.join(_lengths(raw, doc), doc).select(query, doc, (F.col("s") / F.col("size")).alias("score"))
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame, *, vec: str = "embedding", qvec: str = "qvec") -> DataFrame:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketry.config import ADAPTIVE, FIXED, INTENTS, PAIRWISE, RUN_DEPTH, STOPWORDS, TABLE
+from docketry.config import SIGNALS as SIGNAL_NAMES
 from docketry.functions import legal as L
 from docketry.functions import vectors as V
 from docketry.operators import corpus, metrics
 from docketry.operators import entities as E
+from docketry.operators import evaluate as EV
 from docketry.operators import labels as LB
 from docketry.operators import retrieval as R
 from docketry.operators import scoring as S
+from docketry.plans import systems as SY
 from docketry.plans.fixtures import CITES, LABELS, RUN, SIGNALS, query, rows, table, tok
 
 _BM25 = f"""p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) x GROUP BY 1, 2),
@@ -36,22 +40,38 @@ def d04(s, d):
     return _bm25(s, d).withColumn("score", F.round("score", 4))
 
 
-@query("D01_metadata_join", "SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+@query("D01_metadata_join", "SELECT c_custkey AS key, c_name, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
 def d01(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
+    meta = table(s, d, "customer").select(F.col("c_custkey").alias("key"), "c_name")
+    return EV.with_metadata(table(s, d, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey"), meta, "key").groupBy("key", "c_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("D02_missing_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("D02_missing_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def d02(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    held = table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return EV.without_counterpart(table(s, d, "customer").select("c_custkey"), held, "c_custkey")
 
 
 @query("D03_features_join", "SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
 def d03(s, d):
-    return table(s, d, "documents").select("doc_id", "lang").join(table(s, d, "labels"), "doc_id")
+    return EV.with_metadata(table(s, d, "documents").select("doc_id", "lang"), table(s, d, "labels"), "doc_id")
 
 
-@query("D05_tfidf_scores")
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+
+
+def _grams(name: str, key: str, source: str) -> str:
+    return f"""{name}t AS (SELECT {key}, list_filter({tok('text')}, lambda x: NOT list_contains({_STOP}, x)) AS t FROM {source}),
+  {name} AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM {name}t) x GROUP BY 1, 2)"""
+
+
+_TFIDF = f"""{_grams('tf', 'doc_id', 'documents')}, tn AS (SELECT count(*) AS n FROM documents), tdf AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  vo AS MATERIALIZED (SELECT term, ln((1 + n) / (1.0 + df)) + 1 AS idf FROM tdf, tn WHERE df >= 2 AND df <= 0.5 * n),
+  w AS MATERIALIZED (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vo USING (term)), z AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY 1)"""
+
+
+@query("D05_tfidf_scores", f"""WITH {_TFIDF}, {_grams('qt', 'item_id', 'benchmark')}, qw AS (SELECT item_id, term, (1 + ln(tf)) * idf AS q FROM qt JOIN vo USING (term)), qz AS (SELECT item_id, sqrt(sum(q * q)) AS qz FROM qw GROUP BY 1)
+  SELECT item_id, doc_id, round(sum(q * w) / (any_value(z) * any_value(qz)), 6) AS score FROM qw JOIN w USING (term) JOIN z USING (doc_id) JOIN qz USING (item_id) GROUP BY 1, 2""")
 def d05(s, d):
     return R.tfidf_scores(table(s, d, "documents"), table(s, d, "benchmark")).withColumn("score", F.round("score", 6))
 
@@ -70,21 +90,19 @@ def d10(s, d):
     return S.in_corpus_links(o.select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("scr")), o.select(F.col("o_orderkey").alias("doc"), F.col("o_orderkey").alias("scr")))
 
 
-@query("D11_named_fuzzy_match", """WITH a AS (SELECT DISTINCT l_suppkey % 50 AS x, l_partkey % 5 AS y FROM lineitem), q AS (SELECT n_nationkey AS z FROM nation)
-  SELECT z, x, y FROM a JOIN q ON x = z WHERE 0.6 + 0.4 * (1 + CASE WHEN y = z % 5 THEN 1 ELSE 0 END) / 2.0 >= 0.75""")
+@query("D11_named_fuzzy_match", """WITH a AS (SELECT DISTINCT l_suppkey % 50 AS x, l_partkey % 5 AS y FROM lineitem), q AS (SELECT n_nationkey AS z FROM nation), m AS (SELECT z, x, y, 0.6 + 0.4 * (1 + CASE WHEN y = z % 5 THEN 1 ELSE 0 END) / 2.0 AS score FROM a JOIN q ON x = z)
+  SELECT z, concat('supplier ', x, ' v part ', y) AS key, round(score, 6) AS score FROM m WHERE score >= 0.75""")
 def d11(s, d):
-    a = rows(s, d, "SELECT DISTINCT l_suppkey % 50 AS x, l_partkey % 5 AS y FROM lineitem").withColumn("key", F.concat(F.lit("supplier "), "x", F.lit(" v part "), "y"))
-    q = table(s, d, "nation").select(F.col("n_nationkey").alias("z"), F.concat(F.lit("supplier "), "n_nationkey", F.lit(" v part "), F.col("n_nationkey") % 5).alias("asked"))
-    block = lambda c: F.explode(F.array_distinct(F.split(F.split(F.col(c), " v ")[0], " ")))
-    # blocked on a shared word of the first party; a match needs one
-    pairs = q.select("z", "asked", block("asked").alias("w")).join(a.select("x", "y", "key", block("key").alias("w")), "w").select("z", "asked", "x", "y", "key").distinct()
-    return pairs.where(L.key_match(F.col("asked"), F.col("key")) >= 0.75).select("z", "x", "y")
+    a = rows(s, d, "SELECT DISTINCT concat('supplier ', l_suppkey % 50, ' v part ', l_partkey % 5) AS key FROM lineitem")
+    q = table(s, d, "nation").select(F.col("n_nationkey").alias("z"), F.array(F.concat(F.lit("supplier "), "n_nationkey", F.lit(" v part "), F.col("n_nationkey") % 5)).alias("asked"))
+    return S.match_precedents(q, a, query="z", slack=1.0).select("z", "key", F.round("score", 6).alias("score"))
 
 
-@query("D12_first_party_contains", "SELECT n_name, count(*) AS n FROM nation JOIN customer ON contains(lower(c_name || ' ' || c_mktsegment), lower(left(n_name, 3))) GROUP BY 1")
+@query("D12_first_party_contains", "SELECT o_orderkey AS qid, concat('supplier ', s_suppkey, ' v region ', s_nationkey) AS key FROM orders JOIN supplier ON o_custkey = s_suppkey")
 def d12(s, d):
-    c = table(s, d, "customer").select(F.lower(F.concat("c_name", F.lit(" "), "c_mktsegment")).alias("t"))
-    return table(s, d, "nation").join(c, F.col("t").contains(F.lower(F.substring("n_name", 1, 3)))).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+    keys = rows(s, d, "SELECT DISTINCT concat('supplier ', s_suppkey, ' v region ', s_nationkey) AS key FROM supplier")
+    said = rows(s, d, "SELECT o_orderkey AS qid, concat('what did Supplier ', o_custkey, ' say of bail') AS text FROM orders").withColumn("asked", F.array().cast("array<string>"))
+    return S.match_precedents(said, keys, text="text").select("qid", "key")
 
 
 _AUTH = f"SELECT doc, concat('a', auth) AS key, ord AS pos, polarity FROM ({CITES}) c"
@@ -129,9 +147,7 @@ def d13(s, d):
 
 @query("D14_linked_seeds", f"WITH e AS (SELECT src AS doc, dst AS other FROM ({_EDGES}) x UNION SELECT dst, src FROM ({_EDGES}) y) SELECT doc, count(*) AS n FROM e WHERE other IN (SELECT doc FROM ({_SEEDS}) z) GROUP BY doc")
 def d14(s, d):
-    e = rows(s, d, _EDGES)
-    both = e.select(F.col("src").alias("doc"), F.col("dst").alias("other")).union(e.select("dst", "src")).distinct()
-    return both.join(rows(s, d, _SEEDS).withColumnRenamed("doc", "other"), "other", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    return EV.linked_seeds(rows(s, d, _EDGES), rows(s, d, _SEEDS))
 
 
 @query("H06_citation_scores", f"""WITH c AS ({_COLLAPSED}), st AS ({_STATS}), se AS ({_SEEDS}), v AS (SELECT key, count(*) AS votes FROM c JOIN se USING (doc) WHERE key IN (SELECT key FROM st WHERE df >= 2) GROUP BY key),
@@ -174,10 +190,11 @@ def e15(s, d):
     return metrics.summarize(_per_query(s, d)).select("system", *[F.round(m, 6).alias(m) for m in metrics.METRICS])
 
 
-@query("E16_by_intent", f"WITH r AS ({RUN}), l AS ({LABELS}), {_PQ} SELECT system, qid % 5 AS intent, round(avg(ndcg5), 6) AS ndcg5 FROM m GROUP BY ROLLUP (system, qid % 5)")
+@query("E16_by_intent", f"WITH r AS ({RUN}), l AS ({LABELS}), {_PQ}, x AS (SELECT system, qid % 5 AS intent, qid % 3 = 0 AS explicit, ndcg5 FROM m) SELECT system, intent, explicit, round(avg(ndcg5), 6) AS mean, count(*) AS n, CAST(grouping(system, intent, explicit) AS INT) AS level FROM x GROUP BY ROLLUP (system, intent, explicit)")
 def e16(s, d):
-    m = _per_query(s, d).withColumn("intent", F.col("qid") % 5)
-    return m.rollup("system", "intent").agg(F.round(F.avg("ndcg5"), 6).alias("ndcg5"))
+    queries = rows(s, d, LABELS).select("qid").distinct().select("qid", (F.col("qid") % 5).alias("intent"), (F.col("qid") % 3 == 0).alias("explicit"))
+    out = EV.by_intent(_per_query(s, d), queries)
+    return out.withColumn("mean", F.round("mean", 6))
 
 
 _DRAFT = "SELECT l_orderkey AS qid, l_linenumber AS doc, max(CAST(l_quantity AS INT) % 3) AS grade FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2"
@@ -218,7 +235,7 @@ def e01(s, d):
     return R.term_frequencies(table(s, d, "documents"), "doc_id").groupBy("term").agg(F.sum("tf").alias("n"))
 
 
-@query("E04_issue_tfidf")
+@query("E04_issue_tfidf", f"WITH {_TFIDF} SELECT doc_id, term, round(w / z, 6) AS weight FROM w JOIN z USING (doc_id)")
 def e04(s, d):
     return R.tfidf(table(s, d, "documents"))[0].withColumn("weight", F.round("weight", 6))
 
@@ -231,29 +248,28 @@ def e07(s, d):
 
 @query("E08_top_features", f"SELECT key, n FROM (SELECT key, count(*) AS n FROM ({_AUTH}) a GROUP BY key) x ORDER BY n DESC, key LIMIT 10")
 def e08(s, d):
-    return rows(s, d, _AUTH).groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "key").limit(10)
+    return EV.most_frequent(rows(s, d, _AUTH), "key")
 
 
 @query("E09_dataset_stats", "SELECT lang, median(n_chars) AS median_chars, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 0) AS bad, count(*) FILTER (WHERE quality IS NULL) AS unknown FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def e09(s, d):
-    j = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
-    return j.groupBy("lang").agg(F.percentile("n_chars", F.lit(0.5)).alias("median_chars"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality").isNull()).alias("unknown"))
+    return EV.dataset_stats(table(s, d, "documents"), table(s, d, "labels"))
 
 
 @query("E20_outcome_agreement", "SELECT avg(CASE WHEN a = b THEN 1.0 ELSE 0 END) AS agreement, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'dismissed' WHEN 'O' THEN 'allowed' END AS a, CASE WHEN o_custkey % 10 = 0 THEN 'allowed' WHEN o_orderstatus = 'F' THEN 'dismissed' ELSE 'allowed' END AS b FROM orders) x WHERE a IS NOT NULL AND b IS NOT NULL")
 def e20(s, d):
     x = rows(s, d, "SELECT CASE o_orderstatus WHEN 'F' THEN 'dismissed' WHEN 'O' THEN 'allowed' END AS a, CASE WHEN o_custkey % 10 = 0 THEN 'allowed' WHEN o_orderstatus = 'F' THEN 'dismissed' ELSE 'allowed' END AS b FROM orders")
-    return x.dropna().agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("agreement"), F.count(F.lit(1)).alias("n"))
+    return EV.agreement(x, "a", "b")
 
 
 @query("E21_spot_checks", "SELECT event_type AS check_name, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS precision, count(*) AS n FROM events GROUP BY 1")
 def e21(s, d):
-    return table(s, d, "events").groupBy(F.col("event_type").alias("check_name")).agg(F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("precision"), F.count(F.lit(1)).alias("n"))
+    return EV.spot_precision(table(s, d, "events").withColumnRenamed("event_type", "check_name"), "check_name", F.col("value") > 50).withColumn("precision", F.round("precision", 6))
 
 
 @query("E22_latency", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def e22(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    return EV.latency(table(s, d, "events"), "event_type", "value").select("event_type", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
 @query("E23_label_overview", f"""WITH c AS (SELECT qid, count(*) AS candidates FROM (SELECT l_orderkey AS qid FROM lineitem) x GROUP BY 1), a AS ({_DRAFT}), b AS ({_REVIEW}), m AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(b.grade, a.grade) AS g FROM a FULL OUTER JOIN b ON a.qid = b.qid AND a.doc = b.doc)
@@ -274,9 +290,7 @@ def e25(s, d):
 
 @query("E27_vocabulary_coverage", f"WITH v AS (SELECT DISTINCT unnest({tok('text')}) AS term FROM documents), q AS (SELECT item_id, unnest({tok('text')}) AS term FROM benchmark) SELECT item_id, round(avg(CASE WHEN v.term IS NULL THEN 0.0 ELSE 1.0 END), 6) AS coverage FROM q LEFT JOIN v ON q.term = v.term GROUP BY 1")
 def e27(s, d):
-    v = R.term_frequencies(table(s, d, "documents"), "doc_id").select("term").distinct().withColumn("known", F.lit(1.0))
-    q = R.term_frequencies(table(s, d, "benchmark"), "item_id").join(v, "term", "left")
-    return q.groupBy("item_id").agg(F.round(F.sum(F.col("tf") * F.coalesce("known", F.lit(0.0))) / F.sum("tf"), 6).alias("coverage"))
+    return EV.vocabulary_coverage(table(s, d, "benchmark"), R.vocabulary(table(s, d, "documents"), "doc_id")).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("E28_vector_norms", "WITH n AS (SELECT sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS v FROM embeddings) SELECT round(min(v), 5) AS lo, round(median(v), 5) AS mid, round(max(v), 5) AS hi FROM n")
@@ -287,11 +301,8 @@ def e28(s, d):
 
 @query("E29_top5_overlap", "WITH t AS (SELECT l_suppkey % 20 AS q, l_partkey AS doc FROM lineitem GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY doc) AS r FROM t), k AS (SELECT * FROM p WHERE r <= 5), n AS (SELECT count(DISTINCT q) AS n FROM k) SELECT round(count(*) / 5.0 / any_value(n * (n - 1) / 2), 6) AS overlap FROM k a JOIN k b ON a.doc = b.doc AND a.q < b.q, n")
 def e29(s, d):
-    t = rows(s, d, "SELECT DISTINCT l_suppkey % 20 AS q, l_partkey AS doc FROM lineitem")
-    k = t.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("doc"))).where("r <= 5")
-    n = k.agg(F.count_distinct("q").alias("n"))
-    both = k.alias("a").join(k.alias("b"), (F.col("a.doc") == F.col("b.doc")) & (F.col("a.q") < F.col("b.q"))).agg(F.count(F.lit(1)).alias("c"))
-    return both.crossJoin(n).select(F.round(F.col("c") / 5 / (F.col("n") * (F.col("n") - 1) / 2), 6).alias("overlap"))
+    t = rows(s, d, "SELECT DISTINCT l_suppkey % 20 AS qid, l_partkey AS doc, -l_partkey AS score FROM lineitem")
+    return EV.top_overlap(R.top_k(t, 5, by="qid", tie="doc")).select(F.round("overlap", 6).alias("overlap"))
 
 
 @query("F01_corpus_order", "SELECT doc, CAST(row_number() OVER (ORDER BY y, k, path) - 1 AS INT) AS doc_ord FROM (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 7 = 0 THEN 9999 ELSE 2000 + o_custkey % 20 END AS y, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey END AS k, concat('p', o_orderkey) AS path FROM orders) x")
@@ -302,8 +313,8 @@ def f01(s, d):
 
 @query("F02_stable_rank", "SELECT l_suppkey, l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS INT) AS rank FROM lineitem")
 def f02(s, d):
-    w = Window.partitionBy("l_suppkey").orderBy(F.col("l_quantity").desc(), "l_orderkey", "l_linenumber")
-    return table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("rank"))
+    li = table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", F.struct("l_orderkey", "l_linenumber").alias("tie"))
+    return R.top_k(li, None, by="l_suppkey", tie="tie", score="l_quantity").select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
 
 
 @query("F05_candidate_pool", f"SELECT DISTINCT qid, doc FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid, signal ORDER BY raw DESC, doc) AS r FROM ({SIGNALS}) x WHERE signal <> 'outcome' AND (signal <> 'citation' OR raw > 0)) y WHERE r <= 100")
@@ -313,7 +324,7 @@ def f05(s, d):
 
 @query("F08_run_top20", f"SELECT system, qid, doc, rank FROM ({RUN}) x WHERE rank <= 20")
 def f08(s, d):
-    return rows(s, d, RUN).where("rank <= 20")
+    return EV.cut_run(rows(s, d, RUN), RUN_DEPTH)
 
 
 @query("F09_case_page", "SELECT page_id, url, (SELECT count(*) FROM pages WHERE contains(lower(url), 'http')) AS total FROM pages WHERE contains(lower(url), 'http') ORDER BY page_id LIMIT 50 OFFSET 10")
@@ -327,22 +338,20 @@ def f10(s, d):
     return R.top_k(scored, 40, by="l_suppkey", tie="tie").select("l_orderkey", "l_linenumber")
 
 
-@query("F11_top_authorities", f"SELECT doc, string_agg(key, ',' ORDER BY key DESC) AS keys FROM (SELECT doc, key, row_number() OVER (PARTITION BY doc ORDER BY key DESC) AS r FROM (SELECT DISTINCT doc, key FROM ({_AUTH}) a) b) c WHERE r <= 3 GROUP BY doc")
+@query("F11_top_authorities", f"WITH p AS (SELECT doc, key, round(idf * CASE polarity WHEN 'positive' THEN 1.0 ELSE 0.8 END, 9) AS part FROM ({_COLLAPSED}) c JOIN ({_STATS}) st USING (key)) SELECT doc, string_agg(key, ',' ORDER BY part DESC, key DESC) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY part DESC, key DESC) AS r FROM p) c WHERE r <= 3 GROUP BY doc")
 def f11(s, d):
-    k = rows(s, d, _AUTH).select("doc", "key").distinct().withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("key").desc()))).where("r <= 3")
-    return k.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_list("key"), asc=False), ",").alias("keys"))
+    parts = _collapsed(s, d).join(_stats(s, d), "key").select("doc", "key", F.round(F.col("idf") * F.when(F.col("polarity") == "positive", 1.0).otherwise(0.8), 9).alias("part"))
+    return EV.top_evidence(parts, "doc").select("doc", F.array_join("keys", ",").alias("keys"))
 
 
 @query("F14_select_config", f"WITH r AS ({RUN}), l AS ({LABELS}), {_PQ} SELECT system FROM (SELECT system, avg(ndcg5) AS a, avg(mrr5) AS b FROM m GROUP BY system) x ORDER BY round(a, 9) DESC, round(b, 9) DESC, system DESC LIMIT 1")
 def f14(s, d):
-    m = metrics.summarize(_per_query(s, d))
-    return m.agg(F.max(F.struct(F.round("ndcg5", 9), F.round("mrr5", 9), "system")).alias("x")).select("x.system")
+    return SY.select_config(metrics.summarize(_per_query(s, d)), "")
 
 
 @query("F16_overview_order", "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY CASE WHEN n_regionkey = 1 THEN 0 ELSE 1 END, n_nationkey) AS INT) AS pos FROM nation")
 def f16(s, d):
-    w = Window.orderBy(F.col("n_regionkey") != 1, "n_nationkey")
-    return table(s, d, "nation").select("n_nationkey", F.row_number().over(w).alias("pos"))
+    return EV.ordered(table(s, d, "nation").select("n_nationkey", "n_regionkey"), F.col("n_regionkey") != 1, "n_nationkey", start=1).select("n_nationkey", "pos")
 
 
 @query("F18_best_passage")
@@ -350,7 +359,7 @@ def f18(s, d):
     asked, held = table(s, d, "benchmark"), table(s, d, "documents")
     top = R.top_k(_bm25(s, d).withColumn("score", F.round("score", 6)), 10, by="item_id", tie="doc_id", positive=True)
     docs = top.join(held, "doc_id").select(F.col("item_id").alias("qid"), F.col("doc_id").alias("doc"), "text")
-    idf = R.bm25_idf(R.term_frequencies(held, "doc_id"), held.agg(F.count(F.lit(1)).alias("n")))
+    idf = R.bm25_idf(R.vocabulary(held, "doc_id"), held.agg(F.count(F.lit(1)).alias("n")))
     terms = R.term_frequencies(asked, "item_id").join(idf, "term").select(F.col("item_id").alias("qid"), "term", "idf")
     numbers = E.extract(asked, "item_id").where("kind = 'provision'").select(F.col("item_id").alias("qid"), F.regexp_replace("ref", "^(?:art|r|s)", "").alias("number"))
     return LB.best_passage(docs, terms, numbers=numbers.distinct()).withColumn("score", F.round("score", 6))
@@ -364,21 +373,22 @@ def g01(s, d):
 
 @query("G02_act_union", "SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity < 5 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal < 0")
 def g02(s, d):
-    a = table(s, d, "lineitem").where("l_quantity < 5").select(F.col("l_suppkey").alias("k"))
-    return a.unionByName(table(s, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("k"))).distinct()
+    a = table(s, d, "lineitem").where("l_quantity < 5").select(F.col("l_suppkey").alias("qid"), F.lit("a").alias("doc"), F.lit("a").alias("system"), F.lit(1).alias("rank"))
+    b = table(s, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("qid"), F.lit("a").alias("doc"), F.lit("b").alias("system"), F.lit(1).alias("rank"))
+    depths = s.createDataFrame([("a", 1), ("b", 1)], "system string, depth int")
+    return metrics.build_pool(a.unionByName(b), depths).select(F.col("qid").alias("k"))
 
 
 @query("G03_intersect_except", "SELECT k, 'both' AS side FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') x UNION ALL SELECT k, 'left' FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') y")
 def g03(s, d):
     o = table(s, d, "orders")
     f, p = (o.where(F.col("o_orderstatus") == x).select(F.col("o_custkey").alias("k")) for x in "FP")
-    return f.intersect(p).withColumn("side", F.lit("both")).unionByName(f.subtract(p).withColumn("side", F.lit("left")))
+    return EV.set_difference(f, p)
 
 
 @query("G05_edge_union", f"SELECT src AS a, dst AS b FROM ({_EDGES}) x UNION SELECT dst, src FROM ({_EDGES}) y")
 def g05(s, d):
-    e = rows(s, d, _EDGES)
-    return e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).distinct()
+    return EV.both_ways(rows(s, d, _EDGES))
 
 
 _ASKED = "SELECT o_orderkey % 40 AS qid, concat('act', o_custkey % 7) AS act_id, concat('s', o_custkey % 90 + 1) AS ref FROM orders GROUP BY 1, 2, 3"
@@ -412,14 +422,34 @@ _W = "SELECT * FROM (VALUES ('bm25', 0.40), ('semantic', 0.15), ('legal', 0.30),
 
 @query("H12_I02_fuse", f"""WITH sg AS ({SIGNALS}), w AS ({_W}), u AS (SELECT DISTINCT qid, signal FROM sg), e AS (SELECT u.qid, u.signal, w / sum(w) OVER (PARTITION BY u.qid) AS eff FROM u JOIN w USING (signal)),
   p AS (SELECT DISTINCT qid, doc FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid, signal ORDER BY raw DESC, doc) AS r FROM sg WHERE signal <> 'outcome' AND (signal <> 'citation' OR raw > 0)) y WHERE r <= 100),
-  g AS (SELECT p.qid, p.doc, e.signal, e.eff, coalesce(sg.raw, 0) AS raw FROM p JOIN e USING (qid) LEFT JOIN sg ON sg.qid = p.qid AND sg.doc = p.doc AND sg.signal = e.signal),
+  g AS (SELECT p.qid, p.doc, e.signal, e.eff, coalesce(sg.raw, CASE e.signal WHEN 'outcome' THEN 0.5 ELSE 0 END) AS raw FROM p JOIN e USING (qid) LEFT JOIN sg ON sg.qid = p.qid AND sg.doc = p.doc AND sg.signal = e.signal),
   n AS (SELECT *, CASE WHEN signal = 'outcome' THEN raw WHEN max(raw) OVER z - min(raw) OVER z < 1e-12 THEN 0 ELSE (raw - min(raw) OVER z) / (max(raw) OVER z - min(raw) OVER z) END AS norm FROM g WINDOW z AS (PARTITION BY qid, signal))
   SELECT 'F2_lexical_anchor' AS config, qid, doc, round(sum(eff * norm), 5) AS score FROM n GROUP BY qid, doc""")
 def h12(s, d):
     return S.fuse(rows(s, d, SIGNALS), S.resolve_weights(s).where("config = 'F2_lexical_anchor'")).withColumn("score", F.round("score", 5))
 
 
-@query("H13_rank_all_configs")
+def _weight_values() -> str:
+    """Every configuration's weights as SQL, written from the constants."""
+    out = []
+    for i in INTENTS:
+        named = {**FIXED, **{f"{n}_{k}": row for n, options in PAIRWISE.items() for k, row in enumerate(options)}}
+        out += [(c, i, s, w) for c, row in named.items() for s, w in zip(SIGNAL_NAMES, row, strict=True)]
+        for c, (base, lam) in ADAPTIVE.items():
+            other = FIXED[base] if base else (0.0,) * len(SIGNAL_NAMES)
+            out += [(c, i, s, (1 - lam) * t + lam * b) for s, t, b in zip(SIGNAL_NAMES, TABLE[i], other, strict=True)]
+    return ", ".join(f"('{c}', '{i}', '{s}', {w!r}::DOUBLE)" for c, i, s, w in out)
+
+
+_ALL_W = f"w AS (SELECT * FROM (VALUES {_weight_values()}) v(config, intent, signal, w) WHERE w > 0)"
+_FUSED = f"""sg AS MATERIALIZED ({SIGNALS}), {_ALL_W}, u AS (SELECT DISTINCT qid, intent, signal FROM sg), e AS MATERIALIZED (SELECT config, qid, signal, w / sum(w) OVER (PARTITION BY config, qid) AS eff FROM u JOIN w USING (intent, signal)),
+  t AS (SELECT qid, doc, signal FROM (SELECT qid, doc, signal, row_number() OVER (PARTITION BY qid, signal ORDER BY raw DESC, doc) AS r FROM sg WHERE signal <> 'outcome' AND (signal <> 'citation' OR raw > 0)) y WHERE r <= 100),
+  p AS (SELECT DISTINCT config, t.qid, doc FROM t JOIN e USING (qid, signal)),
+  g AS (SELECT p.config, p.qid, p.doc, e.signal, e.eff, coalesce(sg.raw, CASE e.signal WHEN 'outcome' THEN 0.5 ELSE 0 END) AS raw FROM p JOIN e ON e.config = p.config AND e.qid = p.qid LEFT JOIN sg ON sg.qid = p.qid AND sg.doc = p.doc AND sg.signal = e.signal),
+  m AS (SELECT *, CASE WHEN signal = 'outcome' THEN raw WHEN max(raw) OVER z - min(raw) OVER z < 1e-12 THEN 0 ELSE (raw - min(raw) OVER z) / (max(raw) OVER z - min(raw) OVER z) END AS norm FROM g WINDOW z AS (PARTITION BY config, qid, signal))"""
+
+
+@query("H13_rank_all_configs", f"WITH {_FUSED}, s AS (SELECT config, qid, doc, round(sum(eff * norm), 9) AS score FROM m GROUP BY 1, 2, 3) SELECT config, qid, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY config, qid ORDER BY score DESC, doc) AS rank FROM s) x WHERE rank <= 10")
 def h13(s, d):
     fused = S.fuse(rows(s, d, SIGNALS), S.resolve_weights(s)).withColumn("by", F.struct("config", "qid")).withColumn("score", F.round("score", 9))
     return R.top_k(fused, 10, by="by", tie="doc").select("config", "qid", "doc", "score", "rank")
@@ -463,7 +493,7 @@ def j10(s, d):
     return LB.confirm_all(rows(s, d, _REVIEW), rows(s, d, _DRAFT), "qid", "doc")
 
 
-@query("J11_rank_diff", f"WITH r AS ({RUN}) SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc, b.doc) AS doc, a.rank AS rank_a, b.rank AS rank_b FROM (SELECT * FROM r WHERE system = 'a') a FULL OUTER JOIN (SELECT * FROM r WHERE system = 'b') b ON a.qid = b.qid AND a.doc = b.doc")
+@query("J11_rank_diff", f"WITH r AS MATERIALIZED ({RUN}) SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc, b.doc) AS doc, a.rank AS rank_a, b.rank AS rank_b FROM (SELECT * FROM r WHERE system = 'a') a FULL OUTER JOIN (SELECT * FROM r WHERE system = 'b') b ON a.qid = b.qid AND a.doc = b.doc")
 def j11(s, d):
     r = rows(s, d, RUN)
     return LB.rank_diff(r.where("system = 'a'"), r.where("system = 'b'"))

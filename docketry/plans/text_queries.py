@@ -29,9 +29,12 @@ def a07(s, d):
     return table(s, d, "benchmark").select("item_id", "text", split.alias("split")).where("split = 'test'")
 
 
-@query("A04_extract_metadata", r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, url FROM pages")
+@query("A04_extract_metadata", """SELECT o_orderkey AS doc, concat('Ram v. State ', o_orderkey) AS case_name, concat(1 + o_orderkey % 28, '-01-2020') AS decision_date, concat('C.A. ', o_custkey) AS case_no,
+  CASE o_orderstatus WHEN 'F' THEN 'Dismissed' END AS disposal_nature, 'A, B' AS bench FROM orders""")
 def a04(s, d):
-    return table(s, d, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), "url")
+    raw = rows(s, d, """SELECT o_orderkey AS doc, concat('<div><button type="x" aria-label="Ram v. State ', o_orderkey, ' pdf">open</button><table><td class="caseDetailsTD"><b>Decision Date :</b> ', 1 + o_orderkey % 28,
+      '-01-2020 | <b>Case No :</b> C.A. ', o_custkey, CASE o_orderstatus WHEN 'F' THEN ' | <b>Disposal Nature :</b> Dismissed' ELSE '' END, ' | <b>Bench :</b> A, B</td></table></div>') AS html FROM orders""")
+    return raw.select("doc", *[c.alias(n) for n, c in corpus.extract_metadata(F.col("html")).items()])
 
 
 @query("B01_tokenize", f"SELECT doc_id, CAST(len({tok('text')}) AS INT) AS n, md5(array_to_string({tok('text')}, ' ')) AS digest FROM documents")
@@ -101,7 +104,7 @@ def b11(s, d):
 
 @query("B12_slices", "SELECT doc_id, md5(left(text, 60000)) AS body, md5(right(text, 3000)) AS tail, left(text, 600) AS issue FROM documents")
 def b12(s, d):
-    return docs(s, d).select("doc_id", F.md5(F.substring("text", 1, 60000)).alias("body"), F.md5(F.right("text", F.lit(3000))).alias("tail"), F.substring("text", 1, 600).alias("issue"))
+    return docs(s, d).select("doc_id", *[c.alias(n) for n, c in T.slices(F.col("text")).items()]).withColumns({"body": F.md5("body"), "tail": F.md5("tail")})
 
 
 @query("B13_slug", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_type || ')'), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")
@@ -127,7 +130,8 @@ def b16(s, d):
     return docs(s, d).select("doc_id", F.md5(T.squeeze_blank(F.col("text"))).alias("digest"))
 
 
-@query("B17_segments")
+@query("B17_segments", r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.;:])\s+', '\1' || chr(1), 'g'), '\s+[–—]\s+', chr(1), 'g') AS t FROM documents)
+  SELECT doc_id, CAST(len(list_filter(string_split(t, chr(1)), lambda x: trim(x) <> '')) AS INT) AS n FROM m""")
 def b17(s, d):
     return docs(s, d).select("doc_id", F.size(T.segments(F.col("text"))).alias("n"))
 
@@ -137,9 +141,9 @@ def b18(s, d):
     return docs(s, d).select("doc_id", F.size(T.paragraphs(F.col("text"))).alias("n"))
 
 
-@query("B19_rounding", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / 7, 4) AS price FROM lineitem")
+@query("B19_rounding", "SELECT l_orderkey, l_linenumber, CAST(round_even(CAST(l_quantity / 8 AS DECIMAL(18, 3)), 2) AS DOUBLE) AS price FROM lineitem")
 def b19(s, d):
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 7, 4).alias("price"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.round_even(F.col("l_quantity") / 8, 2).alias("price"))
 
 
 @query("B20_softmax", """WITH r AS (SELECT s_suppkey, [s_acctbal / 1000, s_nationkey * 0.1, 1.0] AS z FROM supplier), e AS (SELECT s_suppkey, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM r)

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from docketry.plans import registry
@@ -14,7 +15,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here"
 
 def rows(df):
     df = df[sorted(df.columns)]
-    show = lambda v: "none" if v is None or v != v else f"{float(v):.6g}" if isinstance(v, float) else str(v)
+    none = lambda v: v is None or (pd.api.types.is_scalar(v) and pd.isna(v))
+    show = lambda v: "none" if none(v) else f"{float(v):.6g}" if isinstance(v, float) else str(v)
     return list(df.columns), sorted(tuple(show(v) for v in r) for r in df.itertuples(index=False))
 
 
