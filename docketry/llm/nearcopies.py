@@ -12,7 +12,7 @@ Equal shingle sets are one node.  In bands of up to ``PAIRS_UP_TO`` nodes all me
 of near copies, all meet one leader, the node that is in most large bands, as the original of a group is; then those that
 did not join the band's largest component meet a leader of theirs.  The links between what is still apart are found by an
 exact prefix filter: of two sets of similarity s, ordered by one global order, the first n - ceil(s n) + 1 shingles have one in
-common.  With the rarest first, members with many shingles of their own meet no one by them.
+common, with enough shingles behind it in both.  With the rarest first, members with many shingles of their own meet no one by them.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scra
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``node``, ``token``: of each set the shingles of which two similar sets must share one, the rarest first."""
+    """``node``, ``place``, ``token``: of each set the shingles of which two similar sets must share one, the rarest first."""
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -153,7 +153,7 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
             out.append(g[order[: len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1]].view(np.int64))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    return by_batch(sets.select("node", "grams"), first, "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
+    return by_batch(sets.select("node", "grams"), first, "node long, tokens array<long>").select("node", F.posexplode("tokens").alias("place", "token"))
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST, pairs_up_to: int = PAIRS_UP_TO, rounds: int = ROUNDS) -> DataFrame:
@@ -172,7 +172,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     sizes = filed.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     filed = scratch.put(filed.join(sizes, "band"))
     one = ["node", "n", *_FP]
-    as_other = dict(zip(["band", "root", "token", *one], ["_band", "side", "_token", "other", "m", *[f"g{i}" for i in range(LONGS)]], strict=True))
+    as_other = dict(zip(["band", "root", "token", "place", *one], ["_band", "side", "_token", "_place", "other", "m", *[f"g{i}" for i in range(LONGS)]], strict=True))
     other = lambda df: df.withColumnsRenamed({k: v for k, v in as_other.items() if k in df.columns})
     may = (F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")) & near(most)
 
@@ -217,10 +217,14 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
         if not strays.isEmpty():
             members, strays = (x.select("root", *one).distinct() for x in (members, strays))
             tokens = scratch.put(_prefixes(sets.join(members.select("node"), "node", "left_semi"), similarity).join(members, "node"))
-            shared = tokens.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-            tokens = tokens.join(shared, "token")
+            # the first shingle in common lies so far ahead in both that enough others can follow; so no pair meets by a later one,
+            # and a shingle that a whole group shares is dropped where even the token's smallest set would be too large a partner
+            share = similarity / (1 + similarity)
+            shared = tokens.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("least_n")).where("x <> y").select("token", "least_n")
+            tokens = tokens.join(shared, "token").where(F.col("n") - F.col("place") + 1e-9 >= share * (F.col("n") + F.col("least_n"))).drop("least_n")
             left = tokens.join(strays.select("node"), "node", "left_semi")
-            met = left.join(other(tokens), (F.col("token") == F.col("_token")) & (F.col("root") != F.col("side")) & may)
+            enough = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("_place")) + 1e-9 >= share * (F.col("n") + F.col("m"))
+            met = left.join(other(tokens), (F.col("token") == F.col("_token")) & (F.col("root") != F.col("side")) & enough & may)
             found = _similar(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), sets, similarity, scratch)
             if not found.isEmpty():
                 comp = components(edges.union(found), scratch)
