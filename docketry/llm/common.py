@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.sources.shared import Scratch, shared_dir
+
+__all__ = ["Scratch", "by_batch", "dealt_join", "hot_keys", "id_remainder", "shared_dir", "spread_join", "table", "words"]
+
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -31,58 +32,6 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n
 
 
-#: The temporary folder of a driver whose session names no shared one.
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary one serves a local master; on a cluster that is an error, as executors
-    would not see the driver's folder.
-    """
-    if there := spark.conf.get("spark.checkpoint.dir", None):
-        return there.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="docketry-"))
-    return _OWN[0]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-    except Exception:  # the session may have ended; the folder is scratch
-        pass
-
-
-class Scratch:
-    """Tables written once in the shared folder, so that lost executors cost no recomputation.
-
-    ``put`` cuts the lineage; ``drop`` removes a table that is no longer read; what is left goes
-    when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/docketry/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-        atexit.register(_remove, spark, self.root)
-
-    def put(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self.n}"
-        self.n += 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        if path := getattr(df, "_scratch_path", None):
-            _remove(self.spark, path)
-
-
 def hot_keys(rows: DataFrame, on: str, most: int) -> list[tuple]:
     """(value, number of tasks to deal its rows to) of the values of ``on`` on more than ``most`` rows.
 
