@@ -54,7 +54,7 @@ class Bpe:
     """An encoder and decoder for one tokenizer file (BPE with word ends)."""
 
     #: Most chunks whose ids are kept; memory stays bounded whatever the corpus holds.
-    KEEP = 600_000
+    KEEP, LONGEST = 600_000, 256
 
     def __init__(self, path: str, guess: bool = False):
         with open(path, encoding="utf-8") as f:
@@ -106,6 +106,7 @@ class Bpe:
             self.guess = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks | {b"\xff": n}, special_tokens={})
         self.first_known = {t: np.uint32(i).tobytes() for t, i in self.special.items()}
         self.known: dict[str, bytes] = dict(self.first_known)
+        self.passing: list[str] = []
 
     def fits(self, a: int, b: int) -> bool:
         """Whether no merge crosses the border between tokens a and b, which are then encoded as they are.
@@ -202,6 +203,7 @@ class Bpe:
         syms = [(w if w.isascii() else w.encode().decode("latin-1")) for w in new]
         known.update(zip(new, self.encode_words([w[:-1] + _ENDED[ord(w[-1])] for w in syms]), strict=True))
         known.update([(c, b"".join([known[w] for w in ws])) for c, ws in mixed.items()])
+        self.passing += [w for w in (*new, *mixed) if len(w) > self.LONGEST]
 
     def chunks(self, text: str | None) -> list[str]:
         """Pieces of a text that are encoded each for itself: no merge or word crosses their borders."""
@@ -230,6 +232,9 @@ class Bpe:
                 self.learn(list(new))
                 got = [[self.known[c] if i is None else i for c, i in zip(cs, ids, strict=True)] if None in ids else ids for cs, ids in zip(cut, got, strict=True)]
             out += map(b"".join, got)
+            for w in self.passing:  # a long unbroken chunk is not kept, so that the cache is bounded in bytes too
+                self.known.pop(w, None)
+            self.passing.clear()
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

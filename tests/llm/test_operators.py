@@ -309,6 +309,13 @@ def test_bpe_odd_texts(guess):
         assert mine.decode(back.astype(np.int64)).decode() == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_keeps_no_long_chunks():
+    mine, tok = bpe.Bpe(bpe.default_path()), Tokenizer.from_file(bpe.default_path())
+    texts = ["ab" * 40_000 + " end", "word " + "Zq" * 3000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_batch(texts * 2)] == [tok.encode(t, add_special_tokens=False).ids for t in texts * 2]
+    assert max(map(len, mine.known)) <= mine.LONGEST and "word" in mine.known
+
+
 def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for out in (
