@@ -20,8 +20,9 @@ def content_tokens(text: Column) -> Column:
 
 
 def normalize_space(text: Column) -> Column:
-    spaced = F.translate(text, "     ​", "   ")
-    return F.trim(F.regexp_replace(spaced, r"\s+", " "))
+    """Every run of white space, no-break, em and en spaces included, as one space; zero-width spaces go."""
+    spaced = F.translate(text, "\u00a0\u2003\u2002\u200b", "   ")
+    return F.trim(F.regexp_replace(spaced, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def split_sentences(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketry.config import INTENTS
+
 
 def latest(log: DataFrame, *keys: str, time: str = "time") -> DataFrame:
     """The last entry of an append-only log for each key (ties by the whole row)."""
@@ -42,8 +44,17 @@ def rank_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(b.select("qid", "doc", F.col("rank").alias("rank_b")), ["qid", "doc"], "full_outer")
 
 
-def validate_search(text: str, system: str, systems: tuple[str, ...], top_k: int = 10) -> None:
-    """Raises ValueError for a query of under 2 or over 2,000 characters, an unknown system, or a k outside 1 to 50."""
+def of_query(draft: DataFrame, reviewed: DataFrame, qid) -> DataFrame:
+    """doc, grade, source (reviewed or draft) of one query; a review wins."""
+    r = reviewed.where(F.col("qid") == F.lit(qid)).select("doc", F.col("grade").alias("r"))
+    d = draft.where(F.col("qid") == F.lit(qid)).select("doc", F.col("grade").alias("d"))
+    return r.join(d, "doc", "full_outer").select("doc", F.coalesce("r", "d").alias("grade"), F.when(F.col("r").isNotNull(), "reviewed").otherwise("draft").alias("source"))
+
+
+def validate_search(text: str, system: str, systems: tuple[str, ...], top_k: int = 10, intent: str | None = None) -> None:
+    """Raises ValueError for a query of under 2 or over 2,000 characters, an unknown system or intent, or a k outside 1 to 50."""
+    if intent is not None and intent not in INTENTS:
+        raise ValueError(f"unknown intent {intent}")
     if not 2 <= len(text) <= 2000:
         raise ValueError("a query has 2 to 2000 characters")
     if system not in systems:

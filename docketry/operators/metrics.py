@@ -127,6 +127,19 @@ def set_scores(predicted: DataFrame, gold: DataFrame, *keys: str) -> DataFrame:
     return c.select("tp", "np", "ng", precision.alias("precision"), recall.alias("recall"), (2 * F.col("tp") / F.nullif(F.col("np") + F.col("ng"), F.lit(0))).alias("f1"))
 
 
+def provision_scores(predicted: DataFrame, gold: DataFrame, key: str = "doc") -> DataFrame:
+    """variant, tp, np, ng, precision, recall, f1 of (key, act_id, ref): strict, and lenient, where the reference alone counts."""
+    strict = set_scores(predicted, gold, key, "act_id", "ref").select(F.lit("strict").alias("variant"), "*")
+    return strict.unionByName(set_scores(predicted, gold, key, "ref").select(F.lit("lenient").alias("variant"), "*"))
+
+
+def best_per_metric(table: DataFrame) -> DataFrame:
+    """metric, best, systems: the greatest mean of each metric (9 places) and the systems that reach it, by name."""
+    long = table.select("system", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 9).alias("value")) for m in METRICS])).alias("x")).select("system", "x.*")
+    top = long.groupBy("metric").agg(F.max("value").alias("best"))
+    return long.join(top, "metric").where(F.col("value") == F.col("best")).groupBy("metric", "best").agg(F.sort_array(F.collect_list("system")).alias("systems"))
+
+
 def confusion(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     return rows.groupBy(gold, predicted).agg(F.count(F.lit(1)).alias("n"))
 

@@ -209,18 +209,27 @@ def in_corpus_links(citations: DataFrame, corpus: DataFrame) -> DataFrame:
     return citations.select(F.col("doc").alias("src"), "scr").join(c, "scr").where("src <> dst").select("src", "dst").distinct()
 
 
-def outcome_scores(required: DataFrame, labels: DataFrame, spark: SparkSession) -> DataFrame:
-    """required(qid, label), labels(doc, label, confidence): qid, doc, score for pairs that match or conflict.
+def outcome_scores(required: DataFrame, labels: DataFrame, spark: SparkSession, all_docs: DataFrame | None = None) -> DataFrame:
+    """required(qid, label, pos), labels(doc, label, confidence): qid, doc, score, reason for pairs that match or conflict.
 
-    A match gives 0.5 + 0.5 confidence, the best counts; else a conflict gives 0.5 - 0.5 confidence, that of the
-    first requirement by ``pos``.  All other pairs have 0.5.
+    A match gives 0.5 + 0.5 confidence, the best counts (then the first requirement); else a conflict gives 0.5 - 0.5 confidence, that
+    of the first requirement by ``pos``.  All other pairs have 0.5: with all_docs(doc) they are rows too, for every query that requires
+    something.
     """
     clash = spark.createDataFrame([(r, o) for r, o in CONFLICTS], "label string, other string")
-    match = required.join(labels, "label").select("qid", "doc", "label", (0.5 + 0.5 * F.col("confidence")).alias("match"))
-    best = match.groupBy("qid", "doc").agg(F.max("match").alias("match"))
+    say = lambda c: F.regexp_replace(c, "_", " ")
+    match = required.join(labels, "label").select("qid", "doc", "label", "pos", (0.5 + 0.5 * F.col("confidence")).alias("match"))
+    best = match.groupBy("qid", "doc").agg(F.max(F.struct("match", (-F.col("pos")).alias("p"), "label")).alias("m"))
+    best = best.select("qid", "doc", "m.match", F.concat(F.lit("outcome '"), say("m.label"), F.lit("' matches request")).alias("matches"))
     conflict = required.join(clash, "label").join(labels.withColumnRenamed("label", "other"), "other")
-    first = conflict.groupBy("qid", "doc").agg(F.min_by(0.5 - 0.5 * F.col("confidence"), F.struct("pos", "other")).alias("clash"))
-    return best.join(first, ["qid", "doc"], "full_outer").select("qid", "doc", F.coalesce("match", "clash").alias("score"))
+    first = conflict.groupBy("qid", "doc").agg(F.min(F.struct("pos", "other", (0.5 - 0.5 * F.col("confidence")).alias("clash"))).alias("c"))
+    first = first.select("qid", "doc", "c.clash", F.concat(F.lit("outcome '"), say("c.other"), F.lit("' conflicts with request")).alias("conflicts"))
+    out = best.join(first, ["qid", "doc"], "full_outer").select("qid", "doc", F.coalesce("match", "clash").alias("score"), F.coalesce("matches", "conflicts").alias("reason"))
+    if all_docs is None:
+        return out
+    grid = required.select("qid").distinct().crossJoin(all_docs.select("doc"))  # the few queries that ask, against all documents
+    full = grid.join(out, ["qid", "doc"], "left")
+    return full.select("qid", "doc", F.coalesce("score", F.lit(0.5)).alias("score"), F.coalesce("reason", F.lit("outcome could not be determined")).alias("reason"))
 
 
 def candidate_pool(signals: DataFrame, k: int = C.CANDIDATES) -> DataFrame:

@@ -36,11 +36,12 @@ def c04(s, d):
     return raw.select("o_orderkey", L.resolve_abbreviation(F.col("a")).alias("act"))
 
 
-@query("C05_find_concepts", r"""WITH t AS (SELECT item_id, lower(text) AS t FROM benchmark) SELECT item_id, concept, n FROM (
-  SELECT item_id, 'is' AS concept, len(regexp_extract_all(concat(' ', regexp_replace(t, '([^a-z])', '\1\1', 'g'), ' '), '[^a-z](?:is the|is)[^a-z]')) AS n FROM t) WHERE n > 0""")
+@query("C05_find_concepts", """SELECT o_orderkey AS doc, concept, CAST(n AS INT) AS n FROM (SELECT o_orderkey, 'bail' AS concept, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS n FROM orders
+  UNION ALL SELECT o_orderkey, 'anticipatory bail', CASE o_orderkey % 4 WHEN 1 THEN 1 ELSE 0 END FROM orders UNION ALL SELECT o_orderkey, 'arrest', CASE o_orderkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END FROM orders) x WHERE n > 0""")
 def c05(s, d):
-    concepts = s.createDataFrame([("is", ["is", "is the"], [])], "concept string, phrases array<string>, implied array<string>")
-    return E.find_concepts(table(s, d, "benchmark"), concepts, "item_id").select("item_id", "concept", "n")
+    concepts = s.createDataFrame([("bail", ["bail", "bail bond", "bail bond form"], []), ("anticipatory bail", ["anticipatory bail", "apprehending arrest"], []), ("arrest", ["arrest", "grounds of arrest"], [])], "concept string, phrases array<string>, implied array<string>")
+    raw = rows(s, d, """SELECT o_orderkey AS doc, CASE o_orderkey % 4 WHEN 0 THEN 'Bail and a bail bond; bailiff' WHEN 1 THEN 'Anticipatory bail: arrested, arrest' WHEN 2 THEN 'The grounds of arrest, the arrest and a bail bond form' ELSE 'arrested jailbail bails' END AS text FROM orders""")
+    return E.find_concepts(raw, concepts, "doc").select("doc", "concept", "n")
 
 
 @query("C06_implied_provisions", "SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'penal_code:s302' ELSE 'evidence_act:s32' END AS provision FROM orders UNION ALL SELECT o_orderkey, 'penal_code:s300' FROM orders WHERE o_orderkey % 2 = 0")
@@ -200,10 +201,14 @@ _REQ = "SELECT r AS qid, CASE r WHEN 0 THEN 'dismissed' WHEN 1 THEN 'allowed' EL
 _OUT = "SELECT o_orderkey AS doc, CASE o_orderstatus WHEN 'F' THEN 'dismissed' WHEN 'O' THEN 'allowed' ELSE 'conviction_upheld' END AS label, CASE o_orderkey % 2 WHEN 0 THEN 0.9 ELSE 0.6 END AS confidence FROM orders"
 
 
-@query("C33_outcome_compatibility", f"""SELECT qid, doc, round(CASE WHEN r.label = o.label THEN 0.5 + 0.5 * confidence ELSE 0.5 - 0.5 * confidence END, 6) AS score FROM ({_REQ}) r JOIN ({_OUT}) o
-  ON r.label = o.label OR (r.label = 'dismissed' AND o.label = 'allowed') OR (r.label = 'allowed' AND o.label = 'dismissed') OR (r.label = 'acquittal' AND o.label = 'conviction_upheld')""")
+_CLASH = "(r.label = 'dismissed' AND o.label = 'allowed') OR (r.label = 'allowed' AND o.label = 'dismissed') OR (r.label = 'acquittal' AND o.label = 'conviction_upheld')"
+
+
+@query("C33_outcome_compatibility", f"""SELECT qid, doc, round(CASE WHEN r.label = o.label THEN 0.5 + 0.5 * confidence WHEN {_CLASH} THEN 0.5 - 0.5 * confidence ELSE 0.5 END, 6) AS score,
+  CASE WHEN r.label = o.label OR {_CLASH} THEN concat('outcome ', chr(39), replace(o.label, '_', ' '), chr(39), CASE WHEN r.label = o.label THEN ' matches request' ELSE ' conflicts with request' END) ELSE 'outcome could not be determined' END AS reason FROM ({_REQ}) r, ({_OUT}) o""")
 def c33(s, d):
-    return S.outcome_scores(rows(s, d, _REQ), rows(s, d, _OUT), s).select("qid", "doc", F.round("score", 6).alias("score"))
+    held = rows(s, d, _OUT)
+    return S.outcome_scores(rows(s, d, _REQ), held, s, held.select("doc")).select("qid", "doc", F.round("score", 6).alias("score"), "reason")
 
 
 @query("C34_prf", """WITH p AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 50 AS a FROM lineitem WHERE l_linenumber <= 3), g AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 50 AS a FROM lineitem WHERE l_linenumber >= 2),

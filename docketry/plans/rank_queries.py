@@ -12,6 +12,7 @@ from docketry.functions import vectors as V
 from docketry.operators import corpus, metrics
 from docketry.operators import entities as E
 from docketry.operators import evaluate as EV
+from docketry.operators import intents as I
 from docketry.operators import labels as LB
 from docketry.operators import retrieval as R
 from docketry.operators import scoring as S
@@ -462,10 +463,13 @@ def h17(s, d):
     return q.select("o_orderkey", L.rule_intent(F.col("q")).alias("intent"))
 
 
-@query("H18_intent_features")
+@query("H18_intent_features", """SELECT o_orderkey, concat_ws(',', CASE o_orderkey % 3 WHEN 2 THEN '1.333333' ELSE '0.666667' END, '0.666667', CASE o_orderkey % 3 WHEN 1 THEN '2.0' ELSE '0.0' END, CASE o_orderkey % 3 WHEN 1 THEN '1.0' ELSE '0.0' END, '0.0', '0.0',
+  CASE o_orderkey % 3 WHEN 0 THEN '2.0' ELSE '0.0' END, CASE o_orderkey % 3 WHEN 0 THEN '2.0' ELSE '0.0' END, CASE o_orderkey % 3 WHEN 0 THEN '0.25' WHEN 1 THEN '0.5' ELSE '0.3' END) AS features FROM orders""")
 def h18(s, d):
-    q = table(s, d, "benchmark")
-    return q.select("item_id", F.concat_ws(",", F.transform(L.intent_features(F.col("text"), F.lit(0)), lambda x: F.round(x, 6).cast("string"))).alias("features"))
+    q = rows(s, d, """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('what is Section ', o_orderkey % 400 + 1, ' IPC?') WHEN 1 THEN concat('judgments relied on Ram v. State for Section ', o_orderkey % 400 + 1, ' IPC')
+      ELSE concat('u/s. ', o_orderkey % 400 + 1, ' IPC with Section 3') END AS text FROM orders""")
+    q = q.join(I.act_counts(q, "o_orderkey"), "o_orderkey")
+    return q.select("o_orderkey", F.concat_ws(",", F.transform(L.intent_features(F.col("text"), F.col("acts")), lambda x: F.round(x, 6).cast("string"))).alias("features"))
 
 
 @query("I06_I07_paired_tests")

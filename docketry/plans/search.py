@@ -132,6 +132,7 @@ def compute_signals(corpus: Corpus, asked: dict[str, DataFrame], *, vectors: Dat
     stats = S.authority_stats(corpus.authorities, n)
     cited = S.citation_signal(corpus.authorities, stats, corpus.links, qa.select("qid", "intent"), asked["precedents"], S.seeds(first, n))
     required = qa.select("qid", F.posexplode("requirements").alias("pos", "label"))
+    # documents without a row count 0.5 where the pool is fused
     ended = one(S.outcome_scores(required, corpus.outcomes, spark), "outcome")
     rows = first.unionByName(one(cited, "citation")).unionByName(ended)
     if vectors is not None:

@@ -33,7 +33,7 @@ def find_pdf(records: DataFrame, listing: DataFrame, stem: str = "stem") -> Data
 
 
 def page_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """file, pages: extracted page texts, separated by form feeds."""
+    """file, pages: extracted page texts, separated by form feeds; an empty file has no row."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.split(F.decode("content", "UTF-8"), "\f").alias("pages"))
 
@@ -44,13 +44,44 @@ def inspect_pages(pages: DataFrame) -> DataFrame:
     return p.select("file", "page", F.length("t").alias("chars"), "total")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(p))
+
+
 def read_lines(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
-    """JSON lines.  Strict: a damaged line fails; else it is left out (see ``damaged_lines``).  Blank lines are skipped."""
+    """JSON lines.  Strict: a damaged line or a missing file fails; else both are left out (see ``damaged_lines``).  Blank lines are skipped."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_list(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A JSON file that holds one array of records: retrieval queries (id, text, intent, split, need) or intent queries (text, intent, group)."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def read_nested(spark: SparkSession, path: str) -> DataFrame:
+    """outer, inner, value of a JSON file {outer: {inner: record}}: labels by query and case, runs by system and query."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
+    return raw.select(F.explode("m").alias("outer", "rest")).select("outer", F.explode("rest").alias("inner", "value"))
+
+
+def nested(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
+    """value: a run or label table as JSON lines {outer: {inner: [values in order]}}, one line for each ``outer``; ``value`` is a column of arrays."""
+    by = df.groupBy(outer).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(inner).cast("string"), F.col(value))))).alias("m"))
+    return by.select(F.to_json(F.map_from_arrays(F.array(F.col(outer).cast("string")), F.array("m"))).alias("value"))
+
+
+def pdf_images(binary: DataFrame, content: str = "content") -> DataFrame:
+    """Adds pages and images: how many page and image objects a PDF's uncompressed structure names (0 where it is compressed)."""
+    raw = F.decode(content, "ISO-8859-1")
+    return binary.withColumn("pages", F.regexp_count(raw, F.lit(r"/Type\s*/Page(?![a-zA-Z])"))).withColumn("images", F.regexp_count(raw, F.lit(r"/Subtype\s*/Image(?![a-zA-Z])")))
+
+
 def damaged_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The lines that are no record."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
@@ -70,11 +101,13 @@ def missing_downloads(wanted: DataFrame, present: DataFrame, limit: int = 100) -
     return wanted.join(present.where("size > 0").select("file"), "file", "left_anti").orderBy("file").limit(limit)
 
 
-def markdown_table(df: DataFrame) -> str:
-    """A small report table; null as a dash, numbers with three decimals."""
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
+    """A small report table; null as a dash, numbers with three decimals.  More than ``most`` rows are an error."""
     show = lambda v: "—" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
-    rows = [[show(v) for v in r] for r in df.collect()]
-    lines = [df.columns, ["---"] * len(df.columns), *rows]
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} rows: write them as a table")
+    lines = [df.columns, ["---"] * len(df.columns), *[[show(v) for v in r] for r in found]]
     return "\n".join("| " + " | ".join(r) + " |" for r in lines)
 
 

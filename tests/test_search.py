@@ -195,3 +195,40 @@ def test_report(spark, tmp_path):
     assert {(r.system, r.intent, r.explicit, r.n) for r in spark.read.parquet(str(tmp_path / "r/by_intent")).collect()} >= {("a", "X", None, 3), ("a", None, None, 6), (None, None, None, 12)}
     stable = EV.run_stability(spark.createDataFrame([(k, 0, d, d) for k in range(3) for d in range(1, 6)] + [(3, 0, d, d - 3) for d in range(4, 9)], "repeat int, qid int, doc int, rank int"))
     assert {(r.a, r.b): r.overlap for r in stable.collect()} == {(0, 1): 1, (0, 2): 1, (1, 2): 1, (0, 3): 0.4, (1, 3): 0.4, (2, 3): 0.4}
+
+
+def test_labels_folds_and_names(spark):
+    from docketry.operators import entities, intents, labels, metrics
+
+    draft = spark.createDataFrame([(1, 5, 2), (1, 6, 1), (2, 5, 0)], "qid int, doc int, grade int")
+    reviewed = spark.createDataFrame([(1, 6, 0), (1, 7, 2)], "qid int, doc int, grade int")
+    assert {(r.doc, r.grade, r.source) for r in labels.of_query(draft, reviewed, 1).collect()} == {(5, 2, "draft"), (6, 0, "reviewed"), (7, 2, "reviewed")}
+    with pytest.raises(ValueError):
+        labels.validate_search("bail", "bm25", ("bm25",), intent="OTHER")
+    labels.validate_search("bail", "bm25", ("bm25",), intent=INTENTS[0])
+
+    q = spark.createDataFrame([(g, "abc"[g % 3]) for g in range(60) for _ in range(1 + g % 2)], "g int, label string")
+    folds = {r.g: r.fold for r in intents.stratified_folds(q, "g", "label").collect()}
+    assert len(folds) == 60
+    for k in range(3):
+        counts = [sum(1 for g, f in folds.items() if g % 3 == k and f == x) for x in range(5)]
+        assert counts == [4] * 5
+
+    m = spark.createDataFrame([(1, "a", "body", "Body name"), (1, "a", "listed", "Listed name"), (1, "b", "body", "B"), (2, "c", "head", "Head name"), (2, "c", "body", "Body")], "doc int, act string, place string, name string")
+    assert {(r.doc, r.act): r.name for r in entities.merge_acts(m, "doc", "act", name="name").collect()} == {(1, "a"): "Listed name", (2, "c"): "Head name"}
+
+    p = spark.createDataFrame([(1, "x", "s1"), (1, "?", "s2")], "doc int, act_id string, ref string")
+    g = spark.createDataFrame([(1, "x", "s1"), (1, "y", "s2")], "doc int, act_id string, ref string")
+    assert {r.variant: (r.tp, r.precision) for r in metrics.provision_scores(p, g).collect()} == {"strict": (1, 0.5), "lenient": (2, 1.0)}
+    table = spark.createDataFrame([("a", *[0.5] * 7), ("b", 0.6, *[0.5] * 5, 0.4)], "system string, " + ", ".join(f"{x} double" for x in metrics.METRICS))
+    best = {r.metric: (r.best, r.systems) for r in metrics.best_per_metric(table).collect()}
+    assert best["p5"] == (0.6, ["b"]) and best["r5"] == (0.5, ["a", "b"]) and best["judged5"] == (0.5, ["a"])
+    acts = intents.act_counts(spark.createDataFrame([(1, "Section 5 of the Arms Act and s. 3 IPC, IPC"), (2, "nothing")], "k int, text string"), "k")
+    assert {r.k: r.acts for r in acts.collect()} == {1: 2, 2: 0}
+
+
+def test_outcome_reasons(spark):
+    req = spark.createDataFrame([(1, "dismissed", 0), (1, "bail_granted", 1)], "qid int, label string, pos int")
+    held = spark.createDataFrame([(1, "allowed", 0.9), (1, "bail_granted", 0.6), (2, "allowed", 0.8), (3, "remanded", 1.0)], "doc int, label string, confidence double")
+    got = {r.doc: (round(r.score, 6), r.reason) for r in S.outcome_scores(req, held, spark, held.select("doc").distinct()).collect()}
+    assert got == {1: (0.8, "outcome 'bail granted' matches request"), 2: (0.1, "outcome 'allowed' conflicts with request"), 3: (0.5, "outcome could not be determined")}
