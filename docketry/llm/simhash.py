@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_batch
+from .common import Scratch, by_batch, spread_join
 from .graph import components
 
 SEGMENTS, WIDTH = 8, 8
@@ -52,13 +52,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """key, ``fp`` (a signed long) for every row; null and word-less texts have 0."""
+    """``k`` (the key), ``fp`` (a signed long) for every row; null and word-less texts have 0."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_pydict({key: b.column(0), "fp": pa.array(fps.view(np.int64))})
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["k", "fp"])
 
-    return by_batch(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
+    return by_batch(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 def first_masks() -> list[int]:
@@ -192,17 +192,19 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     Words are split at ASCII white space and lower-cased in ASCII.  Texts of fewer words than a shingle hash
     as one; null and word-less texts have fingerprint 0 and link like any other.  Repeated rows stay; a
-    null key counts as no key, so a component of only null keys has a null component_id.
+    null key counts as no key, so a component of only null keys has a null component_id.  An empty table gives an empty
+    one; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     fps = scratch.put(fingerprints(docs, text=text, key=key, shingle=shingle))
-    distinct = scratch.put(fps.groupBy("fp").agg(F.min(key).alias("least")))
+    distinct = scratch.put(fps.groupBy("fp").agg(F.min("k").alias("least")))
     edges = links(distinct.select("fp"), scratch, most=most, file_limit=file_limit)
     comp = components(edges, scratch)
     rooted = scratch.put(distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a component or a fingerprint (0, or that of a page that is copied everywhere) may hold a third of all rows
+    named = spread_join(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return spread_join(fps, named, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
