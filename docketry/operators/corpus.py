@@ -14,22 +14,32 @@ def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line"))
 
 
-#: Page heads: a reporter line in square brackets or the court's name alone.
-HEADER = r"^(?:\[\d{4}\].*S\.?\s?C\.?\s?R\.?.*|DIGITAL SUPREME COURT REPORTS|SUPREME COURT REPORTS)$"
+# Page heads, the line that opens a report, marks of the author.
+HEADER = r"^(?:\[\d{4}\]\s+\d+\s+S\.\s?C\.\s?R\.?\s*(?:\d+)?\s*|Digital Supreme Court Reports)$"
+TITLE_LINE = r"^\[(\d{4})\]\s+(\d+)\s+S\.\s?C\.\s?R\.?\s+(\d+)\s*:\s*(.+)$"
+AUTHOR_MARKS = ("* Author", "*Author")
 
 
 def clean_lines(docs: DataFrame, key: str, text: str = "text", header: str = HEADER) -> DataFrame:
-    """key, pos, line without NUL and BS, running titles, page heads, page numbers near them, and blanks.
+    """key, pos, line without NUL and BS, running titles, page heads, page numbers near them, marks of the author, and blanks.
 
-    A running title is the same line three times or more, with " v" in it and under 160 characters.
+    A running title is the same line three times or more, with " v " or " v. " in it and under 160 characters.
     """
     bare = docs.withColumn(text, F.regexp_replace(text, "[\\x00\\x08]", ""))
     w = Window.partitionBy(key, "line")
     near = Window.partitionBy(key).orderBy("pos").rowsBetween(-2, 2)
     marked = lines(bare, key, text).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("head", F.col("line").rlike(header).cast("int")).withColumn("close", F.max("head").over(near))
-    title = (F.col("n") >= 3) & F.col("line").contains(" v") & (F.length("line") < 160)
+    title = (F.col("n") >= 3) & F.col("line").rlike(r"\sv\.?\s") & (F.length("line") < 160)
     number = F.col("line").rlike(r"^\d{1,4}$") & (F.col("close") == 1)
-    return marked.where(~title & (F.col("head") == 0) & ~number & (F.col("line") != "")).select(key, "pos", "line")
+    return marked.where(~title & (F.col("head") == 0) & ~number & (F.col("line") != "") & ~F.col("line").isin(*AUTHOR_MARKS)).select(key, "pos", "line")
+
+
+def report_citation(text: Column) -> Column:
+    """"[year] volume SCR page" of the first of a text's first five lines that is a report's title line, else null."""
+    first = F.transform(F.slice(F.split(F.regexp_replace(text, "[\\x00\\x08]", ""), "\n", -1), 1, 5), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    line = F.get(F.filter(first, lambda x: x.rlike(TITLE_LINE)), F.lit(0))
+    part = lambda i: F.regexp_extract(line, TITLE_LINE, i)
+    return F.when(line.isNotNull(), F.concat(F.lit("["), part(1), F.lit("] "), part(2), F.lit(" SCR "), part(3)))
 
 
 def join_lines(docs: DataFrame, key: str) -> DataFrame:
@@ -52,17 +62,17 @@ def join_lines(docs: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("vocab", words).select(key, F.aggregate("a", F.lit(""), step).alias("text"))
 
 
-# Section headings of the reports, in order.
+# Section headings of the reports, in order, in lower case.
 SECTIONS = (
-    ("issue", r"^issue for consideration"),
-    ("headnotes", r"^headnotes?"),
-    ("case_law_cited", r"^case law cited"),
-    ("acts", r"^list of acts"),
-    ("keywords", r"^list of keywords"),
-    ("case_arising_from", r"^case arising from"),
-    ("appearances", r"^appearances for"),
-    ("judgment", r"^judgment\b|^j\s?u\s?d\s?g\s?m\s?e\s?n\s?t"),
-    ("result", r"^result of the case"),
+    ("issue", r"^issues? for consideration\b"),
+    ("headnotes", r"^head\s?notes?\s*†?\s*$"),
+    ("case_law_cited", r"^case laws? cited\b"),
+    ("acts", r"^list of acts\b"),
+    ("keywords", r"^list of keywords\b"),
+    ("case_arising_from", r"^case arising from\b"),
+    ("appearances", r"^appearances for parties\b"),
+    ("other_details", r"^other case details\b"),
+    ("judgment", r"^judgment\s*/\s*order of the supreme court\b"),
 )
 
 
@@ -83,12 +93,20 @@ def split_sections(cleaned: DataFrame, key: str, sections=SECTIONS) -> DataFrame
     return rows.where(~F.col("first")).groupBy(key, "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+# Credits of editors that stand among the words of a result, and the phrases of an outcome.
+CREDITS = (r"[^.]*Hony\.?\s*(?:Associate Editor)?", r"\(Verified by[^)]*\)")
+OUTCOME_PHRASE = r"(?i)((?:[A-Z][\w()’']*\s){0,6}?(?:allowed|dismissed|disposed of|answered|issued|referred to [^.]{0,80}|withdrawn|closed|quashed|set aside|remanded|rejected|granted|modified)(?:\s(?:with directions|in part|accordingly))?)"
+
+
 def extract_result(text: Column) -> Column:
-    """What follows the last "Result of the case:": the first outcome phrase of its 220 characters, else the first clause."""
-    window = F.substring(F.element_at(F.split(text, r"(?i)result of the case\s*:?"), -1), 1, 220)
-    found = F.regexp_extract(window, r"(?i)((?:appeals?|petitions?|applications?|references?|suits?|matters?)?[^.;]{0,60}?\b(?:partly allowed|allowed|dismissed|disposed of|answered|granted|rejected|quashed|referred)\b)", 1)
-    clause = F.regexp_extract(window, r"^\s*([^.;\n]*)", 1)
-    return F.when(F.lower(text).contains("result of the case"), F.trim(F.when(found != "", found).otherwise(clause))).otherwise("")
+    """What follows the last "Result of the case:": without editors' credits the first outcome phrase of its 220 characters, else the first clause."""
+    window = F.substring(F.element_at(F.split(text, r"Result of the [Cc]ase\s*:\s*"), -1), 1, 220)
+    for credit in CREDITS:
+        window = F.regexp_replace(window, credit, " ")
+    found = F.regexp_extract(window, OUTCOME_PHRASE, 1)
+    clause = F.regexp_extract(window, r"^\s*([^†.]+?)\s*(?:\.|†|Headnotes prepared|$)", 1)
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.when(text.rlike(r"Result of the [Cc]ase\s*:"), F.when(found != "", F.regexp_replace(tidy(found), r"\.+$", "")).otherwise(tidy(clause))).otherwise("")
 
 
 def parse_bench(text: Column) -> Column:
@@ -133,7 +151,24 @@ def corpus_report(docs: DataFrame, text: str = "text", short: int = 1500) -> Dat
     )
 
 
-def validate(rows: DataFrame, key: str, required: tuple[str, ...]) -> DataFrame:
-    """Rows, distinct keys, duplicate keys, and empty values of each required field."""
-    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).alias(f"empty_{c}") for c in required])
-    return n.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("duplicate_keys"), *[F.sum(f"empty_{c}").alias(f"empty_{c}") for c in required])
+def section_coverage(sections: DataFrame, key: str, names: tuple[str, ...] = ("issue", "headnotes", "case_law_cited", "acts", "keywords", "judgment", "result")) -> DataFrame:
+    """section, n: how many documents of sections(key, section, text) have each section with something in it."""
+    wanted = sections.sparkSession.createDataFrame([(n,) for n in names], "section string")
+    held = sections.where(F.trim("text") != "").groupBy("section").agg(F.count_distinct(key).alias("n"))
+    return wanted.join(held, "section", "left").fillna(0, ["n"])
+
+
+def completeness(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """field, n: how many rows have something in each field."""
+    counts = rows.agg(*[F.count_if(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")).alias(c) for c in fields])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n")) for c in fields])).alias("x")).select("x.*")
+
+
+def validate(rows: DataFrame, key: str, required: tuple[str, ...], valid: dict[str, Column] | None = None) -> DataFrame:
+    """Rows, distinct keys, duplicate keys, empty values of each required field, and rows that break each rule of ``valid`` (null: not judged)."""
+    valid = valid or {}
+    checks = [F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).alias(f"empty_{c}") for c in required]
+    checks += [F.count_if(~rule).alias(f"invalid_{name}") for name, rule in valid.items()]
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *checks)
+    totals = [F.sum(c).alias(c) for c in (*[f"empty_{c}" for c in required], *[f"invalid_{c}" for c in valid])]
+    return n.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"), F.count_if(F.col("n") > 1).alias("duplicate_keys"), *totals)

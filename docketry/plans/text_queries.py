@@ -61,7 +61,7 @@ def b04(s, d):
 
 @query("B05_clean_lines", r"""WITH l AS (SELECT doc_id, trim(x.line) AS line, x.pos AS pos FROM (SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))) AS z FROM documents) y, LATERAL (SELECT z[1] AS line, z[2] AS pos) x),
   m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS n FROM l)
-  SELECT doc_id, count(*) AS kept FROM m WHERE NOT (n >= 3 AND contains(line, ' v') AND length(line) < 160) AND line <> '' GROUP BY doc_id""")
+  SELECT doc_id, count(*) AS kept FROM m WHERE NOT (n >= 3 AND regexp_matches(line, '\sv\.?\s') AND length(line) < 160) AND line <> '' GROUP BY doc_id""")
 def b05(s, d):
     return corpus.clean_lines(docs(s, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 
@@ -76,13 +76,15 @@ def b06(s, d):
   UNION ALL SELECT o_orderkey, 'front_matter', concat('Order ', o_orderkey) FROM orders""")
 def b07(s, d):
     raw = rows(s, d, """SELECT o_orderkey AS doc, concat('Order ', o_orderkey, chr(10), 'Headnotes', chr(10), CASE WHEN o_custkey % 9 > 0 THEN concat('Point ', o_custkey % 9, chr(10)) ELSE '' END,
-        'Judgment', chr(10), 'The appeal is ', CASE o_orderstatus WHEN 'F' THEN 'dismissed' ELSE 'allowed' END, '.') AS text FROM orders""")
+        'Judgment / Order of the Supreme Court', chr(10), 'The appeal is ', CASE o_orderstatus WHEN 'F' THEN 'dismissed' ELSE 'allowed' END, '.') AS text FROM orders""")
     return corpus.split_sections(corpus.clean_lines(raw, "doc"), "doc")
 
 
-@query("B08_extract_result", "SELECT o_orderkey AS doc, concat('Appeal ', CASE o_orderstatus WHEN 'F' THEN 'dismissed' WHEN 'O' THEN 'allowed' ELSE 'partly allowed' END) AS result FROM orders")
+@query("B08_extract_result", "SELECT o_orderkey AS doc, CASE o_orderkey % 5 WHEN 4 THEN 'Costs made easy' ELSE concat('Appeal ', CASE o_orderstatus WHEN 'F' THEN 'dismissed' WHEN 'O' THEN 'allowed' ELSE 'partly allowed' END, CASE o_orderkey % 5 WHEN 3 THEN ' with directions' ELSE '' END) END AS result FROM orders")
 def b08(s, d):
-    return rows(s, d, LEGAL).select("doc", corpus.extract_result(F.col("text")).alias("result"))
+    raw = rows(s, d, """SELECT o_orderkey AS doc, concat('Result of the case: first try. Text. Result of the Case : ', CASE o_orderkey % 5 WHEN 0 THEN 'Adeeba M, Hony. Associate Editor ' WHEN 1 THEN '(Verified by: A. B.) ' ELSE '' END,
+      CASE o_orderkey % 5 WHEN 4 THEN 'Costs made easy † Headnotes' ELSE concat('Appeal ', CASE o_orderstatus WHEN 'F' THEN 'dismissed' WHEN 'O' THEN 'allowed' ELSE 'partly allowed' END, CASE o_orderkey % 5 WHEN 3 THEN ' with directions' ELSE '' END, '.') END) AS text FROM orders""")
+    return raw.select("doc", corpus.extract_result(F.col("text")).alias("result"))
 
 
 @query("B09_front_matter", "SELECT s_suppkey, concat('Judge ', s_suppkey, '|Judge ', s_nationkey) AS judges, concat('Judge ', s_suppkey) AS author FROM supplier")

@@ -169,12 +169,23 @@ def test_fusion_invariants(spark):
 
 
 def test_corpus(spark):
-    page = "[2024] 1 S.C.R. 5\n12\nRam v. State\nfirst exam-\nple text\nRam v. State\n\nRam v. State\nan example 7"
+    page = "[2024] 1 S.C.R. 5\n12\nRam v. State\nfirst exam-\nple text\n* Author\nRam v. State\n\nRam v. State\nan example 7"
     d = spark.createDataFrame([(1, page)], "doc int, text string")
     lines = corpus.clean_lines(d, "doc")
     assert [r.line for r in lines.orderBy("pos").collect()] == ["first exam-", "ple text", "an example 7"]
     assert corpus.join_lines(lines, "doc").first().text == "first example text an example 7"
     assert corpus.parse_bench(F.lit("x")) is not None and one(spark, corpus.extract_result(F.lit("Result of the case: Appeals partly allowed."))) == "Appeals partly allowed"
+    cite = lambda t: one(spark, corpus.report_citation(F.lit(t)))
+    assert cite("12\n[2024]  10 S.C.R. 77 : Ram v. State\nx") == "[2024] 10 SCR 77" and cite("1\n2\n3\n4\n5\n[2024] 1 S.C.R. 7 : x") is None and cite("[2024] 1 S.C.R. 7") is None
+
+
+def test_corpus_report(spark):
+    sections = spark.createDataFrame([(1, "issue", "x"), (2, "issue", " "), (2, "judgment", "y")], "doc int, section string, text string")
+    assert {r.section: r.n for r in corpus.section_coverage(sections, "doc").collect() if r.n} == {"issue": 1, "judgment": 1}
+    rows = spark.createDataFrame([("a", None, 3), ("b", "", 5), ("b", "x", None)], "k string, v string, n int")
+    assert {r.field: r.n for r in corpus.completeness(rows, ("k", "v")).collect()} == {"k": 3, "v": 1}
+    v = corpus.validate(rows, "k", ("v",), {"small": F.col("n") < 4}).first()
+    assert (v.rows, v["keys"], v.duplicate_keys, v.empty_v, v.invalid_small) == (3, 2, 1, 2, 1)
 
 
 def test_labels(spark):
