@@ -184,11 +184,6 @@ def h19(s, d):
     return I.predict_intents(I.train_intents(train, rows=500), q.where(I.fold_of("id") == 0)).select("id", "intent", "predicted")
 
 
-@query("H21_group_folds")
-def h21(s, d):
-    return table(s, d, "orders").select("o_orderkey", I.fold_of("o_custkey").alias("fold"))
-
-
 @query("H22_document_vectors")
 def h22(s, d):
     docs = table(s, d, "documents")

@@ -54,7 +54,8 @@ def b03(s, d):
     return docs(s, d).select("doc_id", F.md5(T.normalize_space(F.col("text"))).alias("digest"))
 
 
-@query("B04_split_sentences")
+@query("B04_split_sentences", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([a-z)\]"”’]{3}[.!?])\s+([A-Z"“(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS a FROM documents)
+  SELECT doc_id, CAST(unnest(range(len(a))) AS INT) AS pos, unnest(a) AS sentence FROM s""")
 def b04(s, d):
     return docs(s, d).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
