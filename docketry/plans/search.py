@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docketry.config import SEMANTIC_VARIANTS
 from docketry.functions.legal import outcome_requirements, procedural_outcome, rule_intent
-from docketry.functions.vectors import dot
 from docketry.operators import entities as E
 from docketry.operators import retrieval as R
 from docketry.operators import scoring as S
@@ -101,17 +103,40 @@ def analysis(corpus: Corpus, queries: DataFrame, *, query: str = "item_id", text
 
 
 def semantic_signal(corpus: Corpus, vectors: DataFrame, variant: str = "chunked_max") -> DataFrame:
-    """qid, doc, raw of the queries' vectors(qid, v) against all chunks: whole texts, the best chunk, or the mean of the three best."""
+    """qid, doc, raw of the queries' vectors(qid, v) against all chunks: whole texts, the best chunk, or the mean of the three best.
+
+    The stated queries are sent to every task as one matrix; chunks pass by in batches.
+    """
     if variant not in SEMANTIC_VARIANTS:
         raise ValueError(f"unknown variant {variant}")
     whole = variant == "whole"
     rows = corpus.chunks.where("start = -1" if whole else "start >= 0").select("doc", "start", "v")
-    sims = rows.crossJoin(F.broadcast(vectors.select("qid", F.col("v").alias("q")))).select("qid", "doc", "start", dot(F.col("v"), F.col("q")).alias("sim"))
+    sims = similarities(rows, vectors)
     if whole:
         return sims.select("qid", "doc", F.col("sim").alias("raw"))
     return R.best_chunk(sims, "qid", "doc").select("qid", "doc", F.col("sim_mean3" if variant == "chunked_mean3" else "sim_max").alias("raw"))
 
 
+def similarities(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """qid, doc, start, sim: every query of vectors(qid, v) against every row (doc, start, v); null vectors have no similarity."""
+    asked = vectors.where("v IS NOT NULL").select("qid", F.col("v").cast("array<double>").alias("v")).orderBy("qid").collect()  # the stated queries
+    types = {"qid": vectors.schema["qid"].dataType, "doc": rows.schema["doc"].dataType, "start": rows.schema["start"].dataType}
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in types.items()) + ", sim double"
+    ids = pa.array([r.qid for r in asked], to_arrow_type(types["qid"]))
+    matrix = np.array([r.v for r in asked], np.float64) if asked else np.zeros((0, 0))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows if len(matrix) else 0, 1000):
+                part = b.slice(at, 1000)
+                v = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                sim = v @ matrix.T
+                who = pa.array(np.repeat(np.arange(part.num_rows), len(matrix)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.tile(np.arange(len(matrix)), part.num_rows))), part.column(0).take(who), part.column(1).take(who), pa.array(sim.ravel())], names=["qid", "doc", "start", "sim"])
+
+    return rows.where("v IS NOT NULL").select("doc", "start", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, schema)
+
+
 def compute_signals(corpus: Corpus, asked: dict[str, DataFrame], *, vectors: DataFrame | None = None, variant: str = "chunked_max", scratch: Scratch | None = None) -> DataFrame:
     """signals(qid, intent, doc, signal, raw) of all queries; a signal that does not apply to a query has no rows.
 
