@@ -79,7 +79,7 @@ def write_shards(docs: DataFrame, to: str, shards: int = 16, *, seed: int = 17,
     """
     at, before, buckets = scatter(docs, shards, seed=seed, text=text, key=key, bucket_bytes=bucket_bytes, bucket_rows=bucket_rows, scratch=Scratch(docs.sparkSession, "shards"))
     packed = (
-        at.repartition(min(buckets, 20_000), "bucket")
+        at.repartitionById(min(buckets, 20_000), "bucket")  # up to 20,000 buckets each has a task of its own
         .groupBy("bucket")
         .agg(F.first("shard").alias("shard"), F.sort_array(F.collect_list("row")).alias("rows"))
         .sortWithinPartitions("bucket")
