@@ -71,5 +71,9 @@ def pack(docs: DataFrame, path: str | None = None, *, max_tokens: int = 4096, en
 
 
 def write_sequences(docs: DataFrame, to: str, **options) -> None:
-    """Writes the sequences, with their tokens, in one folder for each bucket."""
+    """Writes the sequences, with their tokens, in one folder for each bucket (length).
+
+    Null and empty texts are one sequence of the end token; repeated rows and null keys give sequences of their own; an empty table
+    writes no sequence.
+    """
     pack(docs, ids=True, **options).write.partitionBy("bucket").parquet(to)
