@@ -63,30 +63,33 @@ def validate_search(text: str, system: str, systems: tuple[str, ...], top_k: int
         raise ValueError("top_k must be 1 to 50")
 
 
-def _expand(sentences, best, longest: int) -> str:
-    """Sentences round the best one, the next on the right first, while they fit."""
-    chosen, length, left, right = [sentences[best]], len(sentences[best]), best - 1, best + 1
-    while True:
-        added = False
-        if right < len(sentences) and length + len(sentences[right]) < longest:
-            chosen.append(sentences[right])
-            length, right, added = length + len(sentences[right]), right + 1, True
-        if left >= 0 and length + len(sentences[left]) < longest:
-            chosen.insert(0, sentences[left])
-            length, left, added = length + len(sentences[left]), left - 1, True
-        if not added:
-            break
-    passage = " ".join(chosen)
-    if len(passage) > longest + 40:
-        passage = passage[:longest].rsplit(" ", 1)[0]
-    return ("… " if left >= 0 else "") + passage + (" …" if right < len(sentences) else "")
-
-
-def best_passage(docs: DataFrame, terms: DataFrame, phrases: DataFrame | None = None, numbers: DataFrame | None = None, *, doc: str = "doc", query: str = "qid", longest: int = 650) -> DataFrame:
+def around(sentences: Column, best: Column, longest: int) -> Column:
+    """The best sentence (numbered from 0) with its neighbours, one more on each side a round, as long as they fit in ``longest`` characters.
+
+    A side that does not fit once never does, so as many rounds as there are sentences reach the end.  What is left out shows as "…".
+    """
+    sizes = F.transform(sentences, lambda s: F.length(s))
+    start = F.struct(best.alias("lo"), best.alias("hi"), F.get(sizes, best).alias("size"))
+
+    def widen(span: Column, _: Column) -> Column:
+        right = F.get(sizes, span["hi"] + 1)
+        more = F.coalesce(span["size"] + right < longest, F.lit(False))
+        size = span["size"] + F.when(more, right).otherwise(0)
+        left = F.when(span["lo"] > 0, F.get(sizes, F.greatest(span["lo"] - 1, F.lit(0))))
+        less = F.coalesce(size + left < longest, F.lit(False))
+        return F.struct((span["lo"] - less.cast("int")).alias("lo"), (span["hi"] + more.cast("int")).alias("hi"), (size + F.when(less, left).otherwise(0)).alias("size"))
+
+    span = F.aggregate(sentences, start, widen)
+    said = F.array_join(F.slice(sentences, span["lo"] + 1, span["hi"] - span["lo"] + 1), " ")
+    short = F.when(F.length(said) > longest + 40, F.regexp_replace(F.substring(said, 1, longest), " [^ ]*$", "")).otherwise(said)
+    return F.concat(F.when(span["lo"] > 0, "… ").otherwise(""), short, F.when(span["hi"] < F.size(sentences) - 1, " …").otherwise(""))
+
+
+def best_passage(docs: DataFrame, terms: DataFrame, phrases: DataFrame | None = None, numbers: DataFrame | None = None, *, doc: str = "doc", query: str = "qid", longest: int = 650, fallback: bool = False) -> DataFrame:
     """The best paragraph of each pair: sum of idf (1 + ln tf), 3 for each phrase and 4 for each provision number in it, divided by 1 + 0.15 ln(1 + words).
 
     docs(qid, doc, text), terms(qid, term, idf), phrases(qid, phrase) in lower case, numbers(qid, number).  Paragraphs are those of
-    ``functions.text.paragraphs``; a text without one has no row.  One of over ``longest`` characters is cut to the sentences round its best one.
+    ``functions.text.paragraphs``; a text without one has no row, or with ``fallback`` its first ``longest`` characters at place -1.  One of over ``longest`` characters is cut to the sentences round its best one.
     """
     from docketry.functions.text import normalize_space, paragraphs, split_sentences, tokenize
 
@@ -113,6 +116,9 @@ def best_passage(docs: DataFrame, terms: DataFrame, phrases: DataFrame | None =
     cut = split_sentences(F.col("paragraph"))
     long = top.where(F.length("paragraph") > longest)
     inner = best(long.select(query, doc, F.posexplode(cut).alias("at", "part"))).select(query, doc, "at")
-    expand = F.udf(lambda s, at: _expand(s, at, longest), "string")
-    wide = long.join(inner, [query, doc]).select(query, doc, "pos", "score", expand(cut, "at").alias("paragraph"))
-    return top.where(F.length("paragraph") <= longest).select(query, doc, "pos", "score", "paragraph").unionByName(wide)
+    wide = long.withColumn("_s", cut).join(inner, [query, doc]).select(query, doc, "pos", "score", around(F.col("_s"), F.col("at"), longest).alias("paragraph"))
+    out = top.where(F.length("paragraph") <= longest).select(query, doc, "pos", "score", "paragraph").unionByName(wide)
+    if not fallback:
+        return out
+    rest = docs.where(F.size(paragraphs(F.col("text"))) == 0).select(query, doc, F.lit(-1).alias("pos"), F.lit(0.0).alias("score"), normalize_space(F.substring("text", 1, longest)).alias("paragraph"))
+    return out.unionByName(rest)

@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docketry.operators import intents, labels, metrics
 from docketry.plans import rank_queries, registry
@@ -55,7 +56,34 @@ def test_passage_expands_round_the_match(spark):
     plain = {r.doc: r for r in labels.best_passage(df, terms).collect()}
     assert set(plain) == {1, 2} and "needle lies hidden" in plain[1].paragraph and len(plain[1].paragraph) < 700
     assert plain[1].paragraph.startswith("… ") and plain[1].paragraph.endswith(" …") and plain[2].pos == 0
+    assert {r.doc: (r.pos, r.paragraph) for r in labels.best_passage(df, terms, fallback=True).collect()}[3] == (-1, "short")
     more = labels.best_passage(df, terms, spark.createDataFrame([(1, "house breaking")], "qid long, phrase string"), spark.createDataFrame([(1, "302"), (1, "30")], "qid long, number string"))
     r = {r.doc: r for r in more.collect()}[2]
     words = 18
     assert r.pos == 1 and abs(r.score - 7.0 / (1 + 0.15 * np.log(1 + words))) < 1e-9
+
+
+def plain_around(sentences, best, longest):
+    lo = hi = best
+    size = len(sentences[best])
+    for _ in sentences:
+        if hi + 1 < len(sentences) and size + len(sentences[hi + 1]) < longest:
+            hi += 1
+            size += len(sentences[hi])
+        if lo > 0 and size + len(sentences[lo - 1]) < longest:
+            lo -= 1
+            size += len(sentences[lo])
+    said = " ".join(sentences[lo : hi + 1])
+    said = said[:longest].rsplit(" ", 1)[0] if len(said) > longest + 40 else said
+    return ("… " if lo else "") + said + (" …" if hi + 1 < len(sentences) else "")
+
+
+def test_around(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(80):
+        s = [" ".join("ab" * int(k) for k in r.integers(1, 6, int(n))) for n in r.integers(1, 12, int(r.integers(1, 9)))]
+        rows.append((i, s, int(r.integers(0, len(s)))))
+    df = spark.createDataFrame(rows, "k int, s array<string>, at int")
+    got = {x.k: x.p for x in df.select("k", labels.around(F.col("s"), F.col("at"), 70).alias("p")).collect()}
+    assert got == {k: plain_around(s, at, 70) for k, s, at in rows}
