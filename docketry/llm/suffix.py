@@ -432,14 +432,12 @@ def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENG
     Returns the keys and where each string's windows begin.
     """
     size = np.array([len(x) for x in strings], np.int64)
-    raw = np.frombuffer(b"\0".join(strings) + b"\0" * (8 + 1), np.uint8)
+    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     t = raw[: int(size.sum()) + len(strings)].astype(np.int16) + 1
     end = np.cumsum(size + 1) - 1
     t[end] = 0
     begin = end - size
     owner = np.repeat(np.arange(len(strings), dtype=np.int32), size + 1)
-    words = np.ndarray(len(raw) - 7, "<u8", raw.tobytes(), strides=(1,))
-    steps = [*range(0, length - 7, 8), length - 8] if length >= 8 else None
     windows = np.maximum(size - length + 1, 0)
     offset = np.append(0, np.cumsum(windows))
     out = np.zeros(offset[-1], least.dtype)
@@ -450,20 +448,14 @@ def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENG
         low = np.minimum.reduceat(least[owner[pos]], group)
         out[offset[owner[pos]] + pos - begin[owner[pos]]] = np.repeat(low, np.diff(np.append(group, len(pos))))
 
-    for block in suffix_array(t, budget):
-        pos = block[end[owner[block]] - block >= length]  # suffixes that hold a whole window
-        pos = np.concatenate([*held, pos])
+    for block, common in suffix_array(t, budget, length):
+        ok = end[owner[block]] - block >= length  # suffixes that hold a whole window; no shorter one stands within a group
+        pos, new = block[ok], common[ok] < length
         if not len(pos):
             continue
-        if steps is None:
-            view = np.lib.stride_tricks.sliding_window_view(raw, length)
-            same = (view[pos[1:]] == view[pos[:-1]]).all(axis=1)
-        else:
-            same = np.ones(len(pos) - 1, bool)
-            for k in steps:
-                w = words[pos + k]
-                same &= w[1:] == w[:-1]
-        new = np.append(True, ~same)
+        n = sum(map(len, held))
+        pos, new = np.concatenate([*held, pos]), np.concatenate([np.zeros(n, bool), new])
+        new[0] = True
         last = int(np.flatnonzero(new)[-1])  # the last group may go on in the next block
         if last:
             settle(pos[:last], new[:last])

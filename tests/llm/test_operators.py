@@ -251,16 +251,37 @@ def test_suffix_clean(docs):
 
 
 @pytest.mark.parametrize("budget", [64, 1 << 20])
-def test_suffix_array(budget):
+@pytest.mark.parametrize("cap", [3, 50])
+def test_suffix_array(budget, cap, monkeypatch):
     r = random.Random(7)
-    for _ in range(60):
+    for n in range(240):
+        monkeypatch.setattr(induced, "BLOCK", r.choice([1, 2, 7, 1 << 18]))
         t = []
         for _ in range(r.randint(1, 9)):
-            t += [r.randint(1, r.choice([1, 2, 256])) for _ in range(r.randint(1, 40))] + [0]
+            t += [r.randint(1, r.choice([1, 2, 256])) for _ in range(r.randint(0, 40))] * r.choice([1, 1, 2]) + [0]
+        if n % 3 == 0:
+            t = t + t
         tail = lambda i: t[i : t.index(0, i) + 1]  # noqa: B023, E731
-        sa = np.concatenate(list(induced.suffix_array(np.array(t), budget))).tolist()
+        blocks = list(induced.suffix_array(np.array(t), budget, cap))
+        sa, common = (np.concatenate(x).tolist() for x in zip(*blocks, strict=True))
         assert sorted(sa) == list(range(len(t))) and [tail(i) for i in sa] == sorted(map(tail, range(len(t))))
 
+        def shared(a, b):
+            k = 0
+            while a[k] == b[k] != 0:
+                k += 1
+            return min(k, cap)
+
+        assert common == [0] + [shared(tail(a), tail(b)) for a, b in zip(sa, sa[1:], strict=False)]
+
+
+def test_range_min():
+    r = np.random.default_rng(2)
+    for n in (1, 5, 2048, 2049, 9000):
+        x = r.integers(0, 50, n)
+        a, b = np.sort(r.integers(0, n, (2, 300)), axis=0)
+        assert induced._range_min(x, a, b).tolist() == [x[i : j + 1].min() for i, j in zip(a, b, strict=True)]
+
 
 def test_media(docs, texts):
     out = media.payload_report(docs).collect()
