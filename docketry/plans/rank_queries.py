@@ -191,9 +191,9 @@ def e15(s, d):
     return metrics.summarize(_per_query(s, d)).select("system", *[F.round(m, 6).alias(m) for m in metrics.METRICS])
 
 
-@query("E16_by_intent", f"WITH r AS ({RUN}), l AS ({LABELS}), {_PQ}, x AS (SELECT system, qid % 5 AS intent, qid % 3 = 0 AS explicit, ndcg5 FROM m) SELECT system, intent, explicit, round(avg(ndcg5), 6) AS mean, count(*) AS n, CAST(grouping(system, intent, explicit) AS INT) AS level FROM x GROUP BY ROLLUP (system, intent, explicit)")
+@query("E16_by_intent", f"WITH r AS ({RUN}), l AS ({LABELS}), {_PQ}, x AS (SELECT system, qid % 5 AS intent, CAST(qid % 3 = 0 AS INT) AS explicit, ndcg5 FROM m) SELECT system, intent, explicit, round(avg(ndcg5), 6) AS mean, count(*) AS n, CAST(grouping(system, intent, explicit) AS INT) AS level FROM x GROUP BY ROLLUP (system, intent, explicit)")
 def e16(s, d):
-    queries = rows(s, d, LABELS).select("qid").distinct().select("qid", (F.col("qid") % 5).alias("intent"), (F.col("qid") % 3 == 0).alias("explicit"))
+    queries = rows(s, d, LABELS).select("qid").distinct().select("qid", (F.col("qid") % 5).alias("intent"), (F.col("qid") % 3 == 0).cast("int").alias("explicit"))
     out = EV.by_intent(_per_query(s, d), queries)
     return out.withColumn("mean", F.round("mean", 6))
 
