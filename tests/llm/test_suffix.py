@@ -59,3 +59,35 @@ def test_many_occurrences_lie_on_disk():
     blocks = list(found.blocks(1 << 10))
     assert sum(len(k) for k, _, _ in blocks) == 50_000 and max(len(k) for k, _, _ in blocks) == 1 << 10
     assert np.concatenate([s for _, _, s in blocks]).tolist() == [i for i in range(50) for _ in range(1000)]
+
+
+_SHARD = """
+import resource, sys
+import numpy as np
+from docketry.llm import suffix
+
+r = np.random.default_rng(1)
+strings = [bytes(r.integers(97, 101, 90).astype(np.uint8)) for _ in range(60)]
+def rows(times):
+    for i in range(times):
+        n = 50_000
+        key, start, which = np.arange(n) + i * n, np.zeros(n, np.int64), (np.arange(n) % len(strings)).astype(np.uint32)
+        head = np.array([n, len(strings)], np.uint32)
+        yield 0, suffix._press(b"".join(x.tobytes() for x in (head, key.astype(np.int64), start, which, np.array([90] * len(strings), np.uint32))) + b"".join(strings))
+def peak(times):
+    n = sum(len(suffix._open(b)) for batch in suffix._sort_shard(50, 1 << 16, 101)(rows(times)) for b in batch.column(1).to_pylist())
+    return n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+few, low = peak(16)
+many, high = peak(160)
+print(few, many, (high - low) // 1024)
+"""
+
+
+def test_memory_of_a_shard_does_not_grow_with_its_occurrences():
+    """Ten times the occurrences, 192 MB of them at a budget of 64 KB: their spans come out, and the peak stays where it was."""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", _SHARD], capture_output=True, text=True, timeout=300, check=True).stdout.split()
+    few, many, more = map(int, out)
+    assert few == 8 * (16 * 50_000 - 60) and many == 8 * (160 * 50_000 - 60) and more < 40
