@@ -37,9 +37,10 @@ from .common import Scratch, by_batch, spread_join
 from .induced import suffix_array
 
 #: SHARD_BYTES: text for each shard on average; a shard is sorted at once, a task sorts its shards one after the other.
+#: SLICE_BYTES: what minimizers are taken of at once, so that the arrays stay in a core's cache.
 #: LOOK_BYTES: the same for each part in which hashes are looked up, which takes about two bytes for each byte of text.
 #: HOT: documents that share a minimizer from which on its runs are cut in two.  COPIES: equal texts that one task compares.
-LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS, HOT, COPIES = 50, 20, 1 << 20, 12 << 20, 1 << 20, 2000, 50_000, 1000
+LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS, HOT, COPIES = 50, 20, 1 << 20, 12 << 20, 1 << 16, 2000, 50_000, 1000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = (1 << 24) - 1
 
@@ -158,8 +159,11 @@ def _repeats(parts: int, length: int, k: int):
             codes.append(_short(h[place], parts))
             docs.append(np.array(owner[lo:hi])[np.searchsorted(stops, place, side="right")])
         code, doc = np.concatenate(codes), keys[np.concatenate(docs)]
-        order = np.lexsort((doc, code))
+        order = np.argsort(code)
         code, doc = code[order], doc[order]
+        same = code[1:] == code[:-1]
+        many = np.flatnonzero(np.append(False, same) | np.append(same, False)) if len(code) else np.zeros(0, np.int64)
+        doc[many] = doc[many][np.lexsort((doc[many], code[many]))]  # most codes stand alone; the others' keys ascend
         fresh = np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])) if len(code) else np.zeros(0, bool)
         code, doc = code[fresh], doc[fresh]
         new = np.append(True, code[1:] != code[:-1]) if len(code) else np.zeros(0, bool)
@@ -360,7 +364,7 @@ def _halves(begin: np.ndarray, end: np.ndarray, code: np.ndarray, place: np.ndar
 def _cut(looks: int, parts: int, length: int, k: int, crowd: np.ndarray | None = None):
     """Texts and what is known of them (repeating codes, copies) to rows (part, runs): runs of windows, by minimizer.
 
-    A row's runs are compressed: their number, keys, starts, sizes, and the distinct strings with each run's own.
+    A row's runs are compressed: their number, keys, starts, each one's own string, and of the distinct strings the sizes, what they are dealt by, and the bytes.
     """
     crowd = np.zeros(0, np.uint64) if crowd is None else crowd
 
@@ -371,7 +375,7 @@ def _cut(looks: int, parts: int, length: int, k: int, crowd: np.ndarray | None =
         keys = b.column("k").to_numpy(zero_copy_only=False)
         texts, owner, base = _pieces([_open(t) for t in b.column("z").to_pylist()], length)
         wanted = [np.unique(codes[i]) for i in own]
-        part, key, start, data = [], [], [], []
+        group, key, start, data = [], [], [], []
         for lo, hi in _slices(texts):
             raw = b"".join(texts[lo:hi])
             a = np.frombuffer(raw, np.uint8)
@@ -394,13 +398,14 @@ def _cut(looks: int, parts: int, length: int, k: int, crowd: np.ndarray | None =
                 mine = np.flatnonzero(np.isin(code[x:y], wanted[owner[lo + i]])) + x
                 if len(mine):
                     f, t = at[begin[mine]], at[end[mine]] + length
-                    part.append((full[mine] % np.uint64(parts)).astype(np.int64))
+                    group.append(full[mine])
                     key.append(np.full(len(mine), keys[owner[lo + i]]))
                     start.append(f - (stops[i] - len(texts[lo + i])) + base[lo + i])
                     data += [raw[p:q] for p, q in zip(f.tolist(), t.tolist(), strict=True)]
-        if not part:
+        if not group:
             return None
-        part, key, start = np.concatenate(part), np.concatenate(key), np.concatenate(start)
+        group, key, start = np.concatenate(group), np.concatenate(key), np.concatenate(start)
+        part = (group % np.uint64(parts)).astype(np.int64)
         out: dict[str, list] = {"part": [], "runs": []}
         order = np.argsort(part, kind="stable")
         for x, n in zip(*[v.tolist() for v in _runs(part[order])], strict=True):
@@ -408,22 +413,25 @@ def _cut(looks: int, parts: int, length: int, k: int, crowd: np.ndarray | None =
             own: dict[bytes, int] = {}
             which = np.array([own.setdefault(data[i], len(own)) for i in at.tolist()], np.uint32)
             sizes = np.array([len(s) for s in own], np.uint32)
+            groups = np.zeros(len(own), np.uint32)
+            groups[which] = (group[at] >> np.uint64(32)).astype(np.uint32)
             head = np.array([n, len(own)], np.uint32)
             out["part"].append(int(part[at[0]]))
-            out["runs"].append(_press(b"".join([v.tobytes() for v in (head, key[at].astype(np.int64), start[at].astype(np.int64), which, sizes)] + [*own])))
+            out["runs"].append(_press(b"".join([v.tobytes() for v in (head, key[at].astype(np.int64), start[at].astype(np.int64), which, sizes, groups)] + [*own])))
         return pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int64()), "runs": pa.array(out["runs"], pa.binary())})
 
     return settle
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """keys, starts, each run's string number, the distinct strings."""
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """keys, starts, each run's string number; of the distinct strings what they are dealt by, and the strings."""
     raw = _open(blob)
     n, m = np.frombuffer(raw, np.uint32, 2).tolist()
     key, start = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n)
-    which, sizes = np.frombuffer(raw, np.uint32, n, 8 + 16 * n), np.frombuffer(raw, np.uint32, m, 8 + 20 * n)
-    stop = (np.cumsum(sizes) + 8 + 20 * n + 4 * m).tolist()
-    return key, start, which, [raw[a:b] for a, b in zip([8 + 20 * n + 4 * m, *stop], stop, strict=False)]
+    which, sizes, groups = np.frombuffer(raw, np.uint32, n, 8 + 16 * n), np.frombuffer(raw, np.uint32, m, 8 + 20 * n), np.frombuffer(raw, np.uint32, m, 8 + 20 * n + 4 * m)
+    head = 8 + 20 * n + 8 * m
+    stop = (np.cumsum(sizes) + head).tolist()
+    return key, start, which, groups, [raw[a:b] for a, b in zip([head, *stop], stop, strict=False)]
 
 
 def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENGTH, budget: int = 16 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -465,6 +473,23 @@ def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENG
     return out, offset
 
 
+def _least_keys(strings: list[bytes], least: np.ndarray, groups: np.ndarray, length: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """``repeated_windows`` of strings that are dealt by ``groups``: a window can recur only in a string of its group.
+
+    A group of one string needs no sorting: its windows' least key is the string's.
+    """
+    _, which, times = np.unique(groups, return_inverse=True, return_counts=True)
+    others = np.flatnonzero(times[which] > 1)
+    windows = np.maximum(np.array([len(x) for x in strings], np.int64) - length + 1, 0)
+    offset = np.append(0, np.cumsum(windows))
+    low = np.repeat(least, windows)
+    if len(others):
+        found, _ = repeated_windows([strings[i] for i in others.tolist()], least[others], length, budget)
+        n = windows[others]
+        low[np.repeat(offset[others] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = found
+    return low, offset
+
+
 class _Occurrences:
     """Keys, starts and string numbers of a shard's runs; in a file beyond ``budget`` bytes."""
 
@@ -487,15 +512,17 @@ def _sort_shard(length: int, budget: int, buckets: int):
     """Rows of one shard to facts: (begin, end) pairs of bytes to remove, by key."""
 
     def settle(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
-        names, least, found = {}, np.zeros(0, np.int64), _Occurrences(budget)
+        names, least, groups, found = {}, np.zeros(0, np.int64), [], _Occurrences(budget)
         for _, blob in rows:
-            k, s, which, strings = _unpack(blob)
+            k, s, which, dealt, strings = _unpack(blob)
+            known = len(names)
             mine = np.array([names.setdefault(x, len(names)) for x in strings], np.int64)  # copies of a string are kept once
             if len(names) > len(least):
                 least = np.append(least, np.full(max(len(names), 2 * len(least)) - len(least), np.iinfo(np.int64).max))
+            groups.append(dealt[mine >= known])  # new strings are numbered in their order
             np.minimum.at(least, mine[which], k)
             found.add(k, s, mine[which])
-        low, offset = repeated_windows(list(names), least[: len(names)], length, budget)
+        low, offset = _least_keys(list(names), least[: len(names)], np.concatenate(groups), length, budget)
         del names, least
         n = np.diff(offset)
         held, spans, size_held = [], [], 0

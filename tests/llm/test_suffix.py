@@ -73,7 +73,7 @@ def rows(times):
         n = 50_000
         key, start, which = np.arange(n) + i * n, np.zeros(n, np.int64), (np.arange(n) % len(strings)).astype(np.uint32)
         head = np.array([n, len(strings)], np.uint32)
-        yield 0, suffix._press(b"".join(x.tobytes() for x in (head, key.astype(np.int64), start, which, np.array([90] * len(strings), np.uint32))) + b"".join(strings))
+        yield 0, suffix._press(b"".join(x.tobytes() for x in (head, key.astype(np.int64), start, which, np.array([90] * len(strings), np.uint32), np.zeros(len(strings), np.uint32))) + b"".join(strings))
 def peak(times):
     n = sum(len(suffix._open(b)) for batch in suffix._sort_shard(50, 1 << 16, 101)(rows(times)) for b in batch.column(1).to_pylist())
     return n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
