@@ -40,7 +40,7 @@ from .induced import suffix_array
 #: SLICE_BYTES: what minimizers are taken of at once, so that the arrays stay in a core's cache.
 #: LOOK_BYTES: the same for each part in which hashes are looked up, which takes about two bytes for each byte of text.
 #: HOT: documents that share a minimizer from which on its runs are cut in two.  COPIES: equal texts that one task compares.
-LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS, HOT, COPIES = 50, 20, 1 << 20, 12 << 20, 1 << 16, 2000, 50_000, 1000
+LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS, HOT, COPIES = 50, 20, 2 << 20, 12 << 20, 1 << 16, 2000, 50_000, 1000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = (1 << 24) - 1
 
