@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, id_remainder
-from .langid import CHARS, _fold
+from .langid import _fold
 
 #: SAMPLE: labelled rows of each class to learn from; all else covers every row.
 SAMPLE, MIN_DOCS, SIGNIFICANT, LIMIT, BIAS, PENALTY = 2500, 4, 5.0, 0.7, -6.0, 1e-5
+#: Characters that are read at once; a reading takes about a hundred bytes for each.
+CHARS = 1 << 18
 STEMS = (4, 5, 6)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = np.zeros(0x110000, bool)
