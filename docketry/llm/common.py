@@ -64,8 +64,22 @@ def spread_join(rows: DataFrame, one: DataFrame, on: str, most: int = 50_000, ho
     return dealt_join(rows, one, on, hot_keys(rows, on, most), how)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of ``rows`` rows, unless the session asks for a number of its own.
+
+    With the default of 10,000 whole documents a batch, its buffers, which double as they grow, and their copies in Python take some
+    hundred megabytes of each executor core.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
+
 def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int = 1000) -> DataFrame:
-    """``f`` over ``rows`` rows at a time.  Batches end at spark.sql.execution.arrow.maxBytesPerBatch."""
+    """``f`` over ``rows`` rows at a time (see ``small_batches``)."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -57,3 +57,16 @@ def test_shared_dir_must_be_named_on_a_cluster():
         with pytest.raises(ValueError):
             common.shared_dir(session(master))
     assert common.shared_dir(session("local[2]"))
+
+
+def test_small_batches(spark):
+    """Batches are small unless the session asks for a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", "2000"), ("5000", "5000")):
+            spark.conf.set(key, given)
+            common.small_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
