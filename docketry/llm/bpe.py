@@ -54,7 +54,7 @@ class Bpe:
     """An encoder and decoder for one tokenizer file (BPE with word ends)."""
 
     #: Most chunks whose ids are kept; memory stays bounded whatever the corpus holds.
-    KEEP, LONGEST = 600_000, 256
+    KEEP, LONGEST = 300_000, 256
 
     def __init__(self, path: str, guess: bool = False):
         with open(path, encoding="utf-8") as f:
