@@ -168,6 +168,16 @@ def test_fusion_invariants(spark):
     assert [r.doc for r in top if r.doc < 3] == [1, 2]
 
 
+def test_fused_score_halfway(spark):
+    """0.15 * 0.5 + 0.85 * 0.7091 is 0.677735, whose sum of doubles lies below it; the score does not depend on the order of rows."""
+    raw = {"bm25": (0, 100, 50), "legal": (0, 10_000, 7_091)}
+    rows = [("q", "LEGAL_ISSUE", d, s, float(v)) for s, vs in raw.items() for d, v in enumerate(vs)]
+    weights = spark.createDataFrame([("c", "LEGAL_ISSUE", "bm25", 0.15), ("c", "LEGAL_ISSUE", "legal", 0.85)], "config string, intent string, signal string, weight double")
+    for some in (rows, rows[::-1]):
+        got = S.fuse(spark.createDataFrame(some, "qid string, intent string, doc int, signal string, raw double"), weights).withColumn("score", F.round("score", 5))
+        assert {r.doc: r.score for r in got.collect()} == {0: 0.0, 1: 1.0, 2: 0.67774}
+
+
 def test_corpus(spark):
     page = "[2024] 1 S.C.R. 5\n12\nRam v. State\nfirst exam-\nple text\n* Author\nRam v. State\n\nRam v. State\nan example 7"
     d = spark.createDataFrame([(1, page)], "doc int, text string")
