@@ -10,7 +10,8 @@ A string of ``length`` bytes that starts in a document with a smaller key is rem
 3. Runs of windows that share such a minimizer are cut out of the texts and dealt by it, so all equal windows
    meet in one shard.  Runs of a minimizer that very many documents share are cut in two and dealt by it and the bytes before
    or after it, of which each window holds one side whole: equal windows still meet, others no longer do.
-4. Each shard sorts the suffixes of its distinct strings by external induced sorting (``induced``), whose queues
+4. Each shard sorts the suffixes of its distinct strings, a few groups of a minimizer at a time and without what no other string of a
+   group can share, by external induced sorting (``induced``), whose queues
    lie on disk beyond a budget, as the occurrences of the strings do.  Neighbours in suffix order with a common prefix of ``length``
    or more form a group, whose least key is known; windows of later documents become spans.
 5. Spans are joined to their documents, merged and cut.
@@ -33,14 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, by_batch, spread_join
+from .common import Scratch, by_batch, small_batches, spread_join
 from .induced import suffix_array
 
-#: SHARD_BYTES: text for each shard on average; a shard is sorted at once, a task sorts its shards one after the other.
+#: SHARD_BYTES: text for each shard on average.  SORT_BYTES: strings of a shard that are sorted at once, but for a group that holds more.
 #: SLICE_BYTES: what minimizers are taken of at once, so that the arrays stay in a core's cache.
 #: LOOK_BYTES: the same for each part in which hashes are looked up, which takes about two bytes for each byte of text.
+#: CODES, FACTS: hashes and facts that a task gathers before it sends them on, so that rows stay large however many parts and buckets there are.
 #: HOT: documents that share a minimizer from which on its runs are cut in two.  COPIES: equal texts that one task compares.
-LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS, HOT, COPIES = 50, 20, 2 << 20, 12 << 20, 1 << 16, 2000, 50_000, 1000
+LENGTH, K, SHARD_BYTES, LOOK_BYTES, SLICE_BYTES, BLOCK_ROWS, HOT, COPIES = 50, 20, 6 << 20, 12 << 20, 1 << 16, 2000, 50_000, 1000
+SORT_BYTES, CODES, FACTS = 1 << 20, 1 << 20, 1 << 19
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POS = (1 << 24) - 1
 
@@ -144,10 +147,10 @@ _ROWS = "part long, keys binary, counts binary, codes binary"
 def _repeats(parts: int, length: int, k: int):
     """Texts to rows (part, keys, counts, codes): for each key its count of codes, to be looked up in that part.
 
-    Without keys: codes that repeat in this block, and how often.  Part under 0: settled codes of their keys.
+    Without keys: codes that repeat in a block of some ``CODES`` codes, and how often.  Part under 0: settled codes of their keys.
     """
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def codes_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         texts, owner, _ = _pieces([(t or "").encode() for t in b.column(1).to_pylist()], length)
         codes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -158,7 +161,23 @@ def _repeats(parts: int, length: int, k: int):
             place = np.unique(place)
             codes.append(_short(h[place], parts))
             docs.append(np.array(owner[lo:hi])[np.searchsorted(stops, place, side="right")])
-        code, doc = np.concatenate(codes), keys[np.concatenate(docs)]
+        return np.concatenate(codes), keys[np.concatenate(docs)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK_ROWS):
+                held.append(codes_of(b.slice(at, BLOCK_ROWS)))
+                n += len(held[-1][0])
+                if n >= CODES:
+                    yield block(held)
+                    held, n = [], 0
+        if n:
+            yield block(held)
+
+    def block(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        code, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.argsort(code)
         code, doc = code[order], doc[order]
         same = code[1:] == code[:-1]
@@ -198,13 +217,23 @@ def _repeats(parts: int, length: int, k: int):
     return run
 
 
-def _by_part(settle):
-    """Runs ``settle`` over the rows of one part after the other (rows come sorted by part, and are read as they are needed)."""
+def _by_row(settle):
+    """Runs ``settle`` over a task's rows, which are read as they are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for at in range(0, b.num_rows, 100) for row in zip(*[c.to_pylist() for c in b.slice(at, 100).columns], strict=True))
+        yield from settle(row for b in batches for at in range(0, b.num_rows, 100) for row in zip(*[c.to_pylist() for c in b.slice(at, 100).columns], strict=True))
+
+    return run
+
+
+def _by_part(settle, buckets: int):
+    """Runs ``settle`` (rows, where facts go) over the rows of one part after the other; rows come sorted by part."""
+
+    def run(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+        gathered = _Gathered(buckets)
         for _, mine in itertools.groupby(rows, lambda row: row[0]):
-            yield from settle(mine)
+            yield from settle(mine, gathered)
+        yield from gathered.rest()
 
     return run
 
@@ -242,6 +271,30 @@ def _facts(key: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(where[at].astype(np.int32)), cut(key), cut(value)], names=["bucket", "keys", "vals"])
 
 
+class _Gathered:
+    """Facts of several parts or shards, which go on together: a task's rows are as many as its buckets, not its parts' buckets."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.n = buckets, 0
+        self.keys: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+
+    def add(self, key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Sends what is gathered once it is ``FACTS`` or more."""
+        if len(key):
+            self.keys.append(key)
+            self.values.append(value)
+            self.n += len(key)
+        if self.n >= FACTS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            key, value = np.concatenate(self.keys), np.concatenate(self.values)
+            self.keys, self.values, self.n = [], [], 0
+            yield from _facts(key, value, self.buckets)
+
+
 class _Known:
     """What is known of the keys of one bucket: values of ``dtype``, and hashes of texts that are copies."""
 
@@ -310,12 +363,12 @@ def _look_up(hot: int, buckets: int):
     Bucket -1: codes of more than ``hot`` documents.
     """
 
-    def settle(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    def settle(rows: Iterable[tuple], gathered: _Gathered) -> Iterator[pa.RecordBatch]:
         code, key, known, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for part, ks, ns, cs in rows:
             first, n = np.frombuffer(_open(ks), np.int64), np.frombuffer(_open(ns), np.uint32)
             if part < 0:
-                yield from _facts(np.repeat(np.cumsum(first), n), np.frombuffer(cs, np.uint64), buckets)
+                yield from gathered.add(np.repeat(np.cumsum(first), n), np.frombuffer(cs, np.uint64))
                 continue
             cs = np.frombuffer(cs, np.uint32).astype(np.uint64) | np.uint64(part << 32)
             if len(first):
@@ -335,13 +388,13 @@ def _look_up(hot: int, buckets: int):
         np.add.at(total, place[hit], 1)
         if len(code):
             hit[order] |= np.append(False, same) | np.append(same, False)
-            yield from _facts(key[hit], code[hit], buckets)
+            yield from gathered.add(key[hit], code[hit])
         alone, n = np.unique(code, return_counts=True)
         crowd = np.concatenate([some[total > hot], alone[n > hot]])
         if len(crowd):
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([crowd.tobytes()], pa.binary())], names=["bucket", "keys", "vals"])
 
-    return settle
+    return _by_part(settle, buckets)
 
 
 def _halves(begin: np.ndarray, end: np.ndarray, code: np.ndarray, place: np.ndarray, at: np.ndarray, a: np.ndarray, crowd: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -473,20 +526,64 @@ def repeated_windows(strings: list[bytes], least: np.ndarray, length: int = LENG
     return out, offset
 
 
-def _least_keys(strings: list[bytes], least: np.ndarray, groups: np.ndarray, length: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _shared_sides(strings: list[bytes], groups: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each string, a run of windows of one minimizer, that another string of its group can share (begin and end; empty: none).
+
+    A window holds half of ``length - k`` bytes before its minimizer or as many after it, so of two equal windows those are equal too.
+    """
+    half = (length - k) // 2
+    a = np.frombuffer(b"".join(strings), np.uint8)
+    size = np.array([len(x) for x in strings], np.int64)
+    stops = np.cumsum(size)
+    starts = stops - size
+    near = _kmer_hashes(a, k)[starts[:, None] + np.arange(length - k + 1)] & ~np.uint64(_POS)
+    place = near.argmin(axis=1)  # that of the first window is that of all
+    side, last = _kmer_hashes(a, half), len(a) - 1
+
+    def met(ok: np.ndarray, at: np.ndarray) -> np.ndarray:
+        own = np.flatnonzero(ok)
+        code = groups[own].astype(np.uint64) << np.uint64(32) | side[np.clip(at[own], 0, last)] >> np.uint64(32)
+        order = np.argsort(code)
+        same = code[order][1:] == code[order][:-1]
+        out = np.zeros(len(ok), bool)
+        out[own[order]] = np.append(False, same) | np.append(same, False) if len(own) else False
+        return out
+
+    left, right = met(place >= half, starts + place - half), met(place + k + half <= size, starts + place + k)
+    begin = np.where(left, 0, np.maximum(0, place + k + half - length))
+    end = np.where(right, size, np.minimum(size, place - half + length))
+    return begin, np.where(left | right, end, begin)
+
+
+def _least_keys(strings: list[bytes], least: np.ndarray, groups: np.ndarray, length: int, budget: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """``repeated_windows`` of strings that are dealt by ``groups``: a window can recur only in a string of its group.
 
-    A group of one string needs no sorting: its windows' least key is the string's.
+    A group of one string needs no sorting: its windows' least key is the string's.  Nor does
+    what no other string of its group can share.  Whole groups are sorted together up to ``SORT_BYTES``.
     """
     _, which, times = np.unique(groups, return_inverse=True, return_counts=True)
     others = np.flatnonzero(times[which] > 1)
-    windows = np.maximum(np.array([len(x) for x in strings], np.int64) - length + 1, 0)
+    sizes = np.array([len(x) for x in strings], np.int64)
+    windows = np.maximum(sizes - length + 1, 0)
     offset = np.append(0, np.cumsum(windows))
     low = np.repeat(least, windows)
-    if len(others):
-        found, _ = repeated_windows([strings[i] for i in others.tolist()], least[others], length, budget)
-        n = windows[others]
-        low[np.repeat(offset[others] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = found
+    others = others[np.argsort(which[others], kind="stable")]
+    first, _ = _runs(which[others])
+    before = np.append(0, np.cumsum(sizes[others]))
+    at = 0
+    while at < len(others):
+        stops = np.append(first[first > at], len(others))
+        to = int(stops[max(0, int(np.searchsorted(before[stops], before[at] + SORT_BYTES, side="right")) - 1)])
+        mine, at = others[at:to], to
+        some = [strings[i] for i in mine.tolist()]
+        begin, end = _shared_sides(some, groups[mine], length, k)
+        kept = np.flatnonzero(end > begin)
+        if not len(kept):
+            continue
+        mine, begin, end = mine[kept], begin[kept], end[kept]
+        found, _ = repeated_windows([some[i][x:y] for i, x, y in zip(kept.tolist(), begin.tolist(), end.tolist(), strict=True)], least[mine], length, budget)
+        n = end - begin - length + 1
+        low[np.repeat(offset[mine] + begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = found
     return low, offset
 
 
@@ -508,10 +605,11 @@ class _Occurrences:
         self.file.close()
 
 
-def _sort_shard(length: int, budget: int, buckets: int):
-    """Rows of one shard to facts: (begin, end) pairs of bytes to remove, by key."""
+def _sort_shard(length: int, budget: int, buckets: int, k: int = K):
+    """Rows of shards to facts: (begin, end) pairs of bytes to remove, by key."""
+    gram = k
 
-    def settle(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    def settle(rows: Iterable[tuple], gathered: _Gathered) -> Iterator[pa.RecordBatch]:
         names, least, groups, found = {}, np.zeros(0, np.int64), [], _Occurrences(budget)
         for _, blob in rows:
             k, s, which, dealt, strings = _unpack(blob)
@@ -522,10 +620,9 @@ def _sort_shard(length: int, budget: int, buckets: int):
             groups.append(dealt[mine >= known])  # new strings are numbered in their order
             np.minimum.at(least, mine[which], k)
             found.add(k, s, mine[which])
-        low, offset = _least_keys(list(names), least[: len(names)], np.concatenate(groups), length, budget)
+        low, offset = _least_keys(list(names), least[: len(names)], np.concatenate(groups), length, budget, gram)
         del names, least
         n = np.diff(offset)
-        held, spans, size_held = [], [], 0
         for k, s, i in found.blocks():
             size = n[i]
             row = np.repeat(np.arange(len(k)), size)
@@ -535,17 +632,11 @@ def _sort_shard(length: int, budget: int, buckets: int):
                 continue
             new = np.flatnonzero(np.append(True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)))
             end = np.append(new[1:], len(hit)) - 1
-            held.append(k[row[hit[new]]])
-            spans.append(np.stack([s[row[hit[new]]] + where[hit[new]], s[row[hit[end]]] + where[hit[end]] + length], axis=1).astype(np.uint32))
-            size_held += len(new)
-            if size_held > 1 << 19:
-                yield from _facts(np.concatenate(held), np.concatenate(spans), buckets)
-                held, spans, size_held = [], [], 0
+            spans = np.stack([s[row[hit[new]]] + where[hit[new]], s[row[hit[end]]] + where[hit[end]] + length], axis=1).astype(np.uint32)
+            yield from gathered.add(k[row[hit[new]]], spans)
         found.close()
-        if held:
-            yield from _facts(np.concatenate(held), np.concatenate(spans), buckets)
 
-    return settle
+    return _by_part(settle, buckets)
 
 
 def _pack_text(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -587,19 +678,20 @@ def spans(rows: DataFrame, scratch: Scratch, *, length: int = LENGTH, k: int = K
     total = total or 0
     shards = int(max(8, total // SHARD_BYTES + 1))
     looks = int(max(8, total // LOOK_BYTES + 1))
-    tasks = int(max(8, min(20_000, shards // 4)))
-    buckets = _prime(max(7, n // BLOCK_ROWS))
+    tasks = int(max(8, min(20_000, shards * 3 // 4)))
+    buckets = _prime(max(7, min(n // BLOCK_ROWS, max(512, n // (2 * BLOCK_ROWS)))))
     hot = max(hot, total // (16 * 100_000))  # so that at most 100,000 minimizers can be crowded
     named = scratch.put(rows.where(F.octet_length("t") >= length).select("k", "th", F.unhex(F.sha2("t", 256)).alias("h")))
     least = named.groupBy("h").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").drop("most")
     copies = scratch.put(spread_join(named, least, "h", COPIES).where("k > least").select("k", "th").distinct())
-    sent = by_batch(rows.select("k", "t"), _repeats(looks, length, k), _ROWS, BLOCK_ROWS)
-    settled = scratch.put(sent.repartition(min(20_000, looks), "part").sortWithinPartitions("part").mapInArrow(_by_part(_look_up(hot, buckets)), _FACTS))
+    small_batches(rows.sparkSession)
+    sent = rows.select("k", "t").mapInArrow(_repeats(looks, length, k), _ROWS)
+    settled = scratch.put(sent.repartition(min(20_000, looks), "part").sortWithinPartitions("part").mapInArrow(_by_row(_look_up(hot, buckets)), _FACTS))
     crowd = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.vals, np.uint64) for r in settled.where("bucket < 0").select("vals").collect()]])  # at most 100,000 codes
     packed = by_batch(rows, _pack_text, "k long, th long, z binary")
     cut = _cut(looks, shards, length, k, np.sort(crowd))
     runs = _meet(packed, settled.where("bucket >= 0"), copies, cut, "part long, runs binary", np.uint64, 1, buckets)
-    found = runs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_by_part(_sort_shard(length, budget, buckets)), _FACTS)
+    found = runs.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_by_row(_sort_shard(length, budget, buckets, k)), _FACTS)
     return found, copies, buckets
 
 
