@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from docketry.llm import linededup, nearcopies, packing, suffix, toxicity
 from docketry.llm.common import Scratch, table
 
+#: Chunks whose ids a worker keeps: half of what packing alone may, as workers live through all stages beside their tasks.
+KEPT_CHUNKS = 300_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -64,7 +67,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: power-of-two sequences; a null or empty text is the one token that ends a document."""
-    return packing.pack(docs)
+    return packing.pack(docs, keep=KEPT_CHUNKS)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -56,7 +56,7 @@ class Bpe:
     #: Most chunks whose ids are kept; memory stays bounded whatever the corpus holds.
     KEEP, LONGEST = 600_000, 256
 
-    def __init__(self, path: str, guess: bool = False):
+    def __init__(self, path: str, guess: bool = False, keep: int = KEEP):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.end = spec["model"], spec["model"]["end_of_word_suffix"]
@@ -65,7 +65,7 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self._path, self._hf = path, None
+        self._path, self._hf, self.keep = path, None, keep
         letters = _byte_letters()
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.symbols: dict[str, int] = {}
@@ -222,9 +222,9 @@ class Bpe:
         """Ids of whole texts as little-endian unsigned 32-bit integers; a null text has none."""
         out: list[bytes] = []
         for a in range(0, len(texts), 64):
-            if len(self.known) > self.KEEP:
+            if len(self.known) > self.keep:
                 self.known = dict(self.first_known)
-            if len(self.compatible) > self.KEEP:
+            if len(self.compatible) > self.keep:
                 self.compatible.clear()
             cut = [self.chunks(t) for t in texts[a : a + 64]]
             got = [[*map(self.known.get, cs)] for cs in cut]
@@ -251,18 +251,18 @@ class Bpe:
         return b"".join(out)[:-1]
 
 
-_LOADED: dict[tuple[str, bool], Bpe] = {}
+_LOADED: dict[tuple[str, bool, int], Bpe] = {}
 
 
-def load(path: str, guess: bool = False) -> Bpe:
+def load(path: str, guess: bool = False, keep: int = Bpe.KEEP) -> Bpe:
     """The encoder of this worker; built once, kept between tasks.
 
     ``guess``: a compiled merge loop proposes each new word's tokens; where the pair table does not confirm
-    them, backtracking finds them.
+    them, backtracking finds them.  ``keep``: most chunks whose ids are kept.
     """
-    if (path, guess) not in _LOADED:
-        _LOADED[path, guess] = Bpe(path, guess)
-    return _LOADED[path, guess]
+    if (path, guess, keep) not in _LOADED:
+        _LOADED[path, guess, keep] = Bpe(path, guess, keep)
+    return _LOADED[path, guess, keep]
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, *, text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:

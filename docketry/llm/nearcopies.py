@@ -17,6 +17,8 @@ common, with enough shingles behind it in both.  With the rarest first, members
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -35,42 +37,117 @@ PAIRS_UP_TO, ROUNDS = 24, 2
 #: Shingle counts by which the prefix filter orders; a chance agreement only costs work.
 COUNTERS = 1 << 18
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, 64 + BANDS * ROWS + LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD_32 = (_ODD[64 : 64 + BANDS * ROWS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _MIX, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+#: Bytes whose words are hashed at once; most bytes of a word that has a polynomial hash.
+BLOCK, WORD = 1 << 17, 64
+_GAP = np.isin(np.arange(256), [*range(9, 14), 32])
+_LETTER = np.where(_GAP, np.uint64(0), np.random.default_rng(43).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1))
+_LETTER[65:91] = _LETTER[97:123]
+_TO_GAP, _TO_NEXT_GAP = re.compile(rb".*[\t-\r ]", re.S), re.compile(rb"[^\t-\r ]*")
 _FP = [f"f{i}" for i in range(LONGS)]
 
 
-def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles (ASCII case and white space); a shorter text is one shingle."""
-    ws = text.encode().lower().split() if text else []
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in ws), np.uint64, len(ws))
-    k = min(shingle, len(ws))
-    n = len(h) - k + 1
-    out = np.full(n, k, np.uint64)
+def _powers(p: int) -> np.ndarray:
+    out = np.full(BLOCK, p, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(0x9E3779B97F4A7C15), _powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _SHIFT)) * _MIX
+    return h ^ (h >> _SHIFT)
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of up to ``BLOCK`` bytes (or of one word) and where they begin.
+
+    A word's hash is the polynomial of its bytes' numbers, taken from one running sum over all bytes; words of over ``WORD`` bytes, for
+    which a polynomial modulo 2^64 gets weak, have an XXH64.
+    """
+    letters = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], ~_GAP[letters], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    if len(raw) > BLOCK:
+        h = np.zeros(len(start), np.uint64)
+    else:
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_LETTER[letters] * _UP[: len(raw)], out=total[1:])
+        h = _mixed((total[end] - total[start]) * _DOWN[start])
+    for i in np.flatnonzero(end - start > WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].lower(), 42)
+    return h, start
+
+
+def _cut(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces of up to ``BLOCK`` bytes that end between words; a longer word is a piece of its own."""
+    at = 0
+    while len(raw) - at > BLOCK:
+        m = _TO_GAP.match(raw, at, at + BLOCK) or _TO_NEXT_GAP.match(raw, at)
+        yield raw[at : m.end()].strip()
+        at = m.end()
+    yield raw[at:]
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for every ``k`` words in a row."""
+    out = np.full(max(0, len(h) - k + 1), k, np.uint64)
     for i in range(k):
-        out += h[i : i + n] * _ODD[i % 64]
-    out = (out ^ (out >> _SHIFT)) * _MIX
-    return np.unique(out ^ (out >> _SHIFT))
+        out += h[i : i + len(out)] * _ODD[i % 64]
+    return _mixed(out)
+
+
+def gram_sets(texts: list[str | None], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles (ASCII case and white space); a shorter text is one shingle."""
+    raws = [t.encode() if t else b"" for t in texts]
+    at = 0
+    while at < len(raws):
+        to, size = at + 1, len(raws[at])
+        while to < len(raws) and (size := size + 1 + len(raws[to])) <= BLOCK:
+            to += 1
+        if to == at + 1:
+            h = np.concatenate([_word_hashes(piece)[0] for piece in _cut(raws[at])])
+            ends = [len(h)]
+        else:
+            h, start = _word_hashes(b" ".join(raws[at:to]))
+            ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in raws[at:to]])).tolist()
+        found = _shingles(h, shingle)
+        for a, b in zip([0, *ends], ends, strict=False):
+            g = np.sort(found[a : b - shingle + 1] if b - a >= shingle else _shingles(h[a:b], max(1, b - a)))
+            yield g[np.append(True, g[1:] != g[:-1])] if len(g) else g
+        at = to
+
+
+def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    return next(gram_sets([text], shingle))
 
 
-def band_hashes(g: np.ndarray) -> np.ndarray:
-    """One hash for each band of minima."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(g), 512):
-        np.minimum(low, (g[at : at + 512, None] * _ODD[64 : 64 + BANDS * ROWS]).min(axis=0), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+def minima(g: np.ndarray) -> np.ndarray:
+    """The least of each MinHash function over a shingle set, of 32 bits."""
+    low, x = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32), (g >> _SHIFT).astype(np.uint32)
+    for at in range(0, len(x), 128):
+        np.minimum(low, (x[at : at + 128, None] * _ODD_32).min(axis=0), out=low)
+    return low
+
+
+def band_hashes(low: np.ndarray) -> np.ndarray:
+    """One hash for each band of minima; a row for each set."""
+    total = np.arange(BANDS, dtype=np.uint64) * _MIX
+    return _mixed(total + (low.reshape(-1, BANDS, ROWS) * _ODD[:ROWS]).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
 def wide_fingerprint(g: np.ndarray) -> np.ndarray:
     """The 256-bit SimHash of a shingle set, as four longs."""
     total = np.zeros(64 * LONGS, np.int64)
-    for at in range(0, len(g), 4096):
-        h = g[at : at + 4096, None] * _ODD[64 + BANDS * ROWS :]
+    for at in range(0, len(g), 255):  # so many bits add up in a byte
+        h = g[at : at + 255, None] * _ODD[64 + BANDS * ROWS :]
         h ^= h >> _SHIFT
         h *= _MIX
-        total += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        total += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * total > len(g), bitorder="little").view("<i8")
 
 
@@ -90,15 +167,13 @@ def sketches(docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
     """key, th (hash of the text), node (of the shingle set), n, bands, the fingerprint's longs."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        done: dict[str | None, tuple] = {}
-        rows = []
-        for t in b.column(2).to_pylist():
-            if t not in done:
-                g = grams(t, shingle)
-                done[t] = (_node(g), len(g), band_hashes(g) if len(g) else np.zeros(0, np.int64), wide_fingerprint(g))
-            rows.append(done[t])
-        fps = np.array([r[3] for r in rows], np.int64).reshape(-1, LONGS)
-        cols = [b.column(0), b.column(1), pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))]
+        texts = b.column(2).to_pylist()
+        place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        row = np.array([place[t] for t in texts], np.int64)
+        of_text = [(_node(g), len(g), minima(g), wide_fingerprint(g)) for g in gram_sets([*place], shingle)]
+        node, n, low, fps = (np.array(x, kind)[row] for x, kind in zip(zip(*of_text, strict=True), (np.uint64, np.int64, np.uint32, np.int64), strict=True))
+        bands = pa.ListArray.from_arrays(np.append(0, np.cumsum((n > 0) * BANDS)).astype(np.int32), band_hashes(low[n > 0]).ravel())
+        cols = [b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(n), bands]
         return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(LONGS)]], names=["k", "th", "node", "n", "bands", *_FP])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -110,8 +185,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, text: str, key: str, shingle: int)
     """``node``, ``grams`` of the given nodes, read from the row of the least key that has the text."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [grams(t, shingle) for t in b.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))], names=["node", "grams"])
+        sets = [g.view(np.int64) for g in gram_sets(b.column(1).to_pylist(), shingle)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
     named = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     wanted = nodes.select("node", F.col("least").alias("k"), "th")
@@ -168,10 +243,11 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     named = F.min(F.when(F.col("k").isNotNull(), F.struct("k", "th")))  # the row that the text is read from
     nodes = rows.groupBy("node").agg(named.alias("m"), F.min("th").alias("th"), *first)
     nodes = scratch.put(nodes.select("node", F.col("m.k").alias("least"), F.coalesce("m.th", "th").alias("th"), "n", "bands", *_FP))
-    filed = nodes.select("node", "n", *_FP, F.explode("bands").alias("band"))
-    sizes = filed.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    filed = scratch.put(filed.join(sizes, "band"))
     one = ["node", "n", *_FP]
+    filed = nodes.select("node", F.explode("bands").alias("band"))
+    sizes = filed.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    # most bands hold one node, so they travel without its fingerprint
+    filed = scratch.put(filed.join(sizes, "band").join(nodes.select(*one), "node"))
     as_other = dict(zip(["band", "root", "token", "place", *one], ["_band", "side", "_token", "_place", "other", "m", *[f"g{i}" for i in range(LONGS)]], strict=True))
     other = lambda df: df.withColumnsRenamed({k: v for k, v in as_other.items() if k in df.columns})
     may = (F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m")) & near(most)

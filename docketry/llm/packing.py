@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import default_path, load
+from .bpe import Bpe, default_path, load
 from .common import by_batch
 
 END_ID = 2
@@ -27,12 +27,13 @@ def pieces(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 2, -1, -1) if n % most >> b & 1]
 
 
-def pack(docs: DataFrame, path: str | None = None, *, max_tokens: int = 4096, end_id: int = END_ID, text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, *, max_tokens: int = 4096, end_id: int = END_ID, text: str = "text", key: str = "doc_id", ids: bool = False, keep: int = Bpe.KEEP) -> DataFrame:
     """One row for each piece, which is also a sequence of ``bucket`` tokens.
 
     Returns key, start, length, ids_crc32, doc_tokens, sequence_id, offset (always 0), bucket (the
     sequence's length, equal to the piece's), with ``ids`` also the tokens.  Null and empty texts give the end id
     alone: one piece of one token.  Repeated rows each give their own sequences; null keys pass through.
+    ``keep``: most chunks whose ids a worker keeps.
     """
     if max_tokens & (max_tokens - 1) or max_tokens < 1:
         raise ValueError("max_tokens must be a power of two")
@@ -41,7 +42,7 @@ def pack(docs: DataFrame, path: str | None = None, *, max_tokens: int = 4096, en
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         stop = np.uint32(end_id).astype("<u4").tobytes()
         row, start, length, crc, total, kept = [], [], [], [], [], []
-        for r, raw in enumerate(load(path, True).encode_batch(b.column(1).to_pylist())):
+        for r, raw in enumerate(load(path, True, keep).encode_batch(b.column(1).to_pylist())):
             raw += stop
             n, at = len(raw) // 4, 0
             for size in pieces(n, max_tokens):

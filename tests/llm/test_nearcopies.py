@@ -124,3 +124,40 @@ def test_pigeonring_lets_similar_sets_pass():
             held += 1
             passed += d.sum() <= nearcopies.MOST
     assert passed >= 0.995 * held
+
+
+def test_shingles_of_blocks_of_words(monkeypatch):
+    """Shingle sets are equal just where the words are, in texts over a block, in words over a block, and in any company."""
+    r = random.Random(12)
+    monkeypatch.setattr(nearcopies, "BLOCK", 1 << 10)
+    texts = [None, "", " \n ", "A b", "a  B\x0b", "one two three four five", "ONE two three four five six", "\x85é\xa0b \x1c q", "É b", "é b"]
+    texts += ["x" * 3000 + " tail of it goes on here", "y " * 1000, " ".join(f"w{r.randrange(9**6)}" for _ in range(6000)), " " * 5000 + "a b c d e f g", "Z" * 1024 + " ", "z" * 1023 + "\t"]
+    texts += ["q" * 64, "Q" * 64, "q" * 65, "Q" * 65]
+    texts += [" ".join(r.choice(["ab", "Ba", "c", "é", "dd", "\t", "x" * 70]) for _ in range(r.randrange(40))) for _ in range(800)]
+    for k in (1, 3, 5):
+        seen = {}
+        for t, g in zip(texts, nearcopies.gram_sets(texts, k), strict=True):
+            ws = (t or "").encode().lower().split()
+            want = frozenset(tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))) if ws else frozenset()
+            assert len(g) == len(want) and np.array_equal(g, nearcopies.grams(t, k))
+            assert seen.setdefault(want, g.tobytes()) == g.tobytes()
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_words_are_not_hashed_one_by_one(monkeypatch):
+    """A text's shingles take no call for each of its words."""
+    calls = []
+    real = nearcopies.xxhash.xxh64_intdigest
+    monkeypatch.setattr(nearcopies.xxhash, "xxh64_intdigest", lambda *a: calls.append(1) or real(*a))
+    g = nearcopies.grams(" ".join(f"w{i}" for i in range(5000)))
+    assert len(g) == 4996 and len(calls) < 50
+
+
+def test_bands_are_shared_as_often_as_similarity_says():
+    r, a, b = np.random.default_rng(5), [], []
+    for n in r.integers(5, 200, 1500).tolist():
+        both, x, y = (r.integers(0, 1 << 63, k).astype(np.uint64) * np.uint64(2) for k in (8 * n, n, n))
+        a.append(nearcopies.minima(np.concatenate([both, x])))
+        b.append(nearcopies.minima(np.concatenate([both, y])))
+    same = nearcopies.band_hashes(np.array(a)) == nearcopies.band_hashes(np.array(b))
+    assert abs(same.mean() - 0.8**nearcopies.ROWS) < 0.02 and same.any(axis=1).all()

@@ -337,6 +337,13 @@ def test_bpe_keeps_no_long_chunks():
     assert max(map(len, mine.known)) <= mine.LONGEST and "word" in mine.known
 
 
+def test_bpe_keeps_as_many_chunks_as_asked():
+    mine, tok = bpe.Bpe(bpe.default_path(), keep=100), Tokenizer.from_file(bpe.default_path())
+    texts = [" ".join(f"w{i * 7 + k}" for k in range(7)) for i in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_batch(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(mine.known) < 1500  # what is asked for, and one round's
+
+
 def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for out in (
