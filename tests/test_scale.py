@@ -36,3 +36,12 @@ def test_sections_are_matched_once_and_pairs_stay(spark):
         n = {q: sum(x[0] == q for x in asked) for q in range(4)}
         expected = {k: round(max(v) if implied else sum(v) / n[k[0]], 9) for k, v in sums.items()}
         assert {(r.qid, r.doc): round(r.score, 9) for r in got.collect()} == expected
+
+
+def test_matches_are_looked_up_by_act(spark):
+    asked, held, a, h = asked_and_held(spark)
+    got = S.match_provisions(a, h)
+    want = sorted((q, d, act, held_act, ref) for q, act, ref in asked for d, held_act, held_ref, *_ in held if ref == held_ref and (act == "?" or held_act in (act, "?")))
+    assert sorted((r.qid, r.doc, r.act_id, r.d_act, r.ref) for r in got.collect()) == want
+    join = next(x for x in plan(got).split("\n") if "BroadcastHashJoin" in x)
+    assert "_k#" in join and " OR " not in join  # no pair is made only to be dropped
