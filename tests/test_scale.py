@@ -45,3 +45,12 @@ def test_matches_are_looked_up_by_act(spark):
     assert sorted((r.qid, r.doc, r.act_id, r.d_act, r.ref) for r in got.collect()) == want
     join = next(x for x in plan(got).split("\n") if "BroadcastHashJoin" in x)
     assert "_k#" in join and " OR " not in join  # no pair is made only to be dropped
+
+
+def test_asked_acts_and_concepts_go_to_the_documents(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (1, "x"), (2, "y")], "qid int, act_id string")
+    h = spark.createDataFrame([(7, "x", False, 1, 0), (7, "y", False, 0, 3), (8, "y", False, 0, 1), (9, "z", True, 1, 1)], "doc int, act_id string, listed boolean, head int, body int")
+    got = S.act_scores(a, h)
+    assert not PAIRS.search(plan(got)) and {(r.qid, r.doc): round(r.score, 9) for r in got.collect()} == {(1, 7): 0.8, (1, 8): 0.15, (2, 7): 0.6, (2, 8): 0.3}
+    got = S.concept_scores(a.withColumnRenamed("act_id", "concept"), h.withColumnRenamed("act_id", "concept"))
+    assert not PAIRS.search(plan(got)) and {(r.qid, r.doc): round(r.score, 9) for r in got.collect()} == {(1, 7): 0.75, (1, 8): 0.25, (2, 7): 0.5, (2, 8): 0.5}
