@@ -2,6 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from docketry.functions.text import tokenize
+from docketry.operators import retrieval as R
 from docketry.operators import scoring as S
 
 
@@ -54,3 +58,25 @@ def test_asked_acts_and_concepts_go_to_the_documents(spark):
     assert not PAIRS.search(plan(got)) and {(r.qid, r.doc): round(r.score, 9) for r in got.collect()} == {(1, 7): 0.8, (1, 8): 0.15, (2, 7): 0.6, (2, 8): 0.3}
     got = S.concept_scores(a.withColumnRenamed("act_id", "concept"), h.withColumnRenamed("act_id", "concept"))
     assert not PAIRS.search(plan(got)) and {(r.qid, r.doc): round(r.score, 9) for r in got.collect()} == {(1, 7): 0.75, (1, 8): 0.25, (2, 7): 0.5, (2, 8): 0.5}
+
+
+def test_bm25_reads_the_texts_once_more(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 3} common {'w1 ' * (i % 4)}naïve a_b" if i else "") for i in range(30)], "doc_id long, text string").repartition(3)
+    docs.write.parquet(str(tmp_path / "d"))
+    docs, asked = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame([(1, "w1 common w1"), (2, "w2 nothing")], "item_id long, text string")
+    got = R.bm25(docs, asked)
+    said = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?:split|regexp_extract_all)\(lower\(text", said)) == 3  # the documents for the postings, the queries twice; no vocabulary anew, no filter that tokenises
+    assert not re.search(r"Exchange hashpartitioning\(item_id#\d+L, doc_id#", plan(got))
+    assert {r.item_id: r.n for r in got.groupBy("item_id").count().withColumnRenamed("count", "n").collect()} == {1: 29, 2: 10}
+    R.write_index(docs, str(tmp_path / "i"))
+    by_index = R.search_index(spark, str(tmp_path / "i"), asked)
+    assert not re.search(r"Exchange hashpartitioning\(item_id#\d+L, doc#", plan(by_index))
+    assert {(r.item_id, r.doc): round(r.score, 9) for r in by_index.collect()} == {(r.item_id, r.doc_id): round(r.score, 9) for r in got.collect()}
+
+
+def test_tokens(spark):
+    texts = ["naïve über a_b x1 42", "", None, "A-b, c.d\ne f g_ _h íj ٣x x٣ ½ 𝒳y z𝒳 ok", "don't  stop"]
+    old = F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike("^[a-z0-9]+$"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tokenize(F.col("t")).alias("new"), old.alias("old")).collect()
+    assert all(r.new == r.old for r in rows) and rows[0].new == ["x1", "42"] and rows[2].new is None
