@@ -2,9 +2,11 @@
 
 import re
 
+from pyspark.ml.feature import Word2Vec
 from pyspark.sql import functions as F
 
 from docketry.functions.text import tokenize
+from docketry.operators import intents
 from docketry.operators import retrieval as R
 from docketry.operators import scoring as S
 
@@ -80,3 +82,25 @@ def test_tokens(spark):
     old = F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike("^[a-z0-9]+$"))
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tokenize(F.col("t")).alias("new"), old.alias("old")).collect()
     assert all(r.new == r.old for r in rows) and rows[0].new == ["x1", "42"] and rows[2].new is None
+
+
+def test_intents_train_on_distinct_texts(spark, monkeypatch):
+    seen, fit = [], intents.LogisticRegression.fit
+    monkeypatch.setattr(intents.LogisticRegression, "fit", lambda self, rows, *a: seen.append(rows.count()) or fit(self, rows, *a))
+    said = [("scope of section one", "A"), ("my client was arrested", "B"), ("scope of section one", "B"), ("cases that differ", "C")]
+    q = spark.createDataFrame([(i, *said[i % 7 % 4]) for i in range(70)], "id long, text string, intent string")
+    model = intents.train_intents(q)
+    assert seen == [4]  # before: every row, in each of the classifier's iterations
+    idf = model.stages[5]
+    assert idf.numDocs == 70 and sorted(set(idf.docFreq)) == [10, 20, 40] and model.stages[0].labels == ["A", "B", "C"]
+    assert {(r.text, r.predicted) for r in intents.predict_intents(model, q).select("text", "predicted").collect()} >= {("my client was arrested", "B"), ("cases that differ", "C")}
+
+
+def test_vectors_are_learnt_by_several_tasks(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(intents, "Word2Vec", lambda **k: made.append(k["numPartitions"]) or Word2Vec(**k))
+    docs = spark.createDataFrame([(i, "one two three four five " * 4) for i in range(40)], "doc_id long, text string")
+    intents.train_vectors(docs, rounds=1)
+    monkeypatch.setattr(intents, "SHARE", 200)
+    model = intents.train_vectors(docs, rounds=1)
+    assert made == [1, 4] and model.getVectors().count() == 5
