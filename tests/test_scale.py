@@ -104,3 +104,18 @@ def test_vectors_are_learnt_by_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(intents, "SHARE", 200)
     model = intents.train_vectors(docs, rounds=1)
     assert made == [1, 4] and model.getVectors().count() == 5
+
+
+def test_vector_scores_by_matrix(spark):
+    rows = [(i, [float(i), 1.0, -0.5 * i]) for i in range(50)] + [(50, None), (51, [1.0]), (52, [1.0, None, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.5, 0.0, 1.0]), (3, None), (4, [2.0])], "qid int, qvec array<float>")
+    got = R.vector_scores(v, q)
+    assert "CartesianProduct" not in plan(got) and "BroadcastNestedLoop" not in plan(got)
+    held = {(r.qid, r.vec_id): r.score for r in got.collect()}
+    asked = {1: [1.0, 2.0, 3.0], 2: [0.5, 0.0, 1.0], 3: None, 4: [2.0]}
+    for i, x in rows:
+        for k, y in asked.items():
+            want = sum(a * b for a, b in zip(x, y)) if x and y and None not in x and len(x) == len(y) else None
+            assert held.pop((k, i)) == want
+    assert not held
