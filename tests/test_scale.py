@@ -6,7 +6,7 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.sql import functions as F
 
 from docketry.functions.text import tokenize
-from docketry.operators import intents
+from docketry.operators import entities, intents
 from docketry.operators import retrieval as R
 from docketry.operators import scoring as S
 
@@ -119,3 +119,13 @@ def test_vector_scores_by_matrix(spark):
             want = sum(a * b for a, b in zip(x, y)) if x and y and None not in x and len(x) == len(y) else None
             assert held.pop((k, i)) == want
     assert not held
+
+
+def test_names_are_judged_once(spark, monkeypatch):
+    seen, judge = [], entities.canonical_act
+    monkeypatch.setattr(entities, "canonical_act", lambda rows, *a: seen.append(rows.count()) or judge(rows, *a))
+    docs = spark.createDataFrame([(i, f"Section {i % 9 + 1} IPC and s. 3 of the Arms Act, 1959. Article 14. Section 302" if i else None) for i in range(60)], "doc long, text string")
+    got = entities.extract(docs, "doc")
+    assert seen == [2]  # before: every mention
+    refs = {(r.act_id, r.ref) for r in got.where("doc = 5").collect()}
+    assert refs == {("penal_code", None), ("arms_act", None), ("penal_code", "s6"), ("arms_act", "s3"), ("constitution_of_india", "art14"), ("?", "s302")} and got.where("kind = 'provision'").count() == 59 * 4
